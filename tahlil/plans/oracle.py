@@ -1,0 +1,6 @@
+"""SQL of the core queries."""
+
+
+def sql():
+    """All SQL by name."""
+    return {}

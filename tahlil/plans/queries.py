@@ -1,0 +1,10 @@
+"""Queries of the core operators; each takes (spark, sf_dir)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def queries():
+    """All queries by name."""
+    return {}
