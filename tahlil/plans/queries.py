@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tahlil.operators import quantities
+from tahlil.session import table
+
+
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of every reading of a listed quantity in the common unit."""
+    return quantities.converted(*(table(spark, sf_dir, t) for t in ("marker", "canonical_term", "quantity_unit", "source_unit")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings whose number as written is not the number in the common unit."""
+    return quantities.differing(p1_values(spark, sf_dir))
+
 
 def queries():
     """All queries by name."""
-    return {}
+    return {k: v for k, v in globals().items() if getattr(v, "__module__", "") == __name__ and k != "queries"}
