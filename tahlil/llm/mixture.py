@@ -177,7 +177,7 @@ def mixture(docs: DataFrame, mix: DataFrame, path: str | None = None) -> DataFra
     dealt = spark.range(0, len(counts), 1, max(1, min(len(counts), 64))).mapInPandas(deal, "shard int, slot long, source string, block long, copy int")
     docs_at = enc.join(first.select("source", "bucket", "first"), ["source", "bucket"]).withColumn("order", F.xxhash64(F.lit(SEED + 1), "doc_id"))
     made = docs_at.groupBy("source", "bucket").applyInArrow(pack, "source string, block long, docs array<struct<doc_id:bigint,begin:int,n:int>>, ids binary")
-    joined = made.join(dealt, ["source", "block"])
+    joined = made.join(dealt.hint("merge"), ["source", "block"])  # both sides grow with the data
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

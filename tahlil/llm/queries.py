@@ -5,10 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tahlil.llm import mixture, tokens
+from tahlil.llm import canonical, mixture, skeleton, split, tokens
 from tahlil.session import table
 
 
+def p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry each typed value stands for."""
+    typed = canonical.values(table(spark, sf_dir, "marker"), table(spark, sf_dir, "doctor_report"))
+    return canonical.mapped(typed, table(spark, sf_dir, "canonical_term"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the values that are not letter for letter a term."""
+    return canonical.found(p2_mapped(spark, sf_dir), table(spark, sf_dir, "canonical_term"))
+
+
+def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that stand for no entry."""
+    return canonical.misses(p2_mapped(spark, sf_dir))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in pieces of at most 2,000 characters."""
+    return split.split(split.texts(table(spark, sf_dir, "ocr_result"), table(spark, sf_dir, "ner_result")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that had to be cut."""
+    return split.oversized(p3_pieces(spark, sf_dir))
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text and every entry of personal data."""
+    return skeleton.formed(skeleton.entries(table(spark, sf_dir, "ocr_result"), table(spark, sf_dir, "synth_case")), "text")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals grouped by equal form."""
+    return skeleton.groups(p4_forms(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and entries with at least one look-alike character."""
+    return p4_forms(spark, sf_dir).filter(skeleton.changed("text")).select("tbl", "rec_key", "pos")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))

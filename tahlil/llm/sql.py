@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 SQL = {
+    "p3_found": """
+        SELECT 'ocr_result' AS tbl, CAST(ocr_id AS VARCHAR) AS rec_key FROM ocr_result WHERE length(text) > 2000
+        UNION ALL
+        SELECT 'ner_result', CAST(ner_id AS VARCHAR) FROM ner_result WHERE length(text) > 2000""",
     # decoding what was encoded gives the texts back
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
