@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tahlil.llm import canonical, mixture, skeleton, split, tokens
+from tahlil.llm import canonical, mixture, personal, scanned, skeleton, split, tokens
 from tahlil.session import table
 
 
@@ -50,6 +50,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_forms(spark, sf_dir).filter(skeleton.changed("text")).select("tbl", "rec_key", "pos")
 
 
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with the personal data found in them, and with placeholders in its place."""
+    some = personal.texts(*(table(spark, sf_dir, t) for t in ("ocr_result", "synth_case", "ner_result")))
+    return personal.masked(some, table(spark, sf_dir, "name_lexicon"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal data."""
+    return personal.found(p5_texts(spark, sf_dir))
+
+
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both readings of each page repaired."""
+    return scanned.repaired(table(spark, sf_dir, "ocr_result"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with cut words, misread words, repeated headings and page numbers."""
+    return scanned.found(p6_texts(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))

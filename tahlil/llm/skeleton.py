@@ -84,7 +84,9 @@ def latin_words(text: str) -> str:
 
 def skeleton(text: str) -> str:
     """The consistent form of a text."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text).translate(SHIFT) if ord(c) < 128 or not invisible(c))
+    # a small i carries its dot already
+    text = unicodedata.normalize("NFD", text).replace("i\u0307", "i").replace("ı\u0307", "i")
+    plain = "".join(c for c in text.translate(SHIFT) if ord(c) < 128 or not invisible(c))
     return unicodedata.normalize("NFC", latin_words(unicodedata.normalize("NFC", plain)))
 
 
