@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tahlil.llm import canonical, mixture, personal, scanned, skeleton, split, tokens
+from tahlil.llm import canonical, mixture, personal, scanned, skeleton, split, subjects, tokens
 from tahlil.session import table
 
 
@@ -91,6 +91,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
+def p9_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject mixture of every text cell and of the data of every notebook."""
+    return subjects.mixed(*(table(spark, sf_dir, t) for t in ("documents", "subject_label", "subject_area")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects each notebook is about."""
+    return subjects.found(p9_mixtures(spark, sf_dir))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: notebooks by source and subject."""
+    return subjects.composition(p9_mixtures(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def queries():
     """All queries of this module by name."""
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
