@@ -1,6 +1,12 @@
 """SQL of the core queries."""
 
+from __future__ import annotations
 
-def sql():
+from tahlil.operators import rules
+from tahlil.plans.queries import LAYERS
+
+
+def sql() -> dict[str, str]:
     """All SQL by name."""
-    return {}
+    layers = {name: f"SELECT ocr_id, {rules.layer_sql(k, 'text')} AS masked FROM ocr_result" for k, name in LAYERS.items() if k != "a03"}
+    return layers

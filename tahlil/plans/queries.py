@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tahlil.operators import quantities
+from tahlil.operators import quantities, rules
 from tahlil.session import table
 
 
@@ -18,6 +21,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantities.differing(p1_values(spark, sf_dir))
 
 
+def _layer(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "ocr_result").select("ocr_id", rules.layer(name, F.col("text")).alias("masked"))
+
+
+LAYERS = {"a01": "a01_national_id", "a02": "a02_reference_no", "a03": "a03_labelled", "a04": "a04_titles", "a05": "a05_dates", "a06": "a06_age_bucket", "a07": "a07_institution", "a08": "a08_contact", "a09": "a09_diploma", "a10": "a10_boilerplate", "a12": "a12_numeric_ids", "a13": "a13_cleanup"}
+
+
+def a14_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All masking layers in order, with what they removed."""
+    return rules.masked(table(spark, sf_dir, "ocr_result").select("ocr_id", "text")).select("ocr_id", "masked", "fields_removed")
+
+
 def queries():
     """All queries by name."""
-    return {k: v for k, v in globals().items() if getattr(v, "__module__", "") == __name__ and k != "queries"}
+    own = {k: v for k, v in globals().items() if getattr(v, "__module__", "") == __name__ and k != "queries" and k[0] != "_"}
+    return own | {name: partial(_layer, k) for k, name in LAYERS.items()}
