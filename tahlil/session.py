@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import uuid
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HOME = str(Path(__file__).resolve().parent.parent)
+
+
+@cache
+def _zipped() -> str:
+    """The package as an archive."""
+    return shutil.make_archive(f"{tempfile.mkdtemp()}/tahlil", "zip", HOME, "tahlil")
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package known to Python workers: by its place on one machine, as an archive on a cluster."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([HOME, *filter(None, sc.environment.get("PYTHONPATH", "").split(os.pathsep))]))
+    elif not any(f.endswith("tahlil.zip") for f in sc.listFiles):
+        sc.addPyFile(_zipped())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
