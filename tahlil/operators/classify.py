@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tahlil.functions.let import let
 from tahlil.functions.patterns import LETTERS
 from tahlil.functions.turkish import fold
 
@@ -63,15 +64,18 @@ def clamped(x: Column) -> Column:
 def category(raw: Column) -> Column:
     """The category a free entry means: letter for letter, else in any case and separators, else as a whole word in it,
     else by the longest organ word in it, else Other."""
-    low = F.translate(F.lower(F.trim(raw)), " -", "__")
     names = F.array(*map(F.lit, CATEGORIES))
-    same = F.filter(names, lambda c: F.lower(c) == low)
-    inside = F.filter(names, lambda c: F.concat(F.lit("_"), low, F.lit("_")).contains(F.concat(F.lit("_"), F.lower(c), F.lit("_"))))
     organs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in sorted(ORGANS.items(), key=lambda o: (-len(o[0]), o[0]))))
-    organ = F.filter(organs, lambda o: fold(raw).contains(o["k"]))
     first = lambda a: F.try_element_at(a, F.lit(1))
+
+    def normalised(low: Column) -> Column:
+        same = F.filter(names, lambda c: F.lower(c) == low)
+        inside = F.filter(names, lambda c: F.concat(F.lit("_"), low, F.lit("_")).contains(F.concat(F.lit("_"), F.lower(c), F.lit("_"))))
+        return F.coalesce(first(same), F.when(low != "", first(inside)))
+
     exact = F.when(F.array_contains(names, F.trim(raw)), F.trim(raw))
-    return F.coalesce(exact, first(same), F.when(low != "", first(inside)), first(organ)["v"], F.lit("Other"))
+    organ = let(fold(raw), lambda x: first(F.filter(organs, lambda o: x.contains(o["k"])))["v"])
+    return F.coalesce(exact, let(F.translate(F.lower(F.trim(raw)), " -", "__"), normalised), organ, F.lit("Other"))
 
 
 def padded(text: Column) -> Column:
@@ -81,10 +85,13 @@ def padded(text: Column) -> Column:
 
 def evidence(text: Column) -> Column:
     """Categories with keywords in the text, in order of precedence: name, the keywords found, and how many."""
-    t = padded(text)
     rows = F.array(*(F.struct(F.lit(c).alias("category"), F.array(*(F.lit(k) for k in ks if k not in GENERIC)).alias("keywords")) for c, ks in KEYWORDS.items()))
-    met = F.transform(rows, lambda r: F.struct(r["category"].alias("category"), F.filter(r["keywords"], lambda k: t.contains(F.concat(F.lit(" "), k, F.lit(" ")))).alias("keywords")))
-    return F.filter(F.transform(met, lambda r: F.struct(r["category"].alias("category"), r["keywords"].alias("keywords"), F.size(r["keywords"]).alias("score"))), lambda r: r["score"] > 0)
+
+    def met(t: Column) -> Column:
+        some = F.transform(rows, lambda r: F.struct(r["category"].alias("category"), F.filter(r["keywords"], lambda k: t.contains(F.concat(F.lit(" "), k, F.lit(" ")))).alias("keywords")))
+        return F.filter(F.transform(some, lambda r: F.struct(r["category"].alias("category"), r["keywords"].alias("keywords"), F.size(r["keywords"]).alias("score"))), lambda r: r["score"] > 0)
+
+    return let(padded(text), met)
 
 
 def best(found: Column) -> Column:
@@ -96,11 +103,14 @@ def best(found: Column) -> Column:
 def contradictions(text: Column, cat: Column, site: Column) -> Column:
     """Warnings about a text that contradicts its category: a metastasis given as the primary site; benign findings
     only, with a category of cancer."""
-    t = fold(text)
     any_of = lambda x, words: F.exists(F.array(*map(F.lit, words)), lambda w: x.contains(w))
-    meta = any_of(t, ("metastaz", "metastatik", "sekonder", "yayılım")) & fold(site).contains("metastaz")
-    benign = any_of(t, BENIGN) & ~any_of(F.regexp_replace(t, NEGATED, ""), MALIGN) & (cat != "Other")
-    return F.array_compact(F.array(F.when(meta, F.lit("Primer tümör yeri metastaz bölgesi olabilir")), F.when(benign, F.lit("Benign bulgular, kanser kategorisi"))))
+
+    def warnings(t: Column) -> Column:
+        meta = any_of(t, ("metastaz", "metastatik", "sekonder", "yayılım")) & fold(site).contains("metastaz")
+        benign = any_of(t, BENIGN) & ~let(F.regexp_replace(t, NEGATED, ""), lambda x: any_of(x, MALIGN)) & (cat != "Other")
+        return F.array_compact(F.array(F.when(meta, F.lit("Primer tümör yeri metastaz bölgesi olabilir")), F.when(benign, F.lit("Benign bulgular, kanser kategorisi"))))
+
+    return let(fold(text), warnings)
 
 
 def validated(cat: Column, confidence: Column, text: Column, site: Column, threshold: float = 0.6, review_below: float = 0.4) -> Column:
@@ -110,19 +120,20 @@ def validated(cat: Column, confidence: Column, text: Column, site: Column, thres
     category has none, the best one's are reported, so nothing is lowered. Thresholds are checked before the penalty
     for a short text, whose warning comes last. The category never changes.
     """
-    found = evidence(text)
-    top = best(found)
-    own = F.filter(found, lambda r: r["category"] == cat)
     none = F.array().cast("array<string>")
-    matches = F.coalesce(F.when(F.size(own) > 0, F.element_at(own, 1)["keywords"]), top["keywords"], none)
-    conflict = F.coalesce((top["category"] != cat) & (top["score"] > F.size(matches)), F.lit(False))
-    middle = confidence * F.when(conflict, PENALTY_CONFLICT).otherwise(1.0)
     short = F.length(F.regexp_replace(text, "^[ \\t\\n]+|[ \\t\\n]+$", "")) < SHORT
-    warnings = F.concat(
-        F.array_compact(F.array(F.when(conflict, F.concat(F.lit("Anahtar kelimeler: "), top["category"])), F.when(middle < threshold, F.lit("Güven skoru düşük")), F.when(middle < review_below, F.lit(HUMAN_WARNING)))),
-        contradictions(text, cat, site),
-        F.array_compact(F.array(F.when(short, F.lit(SHORT_WARNING)))),
-    )
-    valid = F.size(F.filter(warnings, lambda w: ~w.contains("İnsan incelemesi"))) == 0
-    final = F.bround(middle * F.when(short, PENALTY_SHORT).otherwise(1.0), 3)
-    return F.struct(valid.alias("is_valid"), top["category"].alias("best_category"), matches.alias("keyword_matches"), warnings.alias("warnings"), final.alias("confidence_adjusted"))
+
+    def weighed(x: Column) -> Column:
+        top, own = x["top"], x["own"]
+        matches = F.coalesce(F.when(F.size(own) > 0, F.element_at(own, 1)["keywords"]), top["keywords"], none)
+        conflict = F.coalesce((top["category"] != cat) & (top["score"] > F.size(matches)), F.lit(False))
+        return F.struct(top["category"].alias("best"), matches.alias("matches"), conflict.alias("conflict"), (confidence * F.when(conflict, PENALTY_CONFLICT).otherwise(1.0)).alias("middle"))
+
+    def judged(x: Column) -> Column:
+        first = F.array_compact(F.array(F.when(x["conflict"], F.concat(F.lit("Anahtar kelimeler: "), x["best"])), F.when(x["middle"] < threshold, F.lit("Güven skoru düşük")), F.when(x["middle"] < review_below, F.lit(HUMAN_WARNING))))
+        every = F.concat(first, contradictions(text, cat, site), F.array_compact(F.array(F.when(short, F.lit(SHORT_WARNING)))))
+        final = F.bround(x["middle"] * F.when(short, PENALTY_SHORT).otherwise(1.0), 3)
+        return let(every, lambda w: F.struct((F.size(F.filter(w, lambda v: ~v.contains("İnsan incelemesi"))) == 0).alias("is_valid"), x["best"].alias("best_category"), x["matches"].alias("keyword_matches"), w.alias("warnings"), final.alias("confidence_adjusted")))
+
+    of = lambda found: F.struct(best(found).alias("top"), F.filter(found, lambda r: r["category"] == cat).alias("own"))
+    return let(let(let(evidence(text), of), weighed), judged)
