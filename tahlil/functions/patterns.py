@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LETTERS = "A-Za-zçğıöşüÇĞİÖŞÜâîûÂÎÛ"
-CAPITALS = "A-ZÇĞİÖŞÜ"
+LETTERS = "\\p{L}"
+CAPITALS = "\\p{Lu}"
 #: What may not stand beside a match, by name.
 BESIDE = {"": "", "word": f"{LETTERS}0-9_", "digit": "0-9", "letter": LETTERS}
 SAME = {c: f"[{group}]" for group in ("iıİI", "sSşŞ", "gGğĞ", "cCçÇ", "oOöÖ", "uUüÜ") for c in group}

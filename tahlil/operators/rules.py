@@ -222,7 +222,9 @@ def masked(df: DataFrame, text: str = "text", out: str = "masked", remove_dates:
         if off.get(name):
             continue
         rules = [*A5_FULL, *A5_REST] if name == "a05" else LAYERS.get(name, [])
+        df = df.withColumn("__n", layer(name, F.col("__t")))
         if rules and name != "a13":
-            df = df.withColumn("__f", F.array_union("__f", reported(F.col("__t"), rules)))
-        df = df.withColumn("__t", layer(name, F.col("__t")))
-    return df.withColumn(out, F.col("__t")).withColumn("fields_removed", F.col("__f")).drop("__t", "__f")
+            # rules are only asked one by one where their layer has changed the text
+            df = df.withColumn("__f", F.when(F.col("__n") != F.col("__t"), F.array_union("__f", reported(F.col("__t"), rules))).otherwise(F.col("__f")))
+        df = df.withColumn("__t", F.col("__n"))
+    return df.withColumn(out, F.col("__t")).withColumn("fields_removed", F.col("__f")).drop("__t", "__n", "__f")

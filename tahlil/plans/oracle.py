@@ -118,14 +118,14 @@ LINES = "(SELECT ocr_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS
 SECTION = f"""
     SELECT ocr_id, line_no, line, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY ocr_id ORDER BY line_no), false) AS medical
     FROM (SELECT *, CASE WHEN regexp_matches(line, {q(names.STOPS)}) THEN false WHEN regexp_matches(line, {q(names.STARTS)}) THEN true END AS flag FROM {LINES})"""
-WORDS = f"(SELECT ocr_id, line_no, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM (SELECT ocr_id, line_no, regexp_extract_all(line, '([{LETTERS}]+)', 1) AS w FROM {{lines}}))"
+WORDS = f"(SELECT ocr_id, line_no, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM (SELECT ocr_id, line_no, regexp_extract_all(line, '([{LETTERS}]+)', 1) AS w FROM @lines))"
 UP = lambda x: f"upper(translate({x}, 'iı', 'İI'))"
 DICT = f"""(SELECT word, bool_or(is_first) AS is_first, bool_or(is_surname) AS is_surname FROM (
     SELECT {UP('token')} AS word, is_first, is_surname FROM name_lexicon WHERE token IS NOT NULL
     UNION ALL SELECT translate({UP('token')}, 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU'), is_first, is_surname FROM name_lexicon WHERE token IS NOT NULL) GROUP BY word)"""
 NAME_PAIRS = f"""
     WITH sec AS ({SECTION}), lines AS (SELECT * FROM sec WHERE NOT medical),
-    p AS (SELECT ocr_id, line_no, pos, word AS w1, lead(word) OVER (PARTITION BY ocr_id, line_no ORDER BY pos) AS w2 FROM {WORDS.format(lines='lines')}),
+    p AS (SELECT ocr_id, line_no, pos, word AS w1, lead(word) OVER (PARTITION BY ocr_id, line_no ORDER BY pos) AS w2 FROM {WORDS.replace('@lines', 'lines')}),
     d AS {DICT},
     j AS (SELECT p.*, coalesce(a.is_first, false) f1, coalesce(a.is_surname, false) s1, coalesce(b.is_first, false) f2, coalesce(b.is_surname, false) s2, {UP('w1')} u1, {UP('w2')} u2
       FROM p LEFT JOIN d a ON a.word = {UP('w1')} LEFT JOIN d b ON b.word = {UP('w2')}
@@ -302,7 +302,7 @@ def sql() -> dict[str, str]:
         "u02_deleted_tokens": f"SELECT ocr_id, {joined(f'list_sort(list_filter({tokens('text')}, lambda x: NOT list_contains({tokens('after')}, x) AND NOT list_contains({listed(gate.STOP_CAPITALS)}, x)))')} AS deleted FROM (SELECT ocr_id, text, {masked} AS after FROM ocr_result WHERE text IS NOT NULL)",
         "u03_all_names": "SELECT token FROM name_lexicon WHERE is_first UNION SELECT token FROM name_lexicon WHERE is_surname",
         "u04_bag": f"SELECT ocr_id, {joined('list_concat(warnings, page_engines)')} AS bag FROM ocr_result",
-        "w01_bigrams": f"SELECT w1, w2, count(*) AS n FROM (SELECT word AS w1, lead(word) OVER (PARTITION BY ocr_id, line_no ORDER BY pos) AS w2 FROM {WORDS.format(lines=LINES)}) WHERE w2 IS NOT NULL GROUP BY w1, w2",
+        "w01_bigrams": f"SELECT w1, w2, count(*) AS n FROM (SELECT word AS w1, lead(word) OVER (PARTITION BY ocr_id, line_no ORDER BY pos) AS w2 FROM {WORDS.replace('@lines', LINES)}) WHERE w2 IS NOT NULL GROUP BY w1, w2",
         "w02_header": "SELECT ocr_id, array_to_string(string_split(text, chr(10))[1:14], chr(10)) AS header FROM ocr_result",
         "w04_merge_spans": f"SELECT ner_id, string_agg(s || ':' || e, '|' ORDER BY s) AS merged FROM ({merged_rows()}) GROUP BY ner_id",
         "w05_ordinals": f"SELECT ner_id, CAST(generate_subscripts(spans, 1) AS INTEGER) AS n, unnest({CANDIDATES}) AS candidate FROM ner_result",

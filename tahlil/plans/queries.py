@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tahlil.functions import turkish
 from tahlil.operators import classify, gate, jobs, metrics, names, quantities, report, rules, spans
-from tahlil.session import shared_dir, table
+from tahlil.session import shared_dir, spread, table
 from tahlil.sources import files
 
 LAYERS = {"a01": "a01_national_id", "a02": "a02_reference_no", "a03": "a03_labelled", "a04": "a04_titles", "a05": "a05_dates", "a06": "a06_age_bucket", "a07": "a07_institution", "a08": "a08_contact", "a09": "a09_diploma", "a10": "a10_boilerplate", "a12": "a12_numeric_ids", "a13": "a13_cleanup"}
@@ -25,7 +25,7 @@ def _joined(c: Column) -> Column:
 
 
 def _layer(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("ocr_id", rules.layer(name, T).alias("masked"))
+    return spread(_texts(spark, sf_dir)).select("ocr_id", rules.layer(name, T).alias("masked"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- flagship -----------------------------------------------------------------------------------------------------
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By reading engine: texts, texts changed by masking, texts that still break a final rule, and mean length."""
-    t = table(spark, sf_dir, "ocr_result").select("engine", "text")
+    t = spread(table(spark, sf_dir, "ocr_result").select("engine", "text"))
     m = t.withColumn("masked", rules.apply(T, [*rules.A1, *rules.A5_FULL, *rules.A8])).withColumn("rule", gate.final_rule(F.col("masked")))
     return m.groupBy("engine").agg(
         F.count(F.lit(1)).alias("n_texts"),
@@ -80,7 +80,7 @@ def a11_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a14_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All masking layers in order, with what they removed."""
-    m = rules.masked(_texts(spark, sf_dir))
+    m = rules.masked(spread(_texts(spark, sf_dir)))
     return m.select("ocr_id", "masked", _joined(F.col("fields_removed")).alias("fields_removed"))
 
 
@@ -480,7 +480,7 @@ def s12_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- t, u, w, x ---------------------------------------------------------------------------------------------------
 def t01_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over masked forms."""
-    g = gate.checked(_spans(spark, sf_dir), "text", "candidates")
+    g = gate.checked(spread(_spans(spark, sf_dir)), "text", "candidates")
     return g.select("ner_id", "gate.passed", F.size("gate.findings").alias("n_findings"))
 
 
