@@ -13,7 +13,6 @@ from tahlil.session import shared_dir, spread, table
 from tahlil.sources import files
 
 LAYERS = {"a01": "a01_national_id", "a02": "a02_reference_no", "a03": "a03_labelled", "a04": "a04_titles", "a05": "a05_dates", "a06": "a06_age_bucket", "a07": "a07_institution", "a08": "a08_contact", "a09": "a09_diploma", "a10": "a10_boilerplate", "a12": "a12_numeric_ids", "a13": "a13_cleanup"}
-T = F.col("text")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def _joined(c: Column) -> Column:
 
 
 def _layer(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_texts(spark, sf_dir)).select("ocr_id", rules.layer(name, T).alias("masked"))
+    return spread(_texts(spark, sf_dir)).select("ocr_id", rules.layer(name, F.col("text")).alias("masked"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +62,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By reading engine: texts, texts changed by masking, texts that still break a final rule, and mean length."""
     t = spread(table(spark, sf_dir, "ocr_result").select("engine", "text"))
-    m = t.withColumn("masked", rules.apply(T, [*rules.A1, *rules.A5_FULL, *rules.A8])).withColumn("rule", gate.final_rule(F.col("masked")))
+    m = t.withColumn("masked", rules.apply(F.col("text"), [*rules.A1, *rules.A5_FULL, *rules.A8])).withColumn("rule", gate.final_rule(F.col("masked")))
     return m.groupBy("engine").agg(
         F.count(F.lit(1)).alias("n_texts"),
-        F.count_if(T != F.col("masked")).alias("n_changed"),
+        F.count_if(F.col("text") != F.col("masked")).alias("n_changed"),
         F.count_if(F.col("rule").isNotNull()).alias("n_blocked"),
         F.bround(F.avg(F.length("masked")), 2).alias("mean_chars"),
     )
@@ -92,19 +91,19 @@ def a15_span_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a16_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a model and of rules together: what rules find is masked behind what a model found."""
     n = _spans(spark, sf_dir).filter("text is not null")
-    own = rules.apply(T, [*rules.A1, *rules.A2, *rules.A5_FULL, *rules.A8])
+    own = rules.apply(F.col("text"), [*rules.A1, *rules.A2, *rules.A5_FULL, *rules.A8])
     return n.select("ner_id", F.regexp_replace(own, "(?:\\[[A-Za-z_]+_SILINDI\\][ \\t\\n]*){3,}", "[COKLU_ALAN_SILINDI]\n").alias("masked"))
 
 
 def a17_review_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts for a reviewer, every candidate replaced by its number."""
     f = F.transform("candidates", lambda c: F.struct(c.alias("text"), F.lit("person").alias("type")))
-    return _spans(spark, sf_dir).select("ner_id", gate.review_text(T, f).alias("review"))
+    return _spans(spark, sf_dir).select("ner_id", gate.review_text(F.col("text"), f).alias("review"))
 
 
 def a18_judge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked texts with one glyph for every tag."""
-    return _spans(spark, sf_dir).select("ner_id", gate.neutral(T).alias("neutral"))
+    return _spans(spark, sf_dir).select("ner_id", gate.neutral(F.col("text")).alias("neutral"))
 
 
 def a19_report_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +138,7 @@ def c07_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c08_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of the first reading against the second."""
     o = table(spark, sf_dir, "ocr_result").filter("text is not null and alt_text is not null")
-    return o.select("ocr_id", metrics.error_rate(_seven_bit(F.col("alt_text")), _seven_bit(T)).alias("cer"))
+    return o.select("ocr_id", metrics.error_rate(_seven_bit(F.col("alt_text")), _seven_bit(F.col("text"))).alias("cer"))
 
 
 def c09_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +149,7 @@ def c09_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c10_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of texts."""
-    return _texts(spark, sf_dir).select("ocr_id", F.sha2(F.encode(T, "UTF-8"), 256).alias("sha256"), F.length(T).alias("chars"))
+    return _texts(spark, sf_dir).select("ocr_id", F.sha2(F.encode(F.col("text"), "UTF-8"), 256).alias("sha256"), F.length(F.col("text")).alias("chars"))
 
 
 def c11_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,13 +192,13 @@ def c17_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c22_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data addresses of texts."""
-    return _texts(spark, sf_dir).filter("text is not null").select("ocr_id", F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode(T, "UTF-8")), "[\\r\\n]", "")).alias("address"))
+    return _texts(spark, sf_dir).filter("text is not null").select("ocr_id", F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode(F.col("text"), "UTF-8")), "[\\r\\n]", "")).alias("address"))
 
 
 # -- f: filters ---------------------------------------------------------------------------------------------------
 def f01_min_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with enough in them."""
-    bare = F.regexp_replace(T, "^[ \\t\\n\\f]+|[ \\t\\n\\f]+$", "")
+    bare = F.regexp_replace(F.col("text"), "^[ \\t\\n\\f]+|[ \\t\\n\\f]+$", "")
     return _texts(spark, sf_dir).filter(F.length(bare) >= 20).select("ocr_id", F.length(bare).alias("chars"))
 
 
@@ -224,7 +223,7 @@ def f05_medical_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f06_finding_real(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each span's text still stands in the masked form."""
     s = _spans(spark, sf_dir).select("ner_id", "text", F.posexplode("candidates").alias("pos", "c"))
-    return s.select("ner_id", "pos", gate.is_real(F.col("c"), T).alias("is_real"))
+    return s.select("ner_id", "pos", gate.is_real(F.col("c"), F.col("text")).alias("is_real"))
 
 
 def f07_label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,12 +257,12 @@ def f12_provider_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f13_final_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first final rule that each text breaks."""
-    return _texts(spark, sf_dir).select("ocr_id", gate.final_rule(T).alias("rule"))
+    return _texts(spark, sf_dir).select("ocr_id", gate.final_rule(F.col("text")).alias("rule"))
 
 
 def f14_egress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions to let masked forms out."""
-    d = gate.decision(T, F.size("spans") < 4, F.col("candidates"))
+    d = gate.decision(F.col("text"), F.size("spans") < 4, F.col("candidates"))
     return _spans(spark, sf_dir).filter("text is not null").select("ner_id", d.alias("d")).select("ner_id", "d.allowed", F.array_join("d.reasons", "|").alias("reasons"), "d.text_sha256", "d.chars")
 
 
@@ -307,7 +306,7 @@ def g05_bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "ocr_result")
     g = o.groupBy("engine").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.coalesce(T, F.lit("")) == "").alias("n_empty"),
+        F.count_if(F.coalesce(F.col("text"), F.lit("")) == "").alias("n_empty"),
         F.bround(F.avg("completeness"), 3).alias("mean_completeness"),
         metrics.rate(F.length("text"), F.length("alt_text")).alias("read_rate"),
         F.bround(F.avg("seconds"), 2).alias("mean_seconds"),
@@ -325,13 +324,13 @@ def g06_bench_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g07_keyword_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category with most keywords in each text, the first among equals."""
-    b = classify.best(classify.evidence(T))
+    b = classify.best(classify.evidence(F.col("text")))
     return _texts(spark, sf_dir).select("ocr_id", b["category"].alias("category"), b["score"].alias("score"))
 
 
 def g08_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct capital words and numbers of each text."""
-    return _texts(spark, sf_dir).select("ocr_id", F.size(gate.tokens(T)).alias("n_tokens"))
+    return _texts(spark, sf_dir).select("ocr_id", F.size(gate.tokens(F.col("text"))).alias("n_tokens"))
 
 
 def g09_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +347,7 @@ def g10_quantifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g11_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates and slash numbers in each text."""
-    return _texts(spark, sf_dir).select("ocr_id", F.regexp_count(T, F.lit("[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}")).alias("n_dates"), F.regexp_count(T, F.lit("[0-9]{5}/[0-9]{2}")).alias("n_protocols"))
+    return _texts(spark, sf_dir).select("ocr_id", F.regexp_count(F.col("text"), F.lit("[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}")).alias("n_dates"), F.regexp_count(F.col("text"), F.lit("[0-9]{5}/[0-9]{2}")).alias("n_protocols"))
 
 
 # -- j: joins -----------------------------------------------------------------------------------------------------
@@ -370,18 +369,18 @@ def j04_misread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j06_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of medical sections in each text."""
-    s = names.in_sections(T)
+    s = names.in_sections(F.col("text"))
     return _texts(spark, sf_dir).filter("text is not null").select("ocr_id", F.size(s).alias("n_lines"), F.size(F.filter(s, lambda x: x)).alias("n_medical"))
 
 
 def j07_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates, or words of them, that still stand in the masked form."""
-    return _spans(spark, sf_dir).filter("text is not null").select("ner_id", _joined(gate.remaining(F.col("candidates"), T)).alias("remaining"))
+    return _spans(spark, sf_dir).filter("text is not null").select("ner_id", _joined(gate.remaining(F.col("candidates"), F.col("text"))).alias("remaining"))
 
 
 def j08_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of each category in each text."""
-    e = _texts(spark, sf_dir).select("ocr_id", F.explode(classify.evidence(T)).alias("e"))
+    e = _texts(spark, sf_dir).select("ocr_id", F.explode(classify.evidence(F.col("text"))).alias("e"))
     return e.select("ocr_id", "e.category", _joined(F.col("e.keywords")).alias("keywords"), "e.score")
 
 
@@ -453,7 +452,7 @@ def o06_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o07_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first findings and the beginning of refs."""
-    return _spans(spark, sf_dir).select("ner_id", _joined(F.slice("candidates", 1, 2)).alias("some"), F.left(F.coalesce(T, F.lit("")), F.lit(64)).alias("head"))
+    return _spans(spark, sf_dir).select("ner_id", _joined(F.slice("candidates", 1, 2)).alias("some"), F.left(F.coalesce(F.col("text"), F.lit("")), F.lit(64)).alias("head"))
 
 
 def s03_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +463,7 @@ def s03_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s06_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading to use, and how complete the first one is."""
     o = table(spark, sf_dir, "ocr_result")
-    return o.select("ocr_id", F.length(files.routed(T, F.col("alt_text"), 400)).alias("chars"), files.completeness(T, F.col("alt_text")).alias("completeness"), F.array_join(F.array_sort(F.array_distinct("page_engines")), "+").alias("engines"))
+    return o.select("ocr_id", F.length(files.routed(F.col("text"), F.col("alt_text"), 400)).alias("chars"), files.completeness(F.col("text"), F.col("alt_text")).alias("completeness"), F.array_join(F.array_sort(F.array_distinct("page_engines")), "+").alias("engines"))
 
 
 def s10_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,13 +485,13 @@ def t01_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t02_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules for residues find in masked forms."""
-    r = _spans(spark, sf_dir).select("ner_id", F.explode(gate.residual(T)).alias("f"))
+    r = _spans(spark, sf_dir).select("ner_id", F.explode(gate.residual(F.col("text"))).alias("f"))
     return r.groupBy("ner_id", "f.type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def t05_cross_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings for candidates of another reading."""
-    c = _spans(spark, sf_dir).select("ner_id", F.explode(gate.crossed(F.col("candidates"), T)).alias("f"))
+    c = _spans(spark, sf_dir).select("ner_id", F.explode(gate.crossed(F.col("candidates"), F.col("text"))).alias("f"))
     return c.select("ner_id", F.col("f.text").alias("finding"), "f.type")
 
 
@@ -504,8 +503,8 @@ def u01_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u02_deleted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that masking took away."""
-    after = rules.apply(T, [*rules.A1, *rules.A5_FULL, *rules.A8])
-    return _texts(spark, sf_dir).filter("text is not null").withColumn("after", after).select("ocr_id", _joined(gate.deleted_tokens(T, F.col("after"))).alias("deleted"))
+    after = rules.apply(F.col("text"), [*rules.A1, *rules.A5_FULL, *rules.A8])
+    return _texts(spark, sf_dir).filter("text is not null").withColumn("after", after).select("ocr_id", _joined(gate.deleted_tokens(F.col("text"), F.col("after"))).alias("deleted"))
 
 
 def u03_all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,7 +527,7 @@ def w01_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w02_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 14 lines of each text."""
-    return _texts(spark, sf_dir).select("ocr_id", F.array_join(F.slice(F.split(T, "\n", -1), 1, 14), "\n").alias("header"))
+    return _texts(spark, sf_dir).select("ocr_id", F.array_join(F.slice(F.split(F.col("text"), "\n", -1), 1, 14), "\n").alias("header"))
 
 
 def w03_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,8 +547,8 @@ def w05_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w06_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are mostly in capitals, which get a second pass in small letters."""
-    up = F.regexp_count(T, F.lit("[A-ZÇĞİÖŞÜ]"))
-    low = F.regexp_count(T, F.lit("[a-zçğıöşü]"))
+    up = F.regexp_count(F.col("text"), F.lit("[A-ZÇĞİÖŞÜ]"))
+    low = F.regexp_count(F.col("text"), F.lit("[a-zçğıöşü]"))
     return _texts(spark, sf_dir).filter("text is not null").select("ocr_id", (up > low).alias("capitals"))
 
 

@@ -14,13 +14,13 @@ from tahlil.operators.jobs import ALLOWED, suffix
 
 def files(spark: SparkSession, path: str, endings: tuple[str, ...] = ALLOWED, most_bytes: int | None = None) -> DataFrame:
     """(path, length, content) of the files below a folder with one of the endings, in order of path; larger ones than
-    `most_bytes` are left out before they are read."""
+    `most_bytes` are left out before they are read. Files of no bytes have no row, as Spark's scan leaves them out."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(suffix(F.col("path")).isin(*endings))
     return (df.filter(F.col("length") <= most_bytes) if most_bytes is not None else df).select("path", "length", "content").orderBy("path")
 
 
 def texts(df: DataFrame) -> DataFrame:
-    """(path, text) of text files in UTF-8; bytes that are none become U+FFFD. An empty file is an empty text."""
+    """(path, text) of text files in UTF-8; bytes that are none become U+FFFD."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
