@@ -87,16 +87,16 @@ def shard_counts(slots: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, int]:
     return np.array(rows, np.int64).reshape(-1, len(slots)), size
 
 
-def blocks(docs: DataFrame, mix: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def blocks(docs: DataFrame, mix: DataFrame, path: str | None, block: int, bucket_docs: int) -> tuple[DataFrame, DataFrame]:
     """The encoded documents with their bucket, and (source, bucket, tokens, first block)."""
     d = docs.join(F.broadcast(mix.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "text")
     enc = encode(d, "text", "ids", path).filter(F.size("ids") > 0).select("doc_id", "source", "ids")
     enc = written(enc.mapInArrow(packed, "doc_id long, source string, n long, ids binary"), "mix")
     count = enc.count()
-    buckets = max(1, -(-count // BUCKET_DOCS))
+    buckets = max(1, -(-count // bucket_docs))
     enc = enc.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(buckets)).cast("int"))
     sums = enc.groupBy("source", "bucket").agg(F.sum("n").alias("tokens"))
-    sums = sums.withColumn("blocks", F.ceil(F.col("tokens") / BLOCK))
+    sums = sums.withColumn("blocks", F.ceil(F.col("tokens") / block))
     first = sums.selectExpr("source", "bucket", "tokens", "blocks", "sum(blocks) over (partition by source order by bucket) - blocks as first")
     return enc, written(first, "mix-buckets")
 
@@ -118,17 +118,17 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u2" if b[:1] == b"\x02" else "<u4", offset=1).astype(np.int32) if b else np.zeros(0, np.int32)
 
 
-def pack(group: pa.Table) -> pa.Table:
-    """The blocks of one bucket: its documents in pseudorandom order, one behind the other, cut every BLOCK tokens."""
+def pack(group: pa.Table, block: int) -> pa.Table:
+    """The blocks of one bucket: its documents in pseudorandom order, one behind the other, cut every `block` tokens."""
     g = group.to_pandas().sort_values(["order", "doc_id", "ids"], kind="stable")
     parts = [unpacked(x) for x in g.ids]
     stream = np.concatenate(parts)
-    n = -(-len(stream) // BLOCK)
+    n = -(-len(stream) // block)
     ends = np.cumsum([len(p) for p in parts])
     begins, first = ends - [len(p) for p in parts], int(g["first"].iloc[0])
     where, content = [], []
     for k in range(n):
-        lo, hi = k * BLOCK, min((k + 1) * BLOCK, len(stream))
+        lo, hi = k * block, min((k + 1) * block, len(stream))
         i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(begins, hi, "left")
         where.append([{"doc_id": int(g.doc_id.iloc[x]), "begin": int(max(lo - begins[x], 0)), "n": int(min(hi, ends[x]) - max(lo, begins[x]))} for x in range(i, j)])
         content.append(stream[lo:hi].astype("<u4" if len(stream) and stream.max() > 65535 else "<u2").tobytes())
@@ -143,7 +143,7 @@ def pack(group: pa.Table) -> pa.Table:
     )
 
 
-def mixture(docs: DataFrame, mix: DataFrame, path: str | None = None) -> DataFrame:
+def mixture(docs: DataFrame, mix: DataFrame, path: str | None = None, block: int = BLOCK, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """The mix, a row per slot: `shard`, `slot` in the shard, `source`, `block`, which `copy` of the block it
     is (from 0), `n_tokens`, the pieces of documents in the block (`docs`: `begin` and `n` in tokens of the
     document) and the block's `ids`.
@@ -154,7 +154,7 @@ def mixture(docs: DataFrame, mix: DataFrame, path: str | None = None) -> DataFra
     tables give an empty mix.
     """
     spark = docs.sparkSession
-    enc, first = blocks(docs, mix, path)
+    enc, first = blocks(docs, mix, path, block, bucket_docs)
     have = first.groupBy("source").agg(F.sum("blocks").alias("blocks"))
     goal = targets(mix.join(have, "source").select("source", "weight", "max_repeats", "blocks").toPandas().sort_values("source").reset_index(drop=True))
     if goal.empty:
@@ -176,7 +176,7 @@ def mixture(docs: DataFrame, mix: DataFrame, path: str | None = None) -> DataFra
 
     dealt = spark.range(0, len(counts), 1, max(1, min(len(counts), 64))).mapInPandas(deal, "shard int, slot long, source string, block long, copy int")
     docs_at = enc.join(first.select("source", "bucket", "first"), ["source", "bucket"]).withColumn("order", F.xxhash64(F.lit(SEED + 1), "doc_id"))
-    made = docs_at.groupBy("source", "bucket").applyInArrow(pack, "source string, block long, docs array<struct<doc_id:bigint,begin:int,n:int>>, ids binary")
+    made = docs_at.groupBy("source", "bucket").applyInArrow(lambda g: pack(g, block), "source string, block long, docs array<struct<doc_id:bigint,begin:int,n:int>>, ids binary")
     joined = made.join(dealt.hint("merge"), ["source", "block"])  # both sides grow with the data
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
