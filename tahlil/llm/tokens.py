@@ -27,7 +27,7 @@ from tahlil.session import written
 #: Bounds of the word table that is sent to the executors.
 TABLE_WORDS, TABLE_CHARS = 1 << 17, 48
 #: Characters of text that one array operation handles at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
