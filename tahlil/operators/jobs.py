@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tahlil.session import written
+
 ALLOWED = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".txt")  # endings of files that are taken (fixed values)
 LIST_COLUMNS = ("id", "created_at", "started_at", "finished_at", "status", "filename", "ref", "size_bytes", "error")
 
@@ -44,6 +46,16 @@ def means(df: DataFrame, by: str, value: str, at: str | None = None) -> DataFram
 
 
 def running_means(df: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
-    """Each row with the mean of its group so far."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_mean", F.avg(value).over(w))
+    """Each row with the mean of its group so far; rows without a value change nothing.
+
+    A group may hold most of the rows, so it is not sorted by one task: the rows are cut into ranges of the order, every
+    range sums up its own rows, and starts from the sums of the ranges before it.
+    """
+    cut = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "running")
+    sums = cut.groupBy(by, "__part").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col(by).alias("__by"), F.col("__part").alias("__at"), F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"))
+    joined = cut.join(base, (F.col(by).eqNullSafe(F.col("__by"))) & (F.col("__part") == F.col("__at")))
+    w = Window.partitionBy(by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.try_divide(F.col("__s0") + F.coalesce(F.sum(value).over(w), F.lit(0.0)), F.col("__n0") + F.count(value).over(w))
+    return joined.withColumn("running_mean", mean).select(*df.columns, "running_mean")

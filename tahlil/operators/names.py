@@ -6,9 +6,10 @@ misread by a letter or two are compared only within blocks of the same first let
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tahlil.functions.let import let
 from tahlil.functions.patterns import CAPITALS, LETTERS, anyof
 from tahlil.functions.turkish import ascii_fold, upper
 from tahlil.operators.rules import PLACES
@@ -38,15 +39,12 @@ def in_sections(text: Column) -> Column:
     return F.slice(F.aggregate(F.split(text, "\n", -1), F.array(F.lit(False)), step), F.lit(2), F.greatest(F.size(F.split(text, "\n", -1)), F.lit(0)))
 
 
-def words(df: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, pos, word) of the lines of `df`."""
-    return df.select(key, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(f"([{LETTERS}]+)"), F.lit(1))).alias("pos", "word"))
-
-
-def pairs(tokens: DataFrame, key: str) -> DataFrame:
-    """Each word with the next two of its line."""
-    w = Window.partitionBy(key, "line_no").orderBy("pos")
-    return tokens.select(key, "line_no", "pos", F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("w2"), F.lead("word", 2).over(w).alias("w3"))
+def pairs(df: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, line_no, pos, w1, w2): each word of a line with the next one. The pairs are made within the row, so nothing
+    is exchanged."""
+    words = F.regexp_extract_all(line, F.lit(f"([{LETTERS}]+)"), F.lit(1))
+    two = let(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("w1"), F.get(w, i + 1).alias("w2"))))
+    return df.select(key, "line_no", F.posexplode(two).alias("pos", "p")).select(key, "line_no", "pos", "p.w1", "p.w2")
 
 
 def dictionary(names: DataFrame) -> DataFrame:
@@ -65,7 +63,7 @@ def name_pairs(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFr
     """
     line = docs.select(key, F.posexplode(F.arrays_zip(F.split(text, "\n", -1).alias("line"), in_sections(F.col(text)).alias("medical"))).alias("line_no", "x"))
     line = line.select(key, "line_no", "x.line", "x.medical").filter("not medical")
-    two = pairs(words(line, key), key).filter("w2 is not null and length(w1) between 2 and 20 and length(w2) between 2 and 20")
+    two = pairs(line, key).filter("length(w1) between 2 and 20 and length(w2) between 2 and 20")
     two = two.filter(~(F.col("w1").rlike(f"^[{CAPITALS}]") & ~F.col("w2").rlike(f"^[{CAPITALS}]")))
     two = two.withColumns({"u1": upper(F.col("w1")), "u2": upper(F.col("w2"))})
     d = dictionary(names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tahlil.functions import turkish
@@ -312,7 +312,7 @@ def g05_bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bround(F.avg("seconds"), 2).alias("mean_seconds"),
         F.count_if(F.size("warnings") > 0).alias("n_warned"),
     )
-    return g.join(metrics.upper_median_exact(o, ["engine"], "completeness"), "engine", "left")
+    return g.join(metrics.upper_median(o, ["engine"], "completeness"), "engine", "left")
 
 
 def g06_bench_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,9 +429,8 @@ def o02_recent_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o03_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit log in order of time, numbered within its host."""
-    w = Window.partitionBy("host").orderBy("ts", F.col("text_sha256"))
-    return table(spark, sf_dir, "egress_audit").distinct().select("host", "text_sha256", F.dense_rank().over(w).alias("place"))
+    """The audit log in order of time."""
+    return table(spark, sf_dir, "egress_audit").distinct().select("ts", "host", "allowed", "text_sha256", "chars").orderBy("ts", "text_sha256")
 
 
 def o04_groups_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,8 +519,7 @@ def u04_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w01_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring words over all texts."""
-    w = names.words(names.lines(_texts(spark, sf_dir), "ocr_id", "text"), "ocr_id")
-    p = names.pairs(w, "ocr_id").filter("w2 is not null")
+    p = names.pairs(names.lines(_texts(spark, sf_dir), "ocr_id", "text"), "ocr_id")
     return p.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
