@@ -124,6 +124,8 @@ def pack(group: pa.Table, block: int) -> pa.Table:
     parts = [unpacked(x) for x in g.ids]
     stream = np.concatenate(parts)
     n = -(-len(stream) // block)
+    width = 4 if stream.max() > 0xFFFF else 2
+    data, mark = stream.astype(f"<u{width}").tobytes(), bytes([width])
     ends = np.cumsum([len(p) for p in parts])
     begins, first = ends - [len(p) for p in parts], int(g["first"].iloc[0])
     where, content = [], []
@@ -131,14 +133,13 @@ def pack(group: pa.Table, block: int) -> pa.Table:
         lo, hi = k * block, min((k + 1) * block, len(stream))
         i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(begins, hi, "left")
         where.append([{"doc_id": int(g.doc_id.iloc[x]), "begin": int(max(lo - begins[x], 0)), "n": int(min(hi, ends[x]) - max(lo, begins[x]))} for x in range(i, j)])
-        content.append(stream[lo:hi].astype("<u4" if len(stream) and stream.max() > 65535 else "<u2").tobytes())
-    wide = pa.array([b"\x04" if len(stream) and stream.max() > 65535 else b"\x02"] * n, pa.binary())
+        content.append(mark + data[width * lo : width * hi])
     return pa.table(
         {
             "source": pa.array([g.source.iloc[0]] * n, pa.string()),
             "block": pa.array(np.arange(first, first + n), pa.int64()),
             "docs": pa.array(where, pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int32()), ("n", pa.int32())]))),
-            "ids": pa.array([w + c for w, c in zip(wide.to_pylist(), content, strict=True)], pa.binary()),
+            "ids": pa.array(content, pa.binary()),
         }
     )
 
