@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tahlil.functions.let import let
 from tahlil.functions.patterns import CAPITALS, LETTERS, anyof
 from tahlil.functions.turkish import ascii_fold, upper
-from tahlil.operators.rules import PLACES
+from tahlil.operators.rules import CASES as CASES_RULE
+from tahlil.operators.rules import PLACES, place_form
 
 SENT_ROWS = 200_000
 # Endings of surnames (fixed values).
@@ -78,6 +79,22 @@ def name_pairs(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFr
     return j.filter(known | (F.col("f1") & ending & plain)).select(key, "line_no", "pos", "w1", "w2")
 
 
+def labelled_values(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, value): lines "label: First Xxx", whatever the label reads, whose value begins with a first name of
+    the dictionary."""
+    value = F.regexp_extract("line", f"^[^:\\n]{{1,30}}:[ \\t]*([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]+([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]*$", 1)
+    rest = F.regexp_extract("line", f"^[^:\\n]{{1,30}}:[ \\t]*([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]+([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]*$", 2)
+    some = lines(docs, key, text).select(key, "line_no", value.alias("w1"), rest.alias("w2")).filter("w1 <> ''").withColumn("word", upper(F.col("w1")))
+    first = dictionary(names).filter("is_first").select("word")
+    return some.join(first, "word", "left_semi").select(key, "line_no", F.concat_ws(" ", "w1", "w2").alias("value"))
+
+
+def exact_places(text: Column) -> Column:
+    """The provinces named in a text, each once, as written without their endings; sorted."""
+    pattern = f"(?<![{LETTERS}])({'|'.join(place_form(p) for p in sorted(PLACES, key=lambda p: (-len(p), p)))}){CASES_RULE}(?![{LETTERS}])"
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
+
+
 def mask_names(docs: DataFrame, names: DataFrame, key: str, text: str, out: str = "masked") -> DataFrame:
     """(key, out): each text with the name pairs, and names left after a mask tag or a title, replaced.
 

@@ -228,11 +228,13 @@ def sql() -> dict[str, str]:
     # each character as one byte, since the distance counts bytes
     byte = lambda x: f"translate({x}, 'ÇĞİÖŞÜ', 'cgiosu')"
     near = near.replace("@d1", f"levenshtein({byte('token')}, {byte('form')})").replace("@d2", f"levenshtein({byte('token')}, {byte('whole')})")
+    long = f"list_filter(list_transform({words_of('term')}, lambda w: {fold('w')}), lambda w: length(w) >= 3)"
+    place = f"(?:^|[^{LETTERS}])({'|'.join(rules.place_form(p) for p in sorted(rules.PLACES, key=lambda p: (-len(p), p)))}){rules.CASES}(?:$|[^{LETTERS}])"
+    label = f"^[^:\\n]{{1,30}}:[ \\t]*([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]+([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]*$"
     return layers | {
         "flagship": f"SELECT engine, count(*) AS n_texts, count(*) FILTER (text <> m) AS n_changed, count(*) FILTER ({final_rule('m')} IS NOT NULL) AS n_blocked, CAST(round_even(avg(length(m)), 2) AS DOUBLE) AS mean_chars FROM (SELECT engine, text, {masked} AS m FROM ocr_result) GROUP BY engine",
         "a15_span_masking": overlay(),
-        "a16_hybrid": f"SELECT ner_id, regexp_replace({rules.sql('text', [*rules.A1, *rules.A2, *rules.A5_FULL, *rules.A8])}, '(?:\\[[A-Za-z_]+_SILINDI\\][ \\t\\n]*){{3,}}', '[COKLU_ALAN_SILINDI]' || chr(10), 'g') AS masked FROM ner_result WHERE text IS NOT NULL",
-        "a17_review_mask": f"SELECT ner_id, list_reduce(list_prepend(text, list_transform({CANDIDATES}, lambda c: c)), lambda a, c, i: replace(a, c, '[KAPI_BULGUSU_' || (i - 1) || ':person]')) AS review FROM ner_result",
+"a17_review_mask": f"SELECT ner_id, list_reduce(list_prepend(text, list_transform({CANDIDATES}, lambda c: c)), lambda a, c, i: replace(a, c, '[KAPI_BULGUSU_' || (i - 1) || ':person]')) AS review FROM ner_result",
         "a18_judge_view": f"SELECT ner_id, regexp_replace(text, {q(gate.TAG)}, '█', 'g') AS neutral FROM ner_result",
         "c01_fold": f"SELECT marker_id, {fold('ad')} AS low, {dotless('ad')} AS dotless, {UP('ad')} AS up FROM marker",
         "c05_ascii_fold": "SELECT marker_id, translate(ad, 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU') AS plain FROM marker",
@@ -249,7 +251,7 @@ def sql() -> dict[str, str]:
         "f01_min_chars": f"SELECT ocr_id, CAST(length({BARE_TEXT}) AS INTEGER) AS chars FROM ocr_result WHERE length({BARE_TEXT}) >= 20",
         "f02_extension": "SELECT id, filename FROM jobs WHERE lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.png' OR lower(filename) LIKE '%.jpg'",
         "f04_status": "SELECT id, filename, ref FROM jobs WHERE status = 'needs_review'",
-        "f05_medical_spans": f"SELECT id, CAST(pos AS INTEGER) AS pos, coalesce(len(list_filter(list_transform({words_of('entry')}, lambda w: {fold('w')}), lambda x: length(x) >= 3 AND list_contains(['hastanesi', 'merkezi', 'laboratuvarı', 'bölge', 'tıp', 'patoloji', 'onkoloji', 'üniversite', 'özel'], x))) > 0, false) AS medical FROM (SELECT id, generate_subscripts(pii, 1) - 1 AS pos, unnest(pii) AS entry FROM synth_case)",
+        "f05_medical_spans": f"SELECT term_id, coalesce(regexp_matches({fold('trim(term)')}, {q(gate.MEDICAL_FORM)}) OR (len({long}) > 0 AND len(list_filter({long}, lambda w: NOT list_contains({listed(gate.MEDICAL_WORDS)}, w))) = 0), false) AS medical FROM canonical_term",
         "f06_finding_real": f"SELECT ner_id, CAST(pos AS INTEGER) AS pos, {is_real('c', 'text')} AS is_real FROM (SELECT ner_id, text, generate_subscripts(spans, 1) - 1 AS pos, unnest({CANDIDATES}) AS c FROM ner_result)",
         "f07_label_only": f"SELECT ocr_id, CAST(line_no AS INTEGER) AS line_no, line FROM {LINES} WHERE len({words_of('line')}) > 0 AND len(list_filter({words_of('line')}, lambda w: NOT list_contains({listed(x.replace('ı', 'i') for x in gate.LABELS)}, {dotless('w')}))) = 0",
         "f08_self_refute": f"SELECT report_id, coalesce(regexp_matches({fold('gerekce')}, {q(gate.REFUTING)}) AND NOT regexp_matches(coalesce(primer_bolge, ''), '[0-9]{{7,}}'), false) AS refuted FROM doctor_report",
@@ -275,6 +277,8 @@ def sql() -> dict[str, str]:
         "j01_name_pairs": NAME_PAIRS,
         "j03_suffix": f"SELECT token, {' OR '.join(f'suffix(token, {q(s)})' for s in names.SUFFIXES)} AS has_ending FROM name_lexicon",
         "j04_misread_places": near,
+        "j05_places": f"SELECT ocr_id, {joined(f'list_sort(list_distinct(regexp_extract_all(text, {q(place)}, 1)))')} AS places FROM ocr_result",
+        "j11_labelled_names": f"SELECT ocr_id, CAST(line_no AS INTEGER) AS line_no, regexp_extract(line, {q(label)}, 1) || ' ' || regexp_extract(line, {q(label)}, 2) AS value FROM {LINES} WHERE regexp_matches(line, {q(label)}) AND {UP(f'regexp_extract(line, {q(label)}, 1)')} IN (SELECT word FROM {DICT} WHERE is_first)",
         "j06_sections": f"SELECT ocr_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (medical) AS INTEGER) AS n_medical FROM ({SECTION}) GROUP BY ocr_id",
         "j07_candidates": f"SELECT ner_id, {joined(remaining(CANDIDATES, 'text'))} AS remaining FROM ner_result WHERE text IS NOT NULL",
         "j08_keywords": f"SELECT ocr_id, e.category AS category, {joined('e.keywords')} AS keywords, CAST(len(e.keywords) AS INTEGER) AS score FROM (SELECT ocr_id, unnest({evidence('text')}) AS e FROM ocr_result)",

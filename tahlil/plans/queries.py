@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tahlil.functions import turkish
-from tahlil.operators import classify, gate, jobs, metrics, names, quantities, report, rules, spans
+from tahlil.operators import classify, gate, hybrid, jobs, metrics, models, names, quantities, report, rules, spans
 from tahlil.session import shared_dir, spread, table
 from tahlil.sources import files
 
@@ -89,10 +89,8 @@ def a15_span_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a16_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of a model and of rules together: what rules find is masked behind what a model found."""
-    n = _spans(spark, sf_dir).filter("text is not null")
-    own = rules.apply(F.col("text"), [*rules.A1, *rules.A2, *rules.A5_FULL, *rules.A8])
-    return n.select("ner_id", F.regexp_replace(own, "(?:\\[[A-Za-z_]+_SILINDI\\][ \\t\\n]*){3,}", "[COKLU_ALAN_SILINDI]\n").alias("masked"))
+    """Texts masked by the spans of a model and of rules together."""
+    return hybrid.masked(spread(_texts(spark, sf_dir)), "text", models.offline_entities).select("ocr_id", "masked")
 
 
 def a17_review_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +211,8 @@ def f04_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f05_medical_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of personal data that are medical words only."""
-    vocabulary = F.array(*map(F.lit, ("hastanesi", "merkezi", "laboratuvarı", "bölge", "tıp", "patoloji", "onkoloji", "üniversite", "özel")))
-    s = table(spark, sf_dir, "synth_case").select("id", F.posexplode("pii").alias("pos", "entry"))
-    w = F.filter(F.transform(gate.words_of(F.col("entry")), turkish.fold), lambda x: F.length(x) >= 3)
-    return s.select("id", "pos", F.coalesce(F.exists(w, lambda x: F.array_contains(vocabulary, x)), F.lit(False)).alias("medical"))
+    """Terms that are medical words or forms only."""
+    return table(spark, sf_dir, "canonical_term").select("term_id", gate.looks_medical(F.col("term")).alias("medical"))
 
 
 def f06_finding_real(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,6 +362,11 @@ def j04_misread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.misread_places(_texts(spark, sf_dir), "ocr_id", "text")
 
 
+def j05_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provinces named in each text."""
+    return _texts(spark, sf_dir).select("ocr_id", _joined(names.exact_places(F.col("text"))).alias("places"))
+
+
 def j06_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of medical sections in each text."""
     s = names.in_sections(F.col("text"))
@@ -396,6 +396,11 @@ def j10_longest_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "doctor_report").select("report_id", classify.category(F.coalesce("primer_bolge", F.lit(""))).alias("category"))
 
 
+def j11_labelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of labelled lines that begin with a first name."""
+    return names.labelled_values(_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"), "ocr_id", "text")
+
+
 def j12_page_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The engine of each page."""
     return table(spark, sf_dir, "ocr_result").select("ocr_id", F.posexplode("page_engines").alias("page_no", "engine"))

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tahlil.operators import gate, models
+from tahlil.operators import gate, hybrid, models
 
 
 def test_entities(spark):
@@ -61,3 +61,10 @@ def test_answers(spark):
 def test_inlined():
     s = {"properties": {"a": {"$ref": "#/$defs/A"}, "b": [{"$ref": "#/$defs/A", "title": "t"}]}, "$defs": {"A": {"type": "string"}}}
     assert models.inlined(s) == {"properties": {"a": {"type": "string"}, "b": [{"type": "string", "title": "t"}]}}
+
+
+def test_hybrid(spark):
+    df = spark.createDataFrame([(1, "Hasta: Ayla Boztepe, no 12345678901, 12.05.2024 tarihinde meme karsinom"), (2, None), (3, "temiz")], "id int, text string")
+    got = {r.id: r.masked for r in hybrid.masked(df, "text", models.offline_entities).collect()}
+    assert "Boztepe" not in got[1] and "12345678901" not in got[1] and "2024" not in got[1] and "meme karsinom" in got[1]
+    assert got[2] is None and got[3] == "temiz"
