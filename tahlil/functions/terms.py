@@ -95,14 +95,15 @@ def stripped(words: list[str]) -> list[list[str]]:
 
 
 class Terms:
-    """A reference list of (id, term, aliases, frequency)."""
+    """A reference list of (id, term, aliases, frequency); entries without id or term, and empty aliases, are left out."""
 
     def __init__(self, entries: list[tuple[int, str, list[str], int]]):
+        entries = [e for e in entries if e[0] is not None and e[1]]
         self.terms = {t: i for i, t, _, _ in entries}
         self.frequency = {i: n for i, _, _, n in entries}
         self.exact: dict[str, int] = {}
         self.near: dict[str, set[tuple[str, int]]] = defaultdict(set)
-        forms = [(form, i) for i, t, aliases, _ in entries for form in [t, *(aliases or [])]]
+        forms = [(form, i) for i, t, aliases, _ in entries for form in [t, *(aliases or [])] if form]
         if len(forms) > FORMS_MOST:
             raise ValueError(f"the reference list has {len(forms)} forms; at most {FORMS_MOST} are sent to the executors")
         for form, i in sorted(forms, key=lambda f: (-self.frequency[f[1]], f[1])):

@@ -27,6 +27,12 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
+def usable(quantities: DataFrame) -> list:
+    """The rows of the list of quantities that have an id, a name and a common unit that is known."""
+    known = [u[0] for u in U.UNITS]
+    return [r for r in quantities.collect() if r.quantity_id is not None and r.quantity and r.common_unit in known]
+
+
 def dimensions(common: str, molar_mass: float | None) -> tuple[str, ...]:
     """The dimensions in which a quantity of this common unit may be written."""
     own = {"activity": ("activity",), "count": ("count",), "length": ("length",), "part": ("part",)}
@@ -42,7 +48,7 @@ def read(markers: DataFrame, terms: DataFrame, quantities: DataFrame) -> DataFra
     `ad` or `deger` and those of no listed quantity give no row, nor do those without a number.
     """
     entries = [(r.term_id, r.term, list(r.aliases or []), 1) for r in terms.filter("field = 'ad'").select("term_id", "term", "aliases").collect()]
-    by_term = {r.quantity: (r.quantity_id, dimensions(r.common_unit, r.molar_mass)) for r in quantities.collect()}
+    by_term = {r.quantity: (r.quantity_id, dimensions(r.common_unit, r.molar_mass)) for r in usable(quantities)}
     names = {i: t for i, t, _, _ in entries}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +89,7 @@ def reading(ad: str, deger: str, kanit: str | None, allowed: tuple[str, ...]) ->
 def conversion(quantities: DataFrame) -> DataFrame:
     """(quantity_id, unit, unit_name, common_unit, factor) for every unit a quantity may be written in."""
     rows = []
-    for q in quantities.collect():
+    for q in usable(quantities):
         common = next(i for i, u in enumerate(U.UNITS) if u[0] == q.common_unit)
         for k, u in enumerate(U.UNITS):
             f = U.factor(k, common, q.molar_mass)
@@ -97,7 +103,8 @@ def converted(markers: DataFrame, terms: DataFrame, quantities: DataFrame, sourc
     `written`, `unit_name`, `value`, `common_unit`.
 
     Where neither the reading nor its laboratory names a unit (or there is no laboratory), unit and value are
-    null. `terms`, `quantities` and `sources` are small reference tables; repeated rows of the first two
+    null. `terms`, `quantities` and `sources` are small reference tables, of which rows with nulls or
+    unknown units don't count; repeated rows of the first two
     change nothing, and of two units of one laboratory for one quantity the first by name counts.
     """
     spark = markers.sparkSession

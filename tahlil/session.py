@@ -9,8 +9,7 @@ import uuid
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 HOME = str(Path(__file__).resolve().parent.parent)
@@ -69,6 +68,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted(key: Column, salts: int) -> Column:
-    """A salt in [0, salts) from the hash of `key`, to spread a hot group over several tasks."""
-    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that were written to the shared folder; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tahlil")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -138,3 +138,13 @@ def test_running_means(spark):
             s, n = s + i * i % 7, n + 1
         sums[k] = s, n
         assert got[i] == (pytest.approx(s / n) if n else None)
+
+
+def test_written_and_cleared(spark):
+    from tahlil import session
+
+    df = session.written(spark.range(5), "test")
+    assert df.count() == 5
+    session.clear(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        df.count()

@@ -80,6 +80,14 @@ def test_converted(spark, tables):
     assert quantities.converted(markers.limit(0), *tables).count() == 0
 
 
+def test_nulls_in_reference_tables(spark):
+    terms = spark.createDataFrame([(1, "ad", "LDH", [None, ""]), (None, "ad", "X", None), (2, "ad", None, None), (3, None, "Y", None)], TERMS)
+    quantity = spark.createDataFrame([(2, "LDH", "U/L", None), (None, "LDH", "U/L", None), (3, None, "U/L", None), (4, "Y", "elma", None), (5, "Y", None, None)], QUANTITIES)
+    source = spark.createDataFrame([(None, 2, "U/L"), ("L1", None, "U/L"), ("L1", 2, None)], "lab_code string, quantity_id long, unit string")
+    markers = spark.createDataFrame([(None, "LDH", "5 kU/L", None, None), (1, "LDH", "5", None, "L1")], MARKERS)
+    assert {(r.marker_id, r.value) for r in quantities.converted(markers, terms, quantity, source).collect()} == {(None, 5000.0), (1, None)}
+
+
 def test_terms():
     t = Terms([(1, "Lenf düğümü", ["Lenf nodu"], 5), (2, "CD3", [], 1), (3, "CD30", [], 1), (4, "Skuamöz hücreli karsinom", ["SCC"], 1)])
     for typed, want in (("LENF NODU", 1), ("sağ Lenf düğümünda", 1), ("lenf dügmü", 1), ("C-D3", 2), ("CD3O", 3), ("karsinom Skuamöz hücreli, grade 2", 4), ("S.CC", 4), ("CD4", 0), ("", 0), ("???", 0)):
