@@ -120,23 +120,24 @@ def unpacked(b: bytes) -> np.ndarray:
 
 def pack(group: pa.Table, block: int) -> pa.Table:
     """The blocks of one bucket: its documents in pseudorandom order, one behind the other, cut every `block` tokens."""
-    g = group.to_pandas().sort_values(["order", "doc_id", "ids"], kind="stable")
-    parts = [unpacked(x) for x in g.ids]
+    group = group.take(pc.sort_indices(group, [("order", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")]))
+    keys, source, first = group["doc_id"].to_pylist(), group["source"][0].as_py(), group["first"][0].as_py()
+    parts = [unpacked(x) for x in group["ids"].to_pylist()]
     stream = np.concatenate(parts)
+    ends = np.cumsum([len(p) for p in parts])
+    begins = ends - [len(p) for p in parts]
     n = -(-len(stream) // block)
     width = 4 if stream.max() > 0xFFFF else 2
     data, mark = stream.astype(f"<u{width}").tobytes(), bytes([width])
-    ends = np.cumsum([len(p) for p in parts])
-    begins, first = ends - [len(p) for p in parts], int(g["first"].iloc[0])
     where, content = [], []
     for k in range(n):
         lo, hi = k * block, min((k + 1) * block, len(stream))
         i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(begins, hi, "left")
-        where.append([{"doc_id": int(g.doc_id.iloc[x]), "begin": int(max(lo - begins[x], 0)), "n": int(min(hi, ends[x]) - max(lo, begins[x]))} for x in range(i, j)])
+        where.append([{"doc_id": keys[x], "begin": int(max(lo - begins[x], 0)), "n": int(min(hi, ends[x]) - max(lo, begins[x]))} for x in range(i, j)])
         content.append(mark + data[width * lo : width * hi])
     return pa.table(
         {
-            "source": pa.array([g.source.iloc[0]] * n, pa.string()),
+            "source": pa.array([source] * n, pa.string()),
             "block": pa.array(np.arange(first, first + n), pa.int64()),
             "docs": pa.array(where, pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int32()), ("n", pa.int32())]))),
             "ids": pa.array(content, pa.binary()),
@@ -150,11 +151,13 @@ def mixture(docs: DataFrame, mix: DataFrame, path: str | None = None, block: int
     document) and the block's `ids`.
 
     `docs`: doc_id, source, text; documents without source, of a source without target, or without tokens
-    stay out. `mix`: source, weight, max_repeats (a bounded table: one row a source). No piece of a document
+    stay out. `mix`: source, weight, max_repeats (a bounded table: one row a source; of several the greatest weight and
+    the fewest repeats hold; a source without either takes no part). No piece of a document
     appears more often than `max_repeats`. Repeated documents are packed as often as they are stored. Empty
     tables give an empty mix.
     """
     spark = docs.sparkSession
+    mix = mix.groupBy("source").agg(F.max("weight").alias("weight"), F.min("max_repeats").alias("max_repeats"))
     enc, first = blocks(docs, mix, path, block, bucket_docs)
     have = first.groupBy("source").agg(F.sum("blocks").alias("blocks"))
     goal = targets(mix.join(have, "source").select("source", "weight", "max_repeats", "blocks").toPandas().sort_values("source").reset_index(drop=True))

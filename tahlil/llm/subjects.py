@@ -224,7 +224,7 @@ def mixed(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     there are no rows. Repeated documents give repeated rows.
     """
     spark = docs.sparkSession
-    subjects = sorted(r.subject for r in areas.select("subject").distinct().collect())
+    subjects = sorted(r.subject for r in areas.select("subject").distinct().collect() if r.subject)
     empty = spark.createDataFrame([], "doc_id long, cell_no int, prose boolean, subject string, share double")
     matrix = written(rows(docs), "subject-rows")
     terms = vocabulary(matrix)

@@ -32,10 +32,14 @@ def test_shard_counts():
     assert counts.sum(0).tolist() == [5_000, 3_000, 2] and (counts >= 0).all() and len(counts) > 1
 
 
+def pieces_of(mix):
+    return {d.doc_id for r in mix for d in r.docs}
+
+
 def test_mix(spark):
-    docs = [(i, " ".join(f"kelime{i}x{j}" for j in range(i % 5)), "a" if i % 3 else "b") for i in range(150)] + [(900, None, "a"), (901, "", "b"), (902, "yok", None), (903, "öbür", "c")]
+    docs = [(i, " ".join(f"kelime{i}x{j}" for j in range(i % 5)), "a" if i % 3 else "b") for i in range(150)] + [(900, None, "a"), (901, "", "b"), (902, "yok", None), (903, "öbür", "c"), (None, "boş anahtar", "a")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, source string, bucket int")
-    target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("z", 0.0, 1)], "source string, weight double, max_repeats int")
+    target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("z", 0.0, 1), ("n", None, 1), (None, 0.5, 1)], "source string, weight double, max_repeats int")
     made = mixture.mixture(df, target, block=8, bucket_docs=20)
     mix = made.collect()
     ids = {r.doc_id: r.ids for r in tokens.encode(df.select("doc_id", "text")).collect()}
@@ -49,5 +53,6 @@ def test_mix(spark):
     assert len({(r.shard, r.slot) for r in mix}) == len(mix)
     assert not {d.doc_id for r in mix for d in r.docs} & {900, 901, 902, 903}
     by = {r.source: r for r in mixture.shares(made, target).collect()}
+    assert None in pieces_of(mix)
     assert abs(by["a"].blocks - by["b"].blocks) <= 1 and by["z"].tokens == 0 and sum(r.share for r in by.values()) == 1
     assert mixture.mixture(df.limit(0), target).count() == 0 and mixture.mixture(df, target.limit(0)).count() == 0
