@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tahlil.functions.patterns import CAPITALS, LETTERS
-from tahlil.operators import classify, gate, names, rules, spans
+from tahlil.operators import classify, gate, names, report, rules, spans
 from tahlil.plans.queries import LAYERS
 from tahlil.sources import files
 
@@ -211,6 +211,28 @@ def merged_rows() -> str:
             SELECT ner_id, generate_subscripts(spans, 1) AS i, unnest(spans) AS x FROM {RAW})))) GROUP BY ner_id, island"""
 
 
+def masked_names() -> str:
+    """Texts without the name pairs, and without capitals left behind a tag."""
+    longest = "list_transform(list_sort(list_transform(coalesce(ps, []), lambda p: {'n': -length(p), 'p': p})), lambda x: x.p)"
+    text = f"list_reduce(list_prepend(text, {longest}), lambda a, p: replace(a, p, '[ISIM_SILINDI]'))"
+    after = f"regexp_replace({text}, '(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+[{CAPITALS}]{{2,}}\\.?)+([ \\t]*(?:\\n|$|[:|]))', '\\1\\2', 'g')"
+    return f"SELECT o.ocr_id, regexp_replace({after}, '(?:\\[ISIM_SILINDI\\][ \\t]*){{2,}}', '[ISIM_SILINDI]', 'g') AS masked FROM ocr_result o LEFT JOIN (SELECT ocr_id, list(DISTINCT w1 || ' ' || w2) AS ps FROM ({NAME_PAIRS}) GROUP BY ocr_id) n ON n.ocr_id = o.ocr_id"
+
+
+def redacted() -> str:
+    """Reports with bad texts replaced, and where."""
+    bad = lambda leaf: f"coalesce(len({remaining('cands', leaf)}) > 0 OR {final_rule(leaf)} IS NOT NULL, false)"
+    new = lambda c: f"CASE WHEN {bad(c)} THEN {q(report.LEFT)} ELSE {c} END AS {c}"
+    paths = [f"CASE WHEN {bad(c)} THEN [{q(c)}] ELSE [] END" for c in report.TEXTS]
+    items = [(c, None) for c in report.LISTS] + [(c, f) for c, fields in report.STRUCTS.items() for f in fields]
+    for c, f in items:
+        leaf = f"v.{f}" if f else "v"
+        end = f"].{f}" if f else "]"
+        paths.append(f"coalesce(list_filter(list_transform({c}, lambda v, i: CASE WHEN {bad(leaf)} THEN '{c}[' || (i - 1) || '{end}' END), lambda x: x IS NOT NULL), [])")
+    every = f"flatten([{', '.join(paths)}])"
+    return f"SELECT report_id, {new('ozet')}, {new('gerekce')}, {new('primer_bolge')}, array_to_string({every}, '|') AS paths FROM (SELECT *, CASE WHEN primer_bolge IS NULL THEN [] ELSE [primer_bolge] END AS cands FROM doctor_report)"
+
+
 def sql() -> dict[str, str]:
     """All SQL by name."""
     layers = {name: f"SELECT ocr_id, {rules.layer_sql(k, 'text')} AS masked FROM ocr_result" for k, name in LAYERS.items() if k != "a03"}
@@ -233,6 +255,8 @@ def sql() -> dict[str, str]:
     label = f"^[^:\\n]{{1,30}}:[ \\t]*([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]+([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]*$"
     return layers | {
         "flagship": f"SELECT engine, count(*) AS n_texts, count(*) FILTER (text <> m) AS n_changed, count(*) FILTER ({final_rule('m')} IS NOT NULL) AS n_blocked, CAST(round_even(avg(length(m)), 2) AS DOUBLE) AS mean_chars FROM (SELECT engine, text, {masked} AS m FROM ocr_result) GROUP BY engine",
+        "a11_names": masked_names(),
+        "a19_report_redact": redacted(),
         "a15_span_masking": overlay(),
 "a17_review_mask": f"SELECT ner_id, list_reduce(list_prepend(text, list_transform({CANDIDATES}, lambda c: c)), lambda a, c, i: replace(a, c, '[KAPI_BULGUSU_' || (i - 1) || ':person]')) AS review FROM ner_result",
         "a18_judge_view": f"SELECT ner_id, regexp_replace(text, {q(gate.TAG)}, '█', 'g') AS neutral FROM ner_result",
