@@ -314,7 +314,7 @@ def sql() -> dict[str, str]:
         "k08_markdown": f"SELECT report_id, {markdown()} AS markdown FROM doctor_report",
         "o01_recent": "SELECT id, status, filename, ref, size_bytes FROM jobs ORDER BY created_at DESC, id LIMIT 50",
         "o02_recent_status": "SELECT id, status, filename FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, id LIMIT 20",
-        "o03_export": "SELECT ts, host, allowed, text_sha256, chars FROM (SELECT DISTINCT * FROM egress_audit)",
+        "o03_export": "SELECT epoch_us(ts) AS ts_us, host, allowed, text_sha256, chars FROM (SELECT DISTINCT * FROM egress_audit)",
         "o04_groups_desc": "SELECT ref, count(*) AS n FROM jobs GROUP BY ref",
         "o05_span_order": f"SELECT ner_id, {joined('''list_transform(list_sort(list_transform(spans, lambda s: {'a': s.start, 'b': s.start - s.\"end\", 'c': -s.score, 'l': s.label})), lambda k: k.a || ':' || (k.a - k.b) || ':' || k.l)''')} AS spans FROM {RAW}",
         "o06_longest_first": f"SELECT term_id, {joined('''list_transform(list_sort(list_transform(aliases, lambda a: {'n': -length(a), 'a': a})), lambda x: x.a)''')} AS aliases FROM canonical_term",

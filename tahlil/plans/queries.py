@@ -435,7 +435,7 @@ def o02_recent_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o03_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit log in order of time."""
-    return table(spark, sf_dir, "egress_audit").distinct().select("ts", "host", "allowed", "text_sha256", "chars").orderBy("ts", "text_sha256")
+    return table(spark, sf_dir, "egress_audit").distinct().orderBy("ts", "text_sha256").select(F.unix_micros("ts").alias("ts_us"), "host", "allowed", "text_sha256", "chars")
 
 
 def o04_groups_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
