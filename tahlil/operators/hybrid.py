@@ -36,7 +36,7 @@ def rule_spans(df: DataFrame, text: str, out: str = "rule_spans") -> DataFrame:
             rows = [[{"start": m.start(), "end": m.end(), "text": m.group(), "label": label, "score": SURE} for label, p in made for m in p.finditer(t) if m.group()] if t else [] for t in f[text]]
             yield f.drop(columns=out, errors="ignore").assign(**{out: rows})
 
-    return df.drop(out).mapInPandas(run, models._with(df, out, models.SPANS))
+    return df.drop(out).mapInPandas(run, models.extended(df, out, models.SPANS))
 
 
 def masked(df: DataFrame, text: str, make: Callable, out: str = "masked") -> DataFrame:

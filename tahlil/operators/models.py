@@ -25,7 +25,8 @@ ATTEMPTS = "array<struct<attempt:int,outcome:string>>"
 RETRIED, FINAL = ("Timeout", "TimeoutError", "ConnectionError", "Overloaded"), ("done", "refused", "cut", "failed")
 
 
-def _with(df: DataFrame, name: str, kind: str) -> StructType:
+def extended(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of `df` with one more column, in place of one of that name."""
     fields = [f for f in df.schema.fields if f.name != name]
     return StructType([*fields, *StructType.fromDDL(f"{name} {kind}").fields])
 
@@ -50,7 +51,7 @@ def entities(df: DataFrame, text: str, make: Callable[[], Callable[[str], list[S
                 rows.append([{"start": a, "end": b, "text": t[a:b], "label": label, "score": s} for (a, b, label), s in sorted(best.items())])
             yield f.drop(columns=out, errors="ignore").assign(**{out: rows})
 
-    return df.drop(out).mapInPandas(run, _with(df, out, SPANS))
+    return df.drop(out).mapInPandas(run, extended(df, out, SPANS))
 
 
 def mostly_capitals(text: str) -> bool:
@@ -88,7 +89,7 @@ def judged(df: DataFrame, text: str, make: Callable[[], Callable[[str], str]], a
             got = [ask(chat, t) for t in f[text]]
             yield f.drop(columns=out, errors="ignore").assign(**{out: [{"findings": x, "error": e} for x, e in got]})
 
-    asked = df.drop(out).mapInPandas(run, _with(df, out, f"struct<findings:{FINDINGS},error:string>"))
+    asked = df.drop(out).mapInPandas(run, extended(df, out, f"struct<findings:{FINDINGS},error:string>"))
     keep = lambda x: is_real(x["text"], F.col(text)) & ~is_label_only(x["text"]) & ~is_self_refuting(x["text"], x["reason"]) & ~is_medical_code(x["text"], x["type"])
     return asked.withColumn(out, F.struct(F.filter(F.col(out)["findings"], keep).alias("findings"), F.col(out)["error"].alias("error")))
 

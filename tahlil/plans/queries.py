@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tahlil.functions import turkish
 from tahlil.operators import classify, gate, hybrid, jobs, metrics, models, names, quantities, report, rules, spans
+from tahlil.plans import pipeline
 from tahlil.session import shared_dir, spread, table
 from tahlil.sources import files
 
@@ -481,6 +482,20 @@ def s12_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- t, u, w, x ---------------------------------------------------------------------------------------------------
+def t00_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through all stages: whether they passed the gate, and why they may not go out."""
+    o = spread(table(spark, sf_dir, "ocr_result").select("ocr_id", "text", "alt_text"))
+    d = pipeline.decided(pipeline.masked(o, table(spark, sf_dir, "name_lexicon"), "ocr_id"), other="alt_text")
+    return d.select("ocr_id", "gate.passed", F.size("gate.findings").alias("n_findings"), "decision.allowed", _joined(F.col("decision.reasons")).alias("reasons"))
+
+
+def g12_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By kind of case: personal entries left and medical terms lost by rules and dictionary, and the gate's answer."""
+    c = spread(table(spark, sf_dir, "synth_case").select("id", "kind", "text", "pii", "keep"))
+    d = pipeline.decided(pipeline.masked(c, table(spark, sf_dir, "name_lexicon"), "id"))
+    return metrics.leaks(d.withColumn("passed", F.col("gate.passed")), ["kind"], passed="passed")
+
+
 def t01_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over masked forms."""
     g = gate.checked(spread(_spans(spark, sf_dir)), "text", "candidates")
