@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tahlil.llm import canonical, mixture, personal, scanned, skeleton, split, subjects, tokens
+from tahlil.operators import metrics
 from tahlil.session import table
 
 
@@ -61,6 +62,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.found(p5_texts(spark, sf_dir))
 
 
+def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By kind of case: personal entries left and medical terms lost in the texts with placeholders."""
+    cases = table(spark, sf_dir, "synth_case")
+    done = p5_texts(spark, sf_dir).filter("tbl = 'synth_case'").select(F.col("rec_key").alias("id"), "masked")
+    return metrics.leaks(cases.join(done, "id"), ["kind"])
+
+
 def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both readings of each page repaired."""
     return scanned.repaired(table(spark, sf_dir, "ocr_result"))
