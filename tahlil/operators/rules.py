@@ -13,12 +13,12 @@ from tahlil.functions.patterns import CAPITALS, LETTERS, Rule, anycase, anyof, a
 
 B = "[ \\t]*"
 SEP = f"{B}[:.=]{{0,2}}{B}"
-WORD = f"[{CAPITALS}][{LETTERS}]+"
+WORD = f"[{CAPITALS}][{LETTERS}]+(?:-[{CAPITALS}][{LETTERS}]+)?"
 #: Words that begin the next field of a line, so that a name ends before them (fixed values).
 FIELD_WORDS = ("isteyen", "gönderen", "gönd", "servis", "doktor", "dokt", "tc", "yaş", "cinsiyet", "doğum", "baba", "anne", "protokol", "rapor", "biyopsi", "dosya", "kabul", "numune", "tarih", "klinik", "tetkik", "patoloji", "hasta")
 NEXT = f"(?!{anyof(*FIELD_WORDS)}(?![{LETTERS}]))(?![{LETTERS}]+{B}[:=])"
-NAME = f"{WORD}(?:[ \\t]+{NEXT}[{LETTERS}]{{2,}}){{0,3}}"
-NAMES = f"[{CAPITALS}][{LETTERS}.]+(?:[ \\t]+[{CAPITALS}][{LETTERS}.]+){{0,3}}"
+NAME = f"(?:[{CAPITALS}]\\.{B})?{WORD}(?:[ \\t]+{NEXT}[{LETTERS}]{{2,}}(?:-[{LETTERS}]+)?){{0,3}}"
+NAMES = f"[{CAPITALS}][{LETTERS}.]+(?:-[{CAPITALS}][{LETTERS}]+)?(?:[ \\t]+[{CAPITALS}][{LETTERS}.]+(?:-[{CAPITALS}][{LETTERS}]+)?){{0,3}}"
 NO = anyof("no", "numarası")
 REF = "[0-9A-Za-z_/-]"
 
@@ -65,6 +65,8 @@ A4 = [
         anycase("uzm.~dr.~"),
         anycase("op.~dr.~"),
         anycase("asist.~dr.~"),
+        anycase("pat.~uzm.~"),
+        f"{anycase('patolog')}[ \\t]+",
         anycase("eğitim görevlisi "),
         anycase("dr.~öğr.~üyesi "),
         f"{anycase('asistan~dr')}[:.]{B}",
@@ -136,6 +138,17 @@ A8 = [
     Rule("a08", "Web", "[0-9A-Za-z_]+\\.(?:edu|gov|org|com)\\.tr", "[WEB_SILINDI]", "word", "word"),
     Rule("a08", "Adres", f"{anycase('adres')}[iİ]?[ \\t:.=]+[^\\n]{{10,100}}", "[ADRES_SILINDI]", "letter"),
 ]
+# Forms that are written with other separators, and addresses by their parts: stricter than the labelled rules.
+STREET = f"(?:{anyof('caddesi', 'cad.', 'sokağı', 'sokak', 'sok.', 'sk.', 'bulvarı', 'bulv.')})"
+HOUSE = f"(?:[,]?[ \\t\\n]{{0,2}}(?:{anyof('no', 'daire', 'kat', 'd')}{B}[:.]?{B}[0-9]+(?:/[0-9]+)?|[0-9]{{1,4}}(?:/[0-9]+)?))"
+A20 = [
+    Rule("a20", "Kimlik No (ayrık)", "[1-9](?:[ .\n-]?[0-9]){10}", "[KIMLIK_SILINDI]", "word", "word"),
+    Rule("a20", "Telefon (ayrık)", "(?:\\+90|0090|90|0)[ ./-]?\\(?0?[2-5][0-9]{2}\\)?[ \n./-]{0,2}[0-9]{3}[ \n./-]?[0-9]{2}[ \n./-]?[0-9]{2}", TEL, "word", "word"),
+    Rule("a20", "Telefon (ayrık)", "\\(?0?[2-5][0-9]{2}\\)?[ \n-][0-9]{3}[ \n-][0-9]{2}[ \n-]?[0-9]{2}", TEL, "word", "word"),
+    Rule("a20", "E-posta (ayrık)", f"[{LETTERS}0-9_.+-]+[ \\t]?(?:@|\\[[aA][tT]\\]|\\([aA][tT]\\))[ \\t\n]?[{LETTERS}0-9_-]+[ \\t\n]?(?:\\.|\\[[nN][oO][kK][tT][aA]\\]|\\([nN][oO][kK][tT][aA]\\))[ \\t\n]?[{LETTERS}]{{2,}}", "[EMAIL_SILINDI]", "word", "letter"),
+    Rule("a20", "Adres (mahalle)", f"[{CAPITALS}][{LETTERS}]+[ \\t\n]+{anyof('mahallesi', 'mah.')}[ \\t\n]+(?:[{LETTERS}]+|[0-9]+\\.)[ \\t\n]+{STREET}{HOUSE}*(?:,?[ \\t][{CAPITALS}][{LETTERS}]+)?", "[ADRES_SILINDI]", "letter"),
+    Rule("a20", "Adres (sokak)", f"(?:[{CAPITALS}][{LETTERS}]+|[0-9]{{1,4}}\\.)[ \\t\n]+{STREET}{HOUSE}+(?:,?[ \\t][{CAPITALS}][{LETTERS}]+)?", "[ADRES_SILINDI]", "word"),
+]
 A9 = [Rule("a09", "Diploma tescil no", f"{anycase('dip')}[lL]?[.:-]?{B}{anycase('tescil')}{B}(?:[nNwW][oOgG])?{SEP}[0-9]*", "[DIPLOMA_SILINDI]", "letter")]
 A10 = [
     Rule("a10", "İmza/güvenlik bloğu", f"(?s:{anycase('bu belge')}.*?{anycase('imzalanmıştır')}\\.?)", ""),
@@ -151,7 +164,7 @@ A13 = [
     Rule("a13", "satır sonu", "[ \\t]+\n", "\n"),
     Rule("a13", "başta ve sonda", "^[ \\t\\n]+|[ \\t\\n]+$", ""),
 ]
-LAYERS = {"a01": A1, "a02": A2, "a03": A3, "a04": A4, "a07": A7, "a08": A8, "a09": A9, "a10": A10, "a12": A12, "a13": A13}
+LAYERS = {"a01": A1, "a02": A2, "a03": A3, "a04": A4, "a07": A7, "a08": A8, "a09": A9, "a10": A10, "a12": A12, "a13": A13, "a20": A20}
 
 
 def dates(c: Column) -> Column:
@@ -207,16 +220,16 @@ def layer_sql(name: str, text: str) -> str:
     return dates_sql(text) if name == "a05" else ages_sql(text) if name == "a06" else sql(text, LAYERS[name])
 
 
-ORDER = ("a01", "a02", "a03", "a09", "a04", "a05", "a06", "a07", "a08", "a10", "a12", "a13")
+ORDER = ("a01", "a02", "a03", "a09", "a04", "a05", "a06", "a20", "a07", "a08", "a10", "a12", "a13")
 
 
-def masked(df: DataFrame, text: str = "text", out: str = "masked", remove_dates: bool = True, generalize_age: bool = True, remove_institutions: bool = True) -> DataFrame:
+def masked(df: DataFrame, text: str = "text", out: str = "masked", remove_dates: bool = True, generalize_age: bool = True, remove_institutions: bool = True, strict: bool = True) -> DataFrame:
     """`df` with the masked text in `out` and the names of the rules that applied in `fields_removed`.
 
     Each layer is a projection of its own, so that its text is computed once for the rules and the report. Null
-    stays null and reports nothing. Columns `out` and `fields_removed` of `df` are replaced.
+    stays null and reports nothing. `strict` adds the forms with other separators and addresses by their parts. Columns `out` and `fields_removed` of `df` are replaced.
     """
-    off = {"a05": not remove_dates, "a06": not generalize_age, "a07": not remove_institutions}
+    off = {"a05": not remove_dates, "a06": not generalize_age, "a07": not remove_institutions, "a20": not strict}
     df = df.withColumn("__t", F.col(text)).withColumn("__f", F.array().cast("array<string>"))
     for name in ORDER:
         if off.get(name):

@@ -32,6 +32,13 @@ def run(spark, text, layer=None, **flags):
         ("a08", "Tel: 0532 111 22 33 son", "0532", ""),
         ("a08", "yaz: a.b@ornek.example son", "a.b@", "son"),
         ("a09", "Dip. Tescil No: 12345 Dr", "12345", "Dr"),
+        ("a20", "Kimlik 930-558-885-75 ve 98938 756896 son", "930", "son"),
+        ("a20", "İletişim 0 504.090.38.99 ya da 0299/1135899 ya da 502-699-6261 son", "504", "son"),
+        ("a20", "yaz: x_y(at)ornek.example ya da z @ ornek . example son", "ornek", "son"),
+        ("a20", "Ev: Gül Mah. Lale Sok. No: 4/5 Taşova\nTarih", "Lale", "Tarih"),
+        ("a20", "60. Sokak No 8 Yenice\nkesit 2,5 cm", "Sokak", "kesit 2,5 cm"),
+        ("a20", "Barkod 4343170044378 ve 12 mm", "yok", "4343170044378"),
+        ("a04", "Patolog Ceren Boztepe-Akdal\nson", "Akdal", "son"),
         ("a12", "İşlem No: 1234567 ve 51441/23", "51441", "ve"),
     ],
 )
