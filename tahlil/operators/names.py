@@ -13,7 +13,7 @@ from tahlil.functions.let import let
 from tahlil.functions.patterns import CAPITALS, LETTERS, anyof
 from tahlil.functions.turkish import ascii_fold, upper
 from tahlil.operators.rules import CASES as CASES_RULE
-from tahlil.operators.rules import PLACES, place_form
+from tahlil.operators.rules import NAME, PLACES, place_form
 
 SENT_ROWS = 200_000
 # Endings of surnames (fixed values).
@@ -25,6 +25,7 @@ SECTIONS = ("makroskopi", "mikroskopi", "tanı", "epikriz", "immünohistokimya",
 ENDS = ("uzm", "prof", "doç", "op", "yrd", "dr", "asistan", "patolog", "patoloji uzman", "dip", "raporlayan", "onaylayan", "gönderen", "imza", "kurum", "tel", "adres", "e-posta", "hasta ad", "adı soyad", "isteyen doktor", "tc kim")
 STARTS = f"^[ \\t]*{anyof(*SECTIONS)}(?:$|[^{LETTERS}])"
 STOPS = f"^[ \\t]*{anyof(*ENDS)}"
+POLITE = ("BEY", "HANIM")  # words behind a name (fixed values)
 CASES = ("", "DA", "DE", "DAN", "DEN", "TA", "TE", "YA", "YE")
 
 
@@ -56,15 +57,17 @@ def dictionary(names: DataFrame) -> DataFrame:
     return F.broadcast(d) if d.limit(SENT_ROWS + 1).count() <= SENT_ROWS else d
 
 
-def name_pairs(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, pos, w1, w2): neighbouring words that are a person's name, outside medical sections.
+def name_pairs(docs: DataFrame, names: DataFrame, key: str, text: str, everywhere: bool = False) -> DataFrame:
+    """(key, line_no, pos, w1, w2): neighbouring words that are a person's name, outside medical sections (or `everywhere`).
 
     Both words are known, or a first name stands before a surname or one with a surname's ending (not if either is an
-    ordinary word too), or a surname before a first name. "Umut verici": a small second word is no name.
+    ordinary word too), or a surname before a first name, or a known word before "Bey" or "Hanım", or an initial
+    before a surname. "Umut verici": a small second word is no name.
     """
     line = docs.select(key, F.posexplode(F.arrays_zip(F.split(text, "\n", -1).alias("line"), in_sections(F.col(text)).alias("medical"))).alias("line_no", "x"))
-    line = line.select(key, "line_no", "x.line", "x.medical").filter("not medical")
-    two = pairs(line, key).filter("length(w1) between 2 and 20 and length(w2) between 2 and 20")
+    line = line.select(key, "line_no", "x.line", "x.medical")
+    line = line if everywhere else line.filter("not medical")
+    two = pairs(line, key).filter("length(w1) <= 20 and length(w2) between 2 and 20")
     two = two.filter(~(F.col("w1").rlike(f"^[{CAPITALS}]") & ~F.col("w2").rlike(f"^[{CAPITALS}]")))
     two = two.withColumns({"u1": upper(F.col("w1")), "u2": upper(F.col("w2"))})
     d = dictionary(names)
@@ -74,9 +77,24 @@ def name_pairs(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFr
     ending = F.lit(False)
     for s in SUFFIXES:
         ending = ending | F.col("u2").endswith(s)
+    polite = (F.col("f1") | F.col("s1")) & F.col("u2").isin(*POLITE)
     plain = ~F.col("u1").isin(*AMBIGUOUS) & ~F.col("u2").isin(*AMBIGUOUS)
+    initial = (F.length("w1") == 1) & F.col("w1").rlike(f"^[{CAPITALS}]$") & F.col("s2")
     known = (F.col("f1") | F.col("s1")) & (F.col("f2") | F.col("s2"))
-    return j.filter(known | (F.col("f1") & ending & plain)).select(key, "line_no", "pos", "w1", "w2")
+    return j.filter(known | polite | initial | (F.col("f1") & ending & plain)).select(key, "line_no", "pos", "w1", "w2")
+
+
+LABELLED = f"(?:(?:{anyof('hasta adı', 'adı soyadı', 'ad soyad', 'isim', 'hasta', 'refakatçi', 'patolog')}[ \\t]*[:=]{{1,2}}|{anyof('patolog', 'dr.', 'uzm.')})[ \\t]+)({NAME})"
+
+
+def learned(docs: DataFrame, text: str, least: int = 2) -> DataFrame:
+    """(token, is_first, is_surname): words that stand in labelled fields at least so many times, and more often there than
+    one time in ten; the forms of a corpus teach its names."""
+    named = docs.select(F.explode(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(1))).alias("value"))
+    named = named.select(F.explode(F.regexp_extract_all("value", F.lit(f"([{LETTERS}]{{3,}})"), F.lit(1))).alias("word"))
+    named = named.groupBy(upper(F.col("word")).alias("token")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least)
+    every = docs.select(F.explode(F.regexp_extract_all(text, F.lit(f"([{LETTERS}]{{3,}})"), F.lit(1))).alias("word")).groupBy(upper(F.col("word")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return named.join(every, "token").filter(F.col("k") * 10 >= F.col("n")).select("token", F.lit(True).alias("is_first"), F.lit(True).alias("is_surname"))
 
 
 def labelled_values(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
@@ -95,13 +113,13 @@ def exact_places(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
 
 
-def mask_names(docs: DataFrame, names: DataFrame, key: str, text: str, out: str = "masked") -> DataFrame:
+def mask_names(docs: DataFrame, names: DataFrame, key: str, text: str, out: str = "masked", everywhere: bool = False) -> DataFrame:
     """(key, out): each text with the name pairs, and names left after a mask tag or a title, replaced.
 
     `key` must be unique. Overlapping pairs are one name. The found pairs are put back by a join on the key; texts
     without any stay as they are. A null text stays null.
     """
-    found = name_pairs(docs, names, key, text).groupBy(key).agg(F.collect_set(F.concat_ws(" ", "w1", "w2")).alias("__pairs"))
+    found = name_pairs(docs, names, key, text, everywhere).groupBy(key).agg(F.collect_set(F.concat("w1", F.when(F.length("w1") == 1, ". ").otherwise(" "), "w2")).alias("__pairs"))
     df = docs.select(key, text).join(found, key, "left")
     longest = F.array_sort("__pairs", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     masked = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col(text), lambda acc, p: F.replace(acc, p, F.lit("[ISIM_SILINDI]")))

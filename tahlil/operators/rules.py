@@ -40,7 +40,7 @@ A2 = [
         ("Defter No", anycase("defter~no")),
     )
 ] + [Rule("a02", "Protokol No (format)", "[A-Z]-[0-9]{4,7}/?[0-9]{0,4}", "[REFERANS_SILINDI]", "word", "word")]
-TITLES = f"(?:(?:{anyof('prof', 'uzm', 'doç', 'op', 'yrd', 'asist')}\\.?{B})*{anycase('dr.~')})?"
+TITLES = f"(?:{anyof('prof', 'uzm', 'doç', 'op', 'yrd', 'asist', 'pat', 'dr')}(?:\\.{B}|[ \\t]+))*"
 DOCTOR = f"{TITLES}{NAME}"
 A3 = [
     Rule("a03", "Hasta adı", f"(?:{anycase('hasta ')})?{anyof('adı soyadı', 'adı~-~soyadı', 'adı ve soyadı', 'ad soyad')}{B}[:=.]{{0,2}}{B}{NAME}", "[HASTA_ADI_SILINDI]", "letter"),

@@ -129,9 +129,9 @@ NAME_PAIRS = f"""
     d AS {DICT},
     j AS (SELECT p.*, coalesce(a.is_first, false) f1, coalesce(a.is_surname, false) s1, coalesce(b.is_first, false) f2, coalesce(b.is_surname, false) s2, {UP('w1')} u1, {UP('w2')} u2
       FROM p LEFT JOIN d a ON a.word = {UP('w1')} LEFT JOIN d b ON b.word = {UP('w2')}
-      WHERE w2 IS NOT NULL AND length(w1) BETWEEN 2 AND 20 AND length(w2) BETWEEN 2 AND 20 AND NOT (regexp_matches(w1, '^[{CAPITALS}]') AND NOT regexp_matches(w2, '^[{CAPITALS}]')))
+      WHERE w2 IS NOT NULL AND length(w1) <= 20 AND length(w2) BETWEEN 2 AND 20 AND NOT (regexp_matches(w1, '^[{CAPITALS}]') AND NOT regexp_matches(w2, '^[{CAPITALS}]')))
     SELECT ocr_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, w1, w2 FROM j
-    WHERE ((f1 OR s1) AND (f2 OR s2)) OR (f1 AND ({' OR '.join(f"suffix(u2, {q(s)})" for s in names.SUFFIXES)}) AND NOT list_contains({listed(names.AMBIGUOUS)}, u1) AND NOT list_contains({listed(names.AMBIGUOUS)}, u2))"""
+    WHERE ((f1 OR s1) AND (f2 OR s2)) OR ((f1 OR s1) AND list_contains({listed(names.POLITE)}, u2)) OR (length(w1) = 1 AND regexp_matches(w1, '^[{CAPITALS}]$') AND s2) OR (f1 AND ({' OR '.join(f"suffix(u2, {q(s)})" for s in names.SUFFIXES)}) AND NOT list_contains({listed(names.AMBIGUOUS)}, u1) AND NOT list_contains({listed(names.AMBIGUOUS)}, u2))"""
 
 
 def residual_union() -> str:
@@ -216,7 +216,7 @@ def masked_names() -> str:
     longest = "list_transform(list_sort(list_transform(coalesce(ps, []), lambda p: {'n': -length(p), 'p': p})), lambda x: x.p)"
     text = f"list_reduce(list_prepend(text, {longest}), lambda a, p: replace(a, p, '[ISIM_SILINDI]'))"
     after = f"regexp_replace({text}, '(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+[{CAPITALS}]{{2,}}\\.?)+([ \\t]*(?:\\n|$|[:|]))', '\\1\\2', 'g')"
-    return f"SELECT o.ocr_id, regexp_replace({after}, '(?:\\[ISIM_SILINDI\\][ \\t]*){{2,}}', '[ISIM_SILINDI]', 'g') AS masked FROM ocr_result o LEFT JOIN (SELECT ocr_id, list(DISTINCT w1 || ' ' || w2) AS ps FROM ({NAME_PAIRS}) GROUP BY ocr_id) n ON n.ocr_id = o.ocr_id"
+    return f"SELECT o.ocr_id, regexp_replace({after}, '(?:\\[ISIM_SILINDI\\][ \\t]*){{2,}}', '[ISIM_SILINDI]', 'g') AS masked FROM ocr_result o LEFT JOIN (SELECT ocr_id, list(DISTINCT w1 || CASE WHEN length(w1) = 1 THEN '. ' ELSE ' ' END || w2) AS ps FROM ({NAME_PAIRS}) GROUP BY ocr_id) n ON n.ocr_id = o.ocr_id"
 
 
 def redacted() -> str:
