@@ -290,7 +290,7 @@ def sql() -> dict[str, str]:
         "g01_status_counts": "SELECT status, count(*) AS n FROM jobs GROUP BY status",
         "g02_log_stats": "SELECT count(*) AS n, coalesce(CAST(round_even(avg(len(fields_removed)), 1) AS DOUBLE), 0.0) AS mean_fields, coalesce(CAST(round_even(avg(length(text)), 2) AS DOUBLE), 0.0) AS mean_chars FROM ner_result",
         "g03_distribution": "SELECT kategori, count(*) AS n, CAST(round_even(avg(guven), 3) AS DOUBLE) AS mean_confidence, CAST(round_even(sum(CASE WHEN guven >= 0.5 THEN 1.0 ELSE 0.0 END) / count(*), 3) AS DOUBLE) AS sure_rate FROM doctor_report GROUP BY kategori",
-        "g04_running_mean": "SELECT report_id, kategori, CAST(round_even(avg(guven) OVER (PARTITION BY kategori ORDER BY report_id), 6) AS DOUBLE) AS running_mean FROM doctor_report WHERE guven IS NOT NULL",
+        "g04_running_mean": "SELECT report_id, kategori, CAST(round_even(avg(guven) OVER (PARTITION BY kategori ORDER BY report_id), 9) AS DOUBLE) AS running_mean FROM doctor_report WHERE guven IS NOT NULL",
         "g05_bench_summary": "SELECT engine, count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS n_empty, CAST(round_even(avg(completeness), 3) AS DOUBLE) AS mean_completeness, CAST(round_even(sum(length(text)) / greatest(1, sum(length(alt_text))), 3) AS DOUBLE) AS read_rate, CAST(round_even(avg(seconds), 2) AS DOUBLE) AS mean_seconds, count(*) FILTER (len(warnings) > 0) AS n_warned, list_sort(list(completeness) FILTER (completeness IS NOT NULL))[count(completeness) // 2 + 1] AS completeness_median FROM ocr_result GROUP BY engine",
         "g06_bench_styles": "SELECT engine, pages, grouping(engine, pages) AS level, count(*) AS n, CAST(round_even(avg(completeness), 3) AS DOUBLE) AS mean_completeness, CAST(round_even(sum(length(text)) / greatest(1, sum(length(alt_text))), 3) AS DOUBLE) AS read_rate FROM ocr_result GROUP BY GROUPING SETS ((engine), (engine, pages))",
         "g07_keyword_argmax": f"SELECT ocr_id, top.c AS category, CAST(-top.s AS INTEGER) AS score FROM (SELECT ocr_id, list_sort(list_transform({evidence('text')}, lambda r: {{'s': -len(r.keywords), 'o': r.ord, 'c': r.category}}))[1] AS top FROM ocr_result)",

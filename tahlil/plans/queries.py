@@ -136,7 +136,7 @@ def c07_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c08_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of the first reading against the second."""
-    o = table(spark, sf_dir, "ocr_result").filter("text is not null and alt_text is not null")
+    o = spread(table(spark, sf_dir, "ocr_result").select("ocr_id", "text", "alt_text").filter("text is not null and alt_text is not null"))
     return o.select("ocr_id", metrics.error_rate(_seven_bit(F.col("alt_text")), _seven_bit(F.col("text"))).alias("cer"))
 
 
@@ -294,7 +294,7 @@ def g03_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g04_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each category after every report."""
     d = table(spark, sf_dir, "doctor_report").filter("guven is not null")
-    return jobs.running_means(d, "kategori", "guven", ["report_id"]).select("report_id", "kategori", F.bround("running_mean", 6).alias("running_mean"))
+    return jobs.running_means(d, "kategori", "guven", ["report_id"]).select("report_id", "kategori", F.bround("running_mean", 9).alias("running_mean"))
 
 
 def g05_bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

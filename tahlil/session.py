@@ -21,9 +21,16 @@ def _zipped() -> str:
     return shutil.make_archive(f"{tempfile.mkdtemp()}/tahlil", "zip", HOME, "tahlil")
 
 
+BATCH_BYTES = 16 << 20  # most bytes of an Arrow batch; rows are texts, so their number says little
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes the package known to Python workers: by its place on one machine, as an archive on a cluster."""
+    """Makes the package known to Python workers: by its place on one machine, as an archive on a cluster. Batches that
+    go to them are kept small in bytes, for long texts."""
     sc = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name, "0").rstrip("b") or 0) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
     if sc.master.startswith("local"):
         sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([HOME, *filter(None, sc.environment.get("PYTHONPATH", "").split(os.pathsep))]))
     elif not any(f.endswith("tahlil.zip") for f in sc.listFiles):
