@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> None:
     go to them are kept small in bytes, for long texts."""
     sc = spark.sparkContext
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name, "0").rstrip("b") or 0) <= BATCH_BYTES:
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
     if sc.master.startswith("local"):
         sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([HOME, *filter(None, sc.environment.get("PYTHONPATH", "").split(os.pathsep))]))
