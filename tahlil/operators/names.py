@@ -6,6 +6,11 @@ misread by a letter or two are compared only within blocks of the same first let
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cache, lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,11 @@ AMBIGUOUS = ("DENİZ", "DENIZ", "UMUT", "GÜNEŞ", "GUNES", "TOPRAK", "BAHAR", "
 # Beginnings of sections that are medical text, and of the lines that end them (fixed values).
 SECTIONS = ("makroskopi", "mikroskopi", "tanı", "epikriz", "immünohistokimya", "histokimya", "klinik bilgi", "klinik öykü", "bulgular", "öykü", "yorum", "sonuç", "ön tanı")
 ENDS = ("uzm", "prof", "doç", "op", "yrd", "dr", "asistan", "patolog", "patoloji uzman", "dip", "raporlayan", "onaylayan", "gönderen", "imza", "kurum", "tel", "adres", "e-posta", "hasta ad", "adı soyad", "isteyen doktor", "tc kim")
+# Words in capitals that are near a province with an ending, but medical (fixed values).
+MEDICAL = frozenset(
+    """KARSİNOM KARSİNOMU ADENOKARSİNOM SARKOM LENFOMA MELANOM GLİOBLASTOM SEMİNOM METASTAZ METASTATİK MATERYAL MATERYALİ BİYOPSİ BİYOPSİSİ
+    REZEKSİYON EKSİZYON HİSTOLOJİ MİKROSKOPİ MAKROSKOPİ PATOLOJİ ONKOLOJİ HEMATOLOJİ RADYOLOJİ ANAMNEZ TETKİK TETKİKLER TANILAR PROTOKOL""".split()
+)
 STARTS = f"^[ \\t]*{anyof(*SECTIONS)}(?:$|[^{LETTERS}])"
 STOPS = f"^[ \\t]*{anyof(*ENDS)}"
 POLITE = ("BEY", "HANIM")  # words behind a name (fixed values)
@@ -114,7 +124,8 @@ def exact_places(text: Column) -> Column:
 
 
 def mask_names(docs: DataFrame, names: DataFrame, key: str, text: str, out: str = "masked", everywhere: bool = False) -> DataFrame:
-    """(key, out): each text with the name pairs, and names left after a mask tag or a title, replaced.
+    """(key, out): each text with the name pairs, and capitals left after a mask tag, replaced. This is the part that SQL can
+    say (`a11_names`); the whole layer is `mask_all_names`.
 
     `key` must be unique. Overlapping pairs are one name. The found pairs are put back by a join on the key; texts
     without any stay as they are. A null text stays null.
@@ -148,3 +159,77 @@ def misread_places(docs: DataFrame, key: str, text: str) -> DataFrame:
     near = (F.col("ending") == "") & (F.levenshtein("token", "form", 1).between(0, 1)) | (F.length("token") >= 8) & (F.levenshtein("token", "whole", 2).between(0, 2))
     same = F.abs(F.length("token") - F.length("whole")) <= 1
     return some.join(forms, "block").filter(same & near).select(key, "token", "place").distinct()
+
+
+MARKLESS = str.maketrans("ÇĞİÖŞÜ", "CGIOSU")
+
+
+def upper_text(x: str) -> str:
+    """Upper case in Turkish, as `upper` does it."""
+    return x.replace("i", "İ").replace("ı", "I").upper()
+
+
+@cache
+def _place_words() -> dict[str, list[tuple[str, tuple[str, ...]]]]:
+    """By first letter: the provinces in capitals as in `place_forms`, each with its forms with endings."""
+    out: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+    for form in sorted({f for p in map(upper_text, PLACES) if len(p) >= 6 for f in (p, p.translate(MARKLESS))}):
+        out.setdefault(form[0], []).append((form, tuple(form + e for e in CASES)))
+    return out
+
+
+def distance(a: str, b: str) -> int:
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@lru_cache(100_000)
+def misread(token: str) -> bool:
+    """Whether a word in capitals is a province read with errors: within the bounds of `misread_places`, compared with and
+    without Turkish marks; words that are medical are none with two letters wrong."""
+    forms, plain = _place_words().get(token[0], []), token.translate(MARKLESS)
+    if not 6 <= len(token) <= 14 or any(token == f or plain == f for f, _ in forms):
+        return False
+    for form, whole in forms:
+        if abs(len(form) - len(token)) <= 1 and min(distance(token, form), distance(plain, form)) <= 1:
+            return True
+        if len(token) >= 8 and token not in MEDICAL and any(abs(len(w) - len(token)) <= 1 and min(distance(token, w), distance(plain, w)) <= 2 for w in whole):
+            return True
+    return False
+
+
+# Letters as the rules know them: Python's word characters without digits, "_" and other numbers such as "²".
+LETTER = "[^\\W\\d_" + re.escape("".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())) + "]"
+TOKEN = re.compile(f"{LETTER}+")
+PLACE_CASE = re.compile("['’](?:DAN|DEN|TAN|TEN|DA|DE|TA|TE|NIN|NİN|YA|YE|LI|Lİ)" + f"(?!{LETTER})")
+
+
+def without_misread_places(text: str) -> str:
+    """A text with its misread provinces, and their endings behind an apostrophe, replaced."""
+    out, done = [], 0
+    for m in TOKEN.finditer(text):
+        if 6 <= len(m.group()) <= 14 and m.group().isupper() and misread(m.group()):
+            case = PLACE_CASE.match(text, m.end())
+            out += [text[done : m.start()], "[SEHIR_SILINDI]"]
+            done = case.end() if case else m.end()
+    return "".join(out) + text[done:]
+
+
+def mask_misread_places(df: DataFrame, text: str, removed: str) -> DataFrame:
+    """`df` with misread provinces replaced in `text`, and reported in the array `removed`."""
+    schema, order = df.schema, df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old, said = b.column(order.index(text)), b.column(order.index(removed))
+            new = [None if t is None else without_misread_places(t) for t in old.to_pylist()]
+            more = [[*(r or []), "Şehir (bozuk okunmuş)"] if t != n else r for t, n, r in zip(old.to_pylist(), new, said.to_pylist(), strict=True)]
+            columns = dict(zip(order, b.columns, strict=True)) | {text: pa.array(new, old.type), removed: pa.array(more, said.type)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
+
+    return df.mapInArrow(run, schema)

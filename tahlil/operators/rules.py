@@ -223,15 +223,16 @@ def layer_sql(name: str, text: str) -> str:
 ORDER = ("a01", "a02", "a03", "a09", "a04", "a05", "a06", "a20", "a07", "a08", "a10", "a12", "a13")
 
 
-def masked(df: DataFrame, text: str = "text", out: str = "masked", remove_dates: bool = True, generalize_age: bool = True, remove_institutions: bool = True, strict: bool = True) -> DataFrame:
+def masked(df: DataFrame, text: str = "text", out: str = "masked", remove_dates: bool = True, generalize_age: bool = True, remove_institutions: bool = True, strict: bool = True, layers: tuple[str, ...] = ORDER) -> DataFrame:
     """`df` with the masked text in `out` and the names of the rules that applied in `fields_removed`.
 
     Each layer is a projection of its own, so that its text is computed once for the rules and the report. Null
-    stays null and reports nothing. `strict` adds the forms with other separators and addresses by their parts. Columns `out` and `fields_removed` of `df` are replaced.
+    stays null and reports nothing. `strict` adds the forms with other separators and addresses by their parts. Columns `out` and `fields_removed` of `df` are replaced. `layers` are those to apply, for
+    steps between them that are no rules (`operators.engine`).
     """
     off = {"a05": not remove_dates, "a06": not generalize_age, "a07": not remove_institutions, "a20": not strict}
     df = df.withColumn("__t", F.col(text)).withColumn("__f", F.array().cast("array<string>"))
-    for name in ORDER:
+    for name in layers:
         if off.get(name):
             continue
         rules = [*A5_FULL, *A5_REST] if name == "a05" else LAYERS.get(name, [])

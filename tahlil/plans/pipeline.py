@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tahlil.operators import gate, names, rules
+from tahlil.operators import engine, gate, names, rules
 from tahlil.session import written
 
 
 def masked(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", out: str = "masked") -> DataFrame:
-    """`docs` with the text masked by the rules and by the dictionary of names, to which the names of the labelled fields of
+    """`docs` with the text masked by the whole engine with the dictionary of names, to which the names of the labelled fields of
     all documents are added; names are then masked in medical sections too. `key` must be unique."""
     taught = written(names.learned(docs, text), "names")
     lexicon = lexicon.select("token", "is_first", "is_surname").unionByName(taught)
-    by_rule = written(rules.masked(docs.select(key, text), text, "__rules").select(key, "__rules", "fields_removed"), "masked")
-    named = names.mask_names(by_rule, lexicon, key, "__rules", out, everywhere=True)
-    return docs.drop(out, "fields_removed").join(named.join(by_rule.drop("__rules"), key), key)
+    return docs.drop(out, "fields_removed").join(engine.masked(docs, lexicon, key, text, out, everywhere=True), key)
 
 
 def decided(docs: DataFrame, masked: str = "masked", other: str | None = None, candidates: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tahlil.functions import turkish
-from tahlil.operators import classify, gate, hybrid, jobs, metrics, models, names, quantities, report, rules, spans
+from tahlil.operators import classify, engine, gate, hybrid, jobs, metrics, models, names, quantities, report, rules, spans
 from tahlil.plans import pipeline
 from tahlil.session import shared_dir, spread, table
 from tahlil.sources import files
@@ -79,8 +79,8 @@ def a11_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a14_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All masking layers in order, with what they removed."""
-    m = rules.masked(spread(_texts(spark, sf_dir)))
+    """All masking layers in order, also misread provinces and the dictionary of names, with what they removed."""
+    m = engine.masked(spread(_texts(spark, sf_dir)), table(spark, sf_dir, "name_lexicon"), "ocr_id")
     return m.select("ocr_id", "masked", _joined(F.col("fields_removed")).alias("fields_removed"))
 
 
