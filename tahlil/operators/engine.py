@@ -14,7 +14,7 @@ PLACES_AT, NAMES_AT = rules.ORDER.index("a07") + 1, rules.ORDER.index("a10") + 1
 
 def masked(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text", out: str = "masked", everywhere: bool = False, remove_institutions: bool = True, **flags) -> DataFrame:
     """(key, `out`, `fields_removed`): each text through the whole engine. Names are left in medical sections unless
-    `everywhere`; the flags are those of `rules.masked`. `key` must be unique."""
+    `everywhere`; the flags are those of `rules.masked`."""
     flags["remove_institutions"] = remove_institutions
 
     def layers(d: DataFrame, some: tuple[str, ...]) -> DataFrame:
@@ -26,7 +26,6 @@ def masked(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text", out:
     if remove_institutions:
         d = names.mask_misread_places(d, "__text", "fields_removed")
     d = written(layers(d, rules.ORDER[PLACES_AT:NAMES_AT]), "masked")
-    named = names.mask_names(d, lexicon, "__key", "__text", "__named", everywhere)
-    d = d.join(named, "__key").withColumn("fields_removed", F.when(F.col("__named") != F.col("__text"), F.array_union("fields_removed", F.array(F.lit("İsim (sözlük)")))).otherwise(F.col("fields_removed")))
-    d = layers(d.drop("__text").withColumnRenamed("__named", "__text"), rules.ORDER[NAMES_AT:])
+    d = names.mask_all_names(d, lexicon, "__key", "__text", "fields_removed", everywhere)
+    d = layers(d, rules.ORDER[NAMES_AT:])
     return d.select(F.col("__key").alias(key), F.col("__text").alias(out), "fields_removed")

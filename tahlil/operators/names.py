@@ -233,3 +233,107 @@ def mask_misread_places(df: DataFrame, text: str, removed: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
 
     return df.mapInArrow(run, schema)
+
+
+# Labels whose values are no names (fixed values), and what the sub-rules of the dictionary look for.
+NO_NAME_LABELS = re.compile("TANI|MAKRO|M[İI]KRO|KL[İI]N[İI]K|Ş[İI]KAYET|BULGU|MATERYAL|TETK[İI]K|SERV[İI]S|B[ÖO]L[ÜU]M|ÖYK[ÜU]|OYKU|[İI]STEM|TEDAV[İI]|[İI]LA[ÇC]|SONU[ÇC]|YER[İI]|T[İI]P[İI]|NUMUNE|DOKU|ADET|TÜR[ÜU]|TURU")
+SHORT = f"{LETTER}{{2,20}}"
+LABEL_VALUE = re.compile(f"([^:\\n]{{1,30}}):[ \\t]*({SHORT}(?:[ \\t]+{SHORT}){{1,2}})[ \\t]*")
+GLUED = re.compile(f"[\"'’`][ \\t\\n]*({LETTER}{{2,15}})[ \\t\\n]+({SHORT})(?!{LETTER})")
+SILE = re.compile(f"(?<!{LETTER})sile[ \\t]+AEA[ \\t]*[:.]?(?:[ \\t]*{LETTER}+){{1,4}}", re.IGNORECASE)
+TITLED = re.compile(f"(?<!{LETTER})DR[ \\t\\n]+({SHORT})(?!{LETTER})")
+CAPITAL = "".join(["[A-Z", *(c for c in map(chr, range(0x80, 0x10000)) if c.isupper() and c.isalpha()), "]"])
+LEFT = re.compile(f"(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+{CAPITAL}{{2,}}(?:[ \\t]*\\.)?)+(?=[ \\t]*(?:\\n|$|[:|]))")
+CONTACT = re.compile(f"(\\[(?:WEB|ILETISIM|EMAIL)_SILINDI\\])[ \\t\\n]*({LETTER}{{2,15}})[ \\t\\n]+({SHORT})(?!{LETTER})")
+NAME_TAG = "[ISIM_SILINDI]"
+NAMES_REMOVED = ("İsim (sözlük)", "İsim (bozuk etiket + sözlük)", "İsim (yapışık)", "İsim (bozuk okunmuş)", "Doktor (DR+sözlük)", "İsim (etiket sonrası kalıntı)", "İsim (etiket sonrası)")
+
+
+def name_spans(text: str, known: dict[str, tuple[bool, bool]], medical: list[bool] | None) -> list[tuple[int, int]]:
+    """(begin, end) of the names by the rules of `name_pairs`, only blanks between their words (a full stop behind an
+    initial), and of a known third word; the same names are found wherever else they stand. Spans that touch are one."""
+    spans, said, at = [], {}, 0
+    for no, line in enumerate(text.split("\n")):
+        words = [] if medical and medical[no] else list(TOKEN.finditer(line))
+        for i, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+            w1, w2, between = a.group(), b.group(), line[a.end() : b.start()]
+            letter = len(w1) == 1 and w1.isupper()
+            if not (between.strip(" \t") == "" or letter and between.rstrip(" \t") == ".") or len(w1) > 20 or not 2 <= len(w2) <= 20 or w1[0].isupper() and not w2[0].isupper():
+                continue
+            (f1, s1), (f2, s2), u1, u2 = known.get(w1, (False, False)), known.get(w2, (False, False)), upper_text(w1), upper_text(w2)
+            one = f1 or s1
+            ending = f1 and u2.endswith(SUFFIXES) and u1 not in AMBIGUOUS and u2 not in AMBIGUOUS
+            if not (one and (f2 or s2) or one and u2 in POLITE or letter and s2 or ending):
+                continue
+            third = words[i + 2] if i + 2 < len(words) and line[b.end() : words[i + 2].start()].strip(" \t") == "" and any(known.get(words[i + 2].group(), ())) else None
+            spans.append((at + a.start(), at + (third or b).end()))
+            said[w1, w2] = f"(?<!{LETTER}){re.escape(w1)}(?:[ \\t]+|\\.[ \\t]*){re.escape(w2)}" if letter else f"{re.escape(w1)}[ \\t]+{re.escape(w2)}"
+        at += len(line) + 1
+    for p in said.values():
+        spans += [m.span() for m in re.finditer(p, text)]
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and text[out[-1][1] : b].strip(" \t") == "":
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((b, e))
+    return out
+
+
+def without_names(text: str, known: dict[str, tuple[bool, bool]], medical: list[bool] | None = None) -> tuple[str, list[str]]:
+    """A text without its names, and the sub-rules that applied, in order.
+
+    `known`: of the text's words those of the dictionary, as (is_first, is_surname). `medical`: for each line whether it
+    belongs to a medical section, where only titled names and what stands beside tags is replaced.
+    """
+    first, surname, name = (lambda w: known.get(w, (False, False))[0]), (lambda w: known.get(w, (False, False))[1]), (lambda w: any(known.get(w, ())))
+    calm = lambda m: not (medical and medical[m.string.count("\n", 0, m.start())])
+    steps = [text]
+    for b, e in reversed(name_spans(text, known, medical)):
+        text = text[:b] + NAME_TAG + text[e:]
+    steps.append(text)
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        m = None if medical and medical[i] else LABEL_VALUE.fullmatch(line)
+        if m and not NO_NAME_LABELS.search(upper_text(m[1])):
+            words = m[2].split()
+            if first(words[0]) and all(w[0].isupper() for w in words) and not any(upper_text(w) in AMBIGUOUS for w in words):
+                lines[i] = line[: m.start(2)] + NAME_TAG + line[m.end(2) :]
+    text = "\n".join(lines)
+    steps.append(text)
+    steps.append(GLUED.sub(lambda m: NAME_TAG if calm(m) and (first(m[1]) or surname(m[2])) else m[0], text))
+    steps.append(SILE.sub(NAME_TAG, steps[-1]))
+    steps.append(TITLED.sub(lambda m: "[DOKTOR_SILINDI]" if name(m[1]) else m[0], steps[-1]))
+    steps.append(LEFT.sub(r"\1", steps[-1]))
+    steps.append(CONTACT.sub(lambda m: f"{m[1]} {NAME_TAG}" if name(m[2]) or name(m[3]) else m[0], steps[-1]))
+    return re.sub(r"\[ISIM_SILINDI\](?:[ \t]*\[ISIM_SILINDI\])+", NAME_TAG, steps[-1]), [n for n, a, b in zip(NAMES_REMOVED, steps, steps[1:], strict=False) if a != b]
+
+
+def mask_all_names(docs: DataFrame, names: DataFrame, key: str, text: str, removed: str, everywhere: bool = False) -> DataFrame:
+    """`docs` with the names of the dictionary replaced in `text`, by all sub-rules, and reported in the array `removed`.
+
+    The words of each text are looked up by a join, so the dictionary may grow; what was found goes back to its text by
+    the key. A null text stays null.
+    """
+    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{LETTERS}]+)"), F.lit(1)))).alias("w")).filter("length(w) between 2 and 20")
+    words = words.select(key, "w", F.explode(F.array_distinct(F.array(upper(F.col("w")), ascii_fold(upper(F.col("w")))))).alias("word"))
+    found = words.join(dictionary(names), "word").groupBy(F.col(key).alias("__of")).agg(F.collect_set(F.struct("w", "is_first", "is_surname")).alias("__known"))
+    calm = F.lit(None).cast("array<boolean>") if everywhere else in_sections(F.col(text))
+    df = docs.withColumn("__medical", calm).join(found, F.col(key).eqNullSafe(F.col("__of")), "left").drop("__of")
+    schema, order = docs.schema, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new, more = [], []
+            for t, said, medical, found in zip(*(b.column(c).to_pylist() for c in (text, removed, "__medical", "__known")), strict=True):
+                known: dict[str, tuple[bool, bool]] = {}
+                for r in found or ():
+                    f, s = known.get(r["w"], (False, False))
+                    known[r["w"]] = (f or r["is_first"], s or r["is_surname"])
+                masked, kinds = (None, []) if t is None else without_names(t, known, medical)
+                new.append(masked)
+                more.append([*(said or []), *kinds])
+            columns = {c: b.column(c) for c in order} | {text: pa.array(new, pa.string()), removed: pa.array(more, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
+
+    return df.mapInArrow(run, schema)

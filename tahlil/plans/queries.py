@@ -78,6 +78,12 @@ def a11_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.mask_names(_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"), "ocr_id", "text")
 
 
+def a11_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the names of the dictionary by all sub-rules, with the sub-rules that applied."""
+    docs = _texts(spark, sf_dir).select("ocr_id", "text", F.array().cast("array<string>").alias("removed"))
+    return names.mask_all_names(docs, table(spark, sf_dir, "name_lexicon"), "ocr_id", "text", "removed").select("ocr_id", F.col("text").alias("masked"), _joined(F.col("removed")).alias("names_removed"))
+
+
 def a14_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All masking layers in order, also misread provinces and the dictionary of names, with what they removed."""
     m = engine.masked(spread(_texts(spark, sf_dir)), table(spark, sf_dir, "name_lexicon"), "ocr_id")

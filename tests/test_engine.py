@@ -37,3 +37,34 @@ def test_misread_is_what_the_join_finds(spark):
     joined = {r.token for r in names.misread_places(docs, "id", "text").collect()}
     assert joined <= {w for w in words if names.misread(w)} and {"TRAPZON", "SAMSUM"} <= joined
     assert names.without_misread_places("TRABZON KARSİNOM BATIN ankra") == "TRABZON KARSİNOM BATIN ankra"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("ayla  boztepe geldi", "[ISIM_SILINDI] geldi"),
+        ("Ayla, Boztepe", "Ayla, Boztepe"),
+        ("Ayla Akdere Boztepe geldi", "[ISIM_SILINDI] geldi"),
+        ("Ayla Boztepe Umut geldi", "[ISIM_SILINDI] geldi"),
+        ("A. Boztepe ve B.Boztepe", "[ISIM_SILINDI] ve [ISIM_SILINDI]"),
+        ("AVI SOXAOT: AYLA ERDOĞDU", "AVI SOXAOT: [ISIM_SILINDI]"),
+        ("TETKİK: AYLA ERDOĞDU", "TETKİK: AYLA ERDOĞDU"),
+        ("'SEDA BOZTEPE geldi", "[ISIM_SILINDI] geldi"),
+        ("sile AEA: Xyz", "[ISIM_SILINDI]"),
+        ("Kontrol DR BOZTEPE ile", "Kontrol [DOKTOR_SILINDI] ile"),
+        ("[DOKTOR_SILINDI] ERDEM .\nx", "[DOKTOR_SILINDI]\nx"),
+        ("[WEB_SILINDI] Ayla Erdem", "[WEB_SILINDI] [ISIM_SILINDI]"),
+        ("Umut verici", "Umut verici"),
+        ("TANI:\nAYLA ERDEM: x\n'SEDA BOZTEPE\nDR BOZTEPE", "TANI:\nAYLA ERDEM: x\n'SEDA BOZTEPE\n[DOKTOR_SILINDI]"),
+    ],
+)
+def test_sub_rules(text, want):
+    known = {w: (f, s) for t, f, s in LEXICON for w in (t, t.capitalize(), t.lower())}
+    medical = [text.startswith("TANI")] * (text.count("\n") + 1)
+    assert names.without_names(text, known, medical)[0] == want
+
+
+def test_names_through_the_join(spark, lexicon):
+    docs = spark.createDataFrame([(1, "XX YY: AYLA ERDOĞDU\nDR BOZTEPE", []), (None, "ayla boztepe", []), (2, None, []), (2, "TANI:\nayla boztepe", [])], "id int, text string, removed array<string>")
+    got = sorted((r.id or 0, r.text or "", r.removed) for r in names.mask_all_names(docs, lexicon, "id", "text", "removed").collect())
+    assert got == [(0, "[ISIM_SILINDI]", ["İsim (sözlük)"]), (1, "XX YY: [ISIM_SILINDI]\n[DOKTOR_SILINDI]", ["İsim (bozuk etiket + sözlük)", "Doktor (DR+sözlük)"]), (2, "", []), (2, "TANI:\nayla boztepe", [])]
