@@ -3,7 +3,8 @@
 A cut is chosen in the second half of the space that is left for a piece: among the boundaries of the best
 kind there (page, paragraph, line, sentence, word) the one at the deepest valley of lexical cohesion, that
 is where the words of the block before it and of the block after it have least in common, compared with the
-gaps on both sides. Where no boundary is at hand the text is cut at the limit. Every piece but the first
+gaps on both sides. Without a boundary in that half, the half of what is left before it is searched, and so on;
+only where the whole window has none the text is cut at the limit. Every piece but the first
 starts `overlap` characters before the cut at which the one before it ended.
 """
 
@@ -55,6 +56,14 @@ def valley(text: str, gaps: list[int], lo: int, hi: int) -> int:
     return gaps[max(range(len(gaps)), key=lambda i: (round(depth[i], 9), i))]
 
 
+def boundaries(text: str, begin: int, lo: int, hi: int) -> tuple[str, list[int]] | None:
+    """The best kind that has a boundary in text[lo:hi], and where; None without any."""
+    for kind, pattern in zip(KINDS, BOUNDARIES, strict=False):
+        if gaps := [m.end() for m in pattern.finditer(text, max(begin, lo - 200), hi) if lo <= m.end() <= hi]:
+            return kind, gaps
+    return None
+
+
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(begin, end, kind of the cut at the end) of each piece; text[begin:end] is the piece.
 
@@ -65,14 +74,12 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     out, begin, cut = [], 0, 0
     while len(text) - begin > limit:
         hi = begin + limit
-        lo = max(cut + 1, begin + overlap + 1, cut + (hi - cut) // 2)
-        for kind, pattern in zip(KINDS, BOUNDARIES, strict=False):
-            gaps = [m.end() for m in pattern.finditer(text, max(begin, lo - 200), hi) if lo <= m.end() <= hi]
-            if gaps:
-                end = valley(text, gaps, lo, hi)
-                break
-        else:
-            kind, end = "none", hi
+        least, top = max(cut + 1, begin + overlap + 1), hi
+        lo = max(least, cut + (hi - cut) // 2)
+        while not (best := boundaries(text, begin, lo, top)) and lo > least:
+            lo, top = max(least, cut + (lo - cut) // 2), lo - 1
+        kind, gaps = best or ("none", [])
+        end = valley(text, gaps, lo, top) if gaps else hi
         out.append((begin, end, kind))
         begin, cut = end - overlap, end
     return [*out, (begin, len(text), "none")]

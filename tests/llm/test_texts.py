@@ -42,6 +42,13 @@ def test_cut_at_the_topic():
         split.pieces("x", 10, 10)
 
 
+def test_long_words_stay_whole():
+    text = "ab " * 100 + "x" * 1_750 + " cd" * 100
+    got = split.pieces(text)
+    assert [k for _, _, k in got[:-1]] == ["word"] * (len(got) - 1) and any(text[b:e].count("x") == 1_750 for b, e, _ in got)
+    assert split.pieces("ab\f" + "x" * 40, 20, 1)[0] == (0, 3, "page")
+
+
 def test_split(spark):
     rows = [("t", "1", None), ("t", "2", ""), ("t", "3", "a" * 2_000), ("t", "4", "kelime " * 1_000), ("t", "4", "kelime " * 1_000), ("t", "5", "ş" * 2_001)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "tbl string, rec_key string, text string, piece int")
