@@ -6,14 +6,16 @@ probability that letters are read as other characters, times that of the word un
 the whole corpus, decoded by Viterbi over the candidates of the words of each line.
 
 The word and bigram counts cover all texts. Of them the most frequent WORDS and PAIRS (a fixed bound) go to
-the executors; a word outside the table counts as unknown, with a probability by its characters.
+the executors; where there are more, what a text needs of the others comes to it by joins (`fetched`), so that the
+result doesn't depend on the bound. A word that stands nowhere else has a probability by its characters.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
+from copy import copy
 from difflib import SequenceMatcher
 from functools import lru_cache
 from math import log
@@ -106,20 +108,51 @@ def words(lines: list[str], kinds: list[str]) -> tuple[list[list[tuple[str, list
     return found, cut
 
 
+def letters_of(words) -> Counter:
+    """Letters of the words (w, n) that stand more than twice."""
+    out: Counter = Counter()
+    for w, n in words:
+        for c in w if n > 2 else "":
+            if c.isalpha():
+                out[c] += min(n, 100)
+    return out
+
+
+def least_of(w: str, n: int) -> int:
+    """How often a word must stand, to explain all of a misreading's."""
+    return n * (RATIO_SIGNS if any(c in SIGNS for c in w) else RATIO_LETTERS)
+
+
+def rates(read: Counter, stood: Counter) -> dict:
+    """The rate of each confusion."""
+    return {u: min(0.05, (read[u] + 1) / (stood[u[1]] + 1_000)) for u in CONFUSIONS}
+
+
 class Model:
     """The channel and the language model."""
 
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int], total: int):
+    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int], total: int, own: dict[str, int] | None = None, letters: Counter | None = None, rate: dict | None = None):
+        """From the counts of all words; or from some of them, with what was found over all (own counts, letters, rates)."""
         self.counts, self.pairs, self.total = counts, pairs, max(total, 1)
-        letters = Counter(c for w, n in counts.items() if n > 2 for c in w for _ in range(min(n, 100)) if c.isalpha())
+        letters = letters_of(counts.items()) if letters is None else letters
         every = sum(letters.values()) or 1
         self.letter = {c: log((n + 1) / (every + 60)) for c, n in letters.items()}
         self.rare = log(1 / (every + 60)) if every > 1_000 else log(1e-3)
-        self.rate = dict.fromkeys(CONFUSIONS, START_RATE)
-        self.own = dict(counts)
-        self._estimate()
+        self.rate, self.own = rate or dict.fromkeys(CONFUSIONS, START_RATE), dict(counts if own is None else own)
+        if rate is None:
+            self._estimate()
         self.candidates = lru_cache(200_000)(self._candidates)
 
+    def extended(self, words: list, pairs: list) -> Model:
+        """The model with more words (w, n, own) and pairs (a, b, n), for one text."""
+        if not words and not pairs:
+            return self
+        new = copy(self)
+        new.counts, new.own = ChainMap({w["v"]: w["n"] for w in words}, self.counts), ChainMap({w["v"]: w["own"] for w in words}, self.own)
+        new.pairs = ChainMap({(p["a"], p["b"]): p["n"] for p in pairs}, self.pairs)
+        new.candidates = lru_cache(10_000)(new._candidates)
+        return new
+
     def _estimate(self) -> None:
         """One round of expectation and maximisation for the rates. A word that is a possible misreading of one many
         times as frequent then has no count of its own."""
@@ -127,13 +160,13 @@ class Model:
         for w, n in self.counts.items():
             for t in {t for _, t in CONFUSIONS}:
                 stood[t] += n * w.count(t)
-            least = n * (RATIO_SIGNS if any(c in SIGNS for c in w) else RATIO_LETTERS)
+            least = least_of(w, n)
             options = [(self.counts[v], v, used) for v, used in self._ways(w) if used and self.counts.get(v, 0) > least]
             if options:
                 for u in max(options)[2]:
                     read[u] += n
                 self.own[w] = 0
-        self.rate = {u: min(0.05, (read[u] + 1) / (stood[u[1]] + 1_000)) for u in CONFUSIONS}
+        self.rate = rates(read, stood)
 
     def _channel(self, used: tuple) -> float:
         p = 1.0
@@ -309,12 +342,97 @@ def frequent(table: DataFrame, most: int) -> list:
     return table.filter(F.col("n") >= least).collect() if least is not None else []
 
 
-def model_of(texts: DataFrame) -> tuple[dict, dict, int]:
-    """The tables of the language model of all texts."""
+def estimated(single: DataFrame) -> tuple[DataFrame, DataFrame, Counter, dict]:
+    """Of the words (b, n), where they are too many to be sent: (b, n, own), (w, v, n, own) of what each word may be, the
+    letters, and the rates, as `Model` finds them from the counts of all words."""
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, n, least_of(w, n), v, [x for u in used for x in u]) for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for v, used in Model._ways(w) if used]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["w", "wn", "least", "v", "used"])
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            got = [("letter", c, n) for c, n in letters_of(rows).items()] + [("stood", t, sum(n * w.count(t) for w, n in rows)) for t in sorted({t for _, t in CONFUSIONS})]
+            columns = list(zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["what", "c", "n"])
+
+    single = single.select("b", "n")
+    maybe = written(single.mapInArrow(ways, "w string, wn long, least long, v string, used array<string>").join(single.select(F.col("b").alias("v"), "n").hint("merge"), "v"), "ocr-ways")
+    best = written(maybe.filter("n > least").groupBy("w", "wn").agg(F.max(F.struct("n", "v", "used")).alias("best")).select("w", "wn", "best.used"), "ocr-misread")
+    own = written(single.join(best.select(F.col("w").alias("b"), F.lit(0).cast("long").alias("own")).hint("merge"), "b", "left").withColumn("own", F.coalesce("own", "n")), "ocr-own")
+    read: Counter = Counter()
+    for r in best.groupBy("used").agg(F.sum("wn").alias("n")).collect():
+        for u in zip(r.used[::2], r.used[1::2], strict=True):
+            read[u] += r.n
+    sums = {"letter": Counter(), "stood": Counter()}
+    for r in single.mapInArrow(letters, "what string, c string, n long").groupBy("what", "c").agg(F.sum("n").alias("n")).collect():
+        sums[r.what][r.c] = r.n
+    known = maybe.select("w", "v").distinct().join(own.select(F.col("b").alias("v"), "n", "own").hint("merge"), "v").filter("own >= 2")
+    itself = own.select("b", "b", "n", "own").toDF("w", "v", "n", "own")
+    return own, known.select("w", "v", "n", "own").unionByName(itself).distinct(), sums["letter"], rates(read, sums["stood"])
+
+
+def fetched(texts: DataFrame, held, words_rest: DataFrame, pairs_rest: DataFrame) -> DataFrame:
+    """`texts` with `more_words` and `more_pairs`: the entries outside the sent tables that a text's words, or what they may
+    be, have. `words_rest`: w, v, n, own; `pairs_rest`: a, b, n."""
+    texts = written(texts.withColumn("__row", F.monotonically_increasing_id()), "ocr-texts")
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, w) for i, t, o in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in {w for line in lines_of(t, o) for w in line}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["__row", "w"])
+
+    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*held.value)
+        for b in batches:
+            rows = set()
+            for i, t, o, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m = model.extended(more or [], [])
+                for line in lines_of(t, o):
+                    rows |= {(i, x[0], y[0]) for p, q in zip(line, line[1:], strict=False) for x in m.candidates(p) for y in m.candidates(q) if (x[0], y[0]) not in m.pairs}
+            rows = sorted(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["__row", "a", "b"])
+
+    need = texts.select("__row", "text", "other").mapInArrow(single, "__row long, w string").join(words_rest.hint("merge"), "w")
+    need = need.groupBy("__row").agg(F.collect_set(F.struct("v", "n", "own")).alias("more_words"))
+    texts = written(texts.join(need.hint("merge"), "__row", "left"), "ocr-texts")
+    need = texts.select("__row", "text", "other", "more_words").mapInArrow(double, "__row long, a string, b string").join(pairs_rest.hint("merge"), ["a", "b"])
+    need = need.groupBy("__row").agg(F.collect_set(F.struct("a", "b", "n")).alias("more_pairs"))
+    return texts.join(need.hint("merge"), "__row", "left").drop("__row")
+
+
+def heading_of(other: str | None) -> tuple[str, str] | None:
+    """The heading of the other reading."""
+    return page_parts(skeleton(other[:2_000]))[2] if other else None
+
+
+def lines_of(text: str, other: str | None) -> list[list[str]]:
+    """The folded words of the lines that `repair` decodes."""
+    lines, kinds, _ = page_parts(skeleton(text), heading_of(other))
+    return [[lower(w) for w, _ in line] for line in words(lines, kinds)[0]]
+
+
+def prepared(texts: DataFrame) -> tuple[DataFrame, object]:
+    """The texts with `more_words` and `more_pairs`, and the broadcast arguments of the model of all texts."""
     every = written(counts(texts), "ocr-counts")
     single, double = every.filter("a = ''"), every.filter("a <> '' and n > 1")
     total = single.agg(F.sum("n").alias("n")).collect()[0].n or 0
-    return {r.b: r.n for r in frequent(single, WORDS)}, {(r.a, r.b): r.n for r in frequent(double, PAIRS)}, total
+    send = texts.sparkSession.sparkContext.broadcast
+    pairs = frequent(double, PAIRS)
+    least_pair = min((r.n for r in pairs), default=None)
+    sent_pairs = {(r.a, r.b): r.n for r in pairs}
+    if single.count() <= WORDS and len(pairs) == double.count():
+        none = [F.array().cast(f"array<struct<{t}>>").alias(c) for c, t in (("more_words", "v:string,n:bigint,own:bigint"), ("more_pairs", "a:string,b:string,n:bigint"))]
+        return texts.select("*", *none), send(({r.b: r.n for r in single.collect()}, sent_pairs, total))
+    own, known, letters, rate = estimated(single)
+    sent = frequent(own, WORDS)
+    least = min((r.n for r in sent), default=None)
+    held = send(({r.b: r.n for r in sent}, sent_pairs, total, {r.b: r.own for r in sent}, letters, rate))
+    rest = lambda df, n: df if n is None else df.filter(F.col("n") < n)
+    return fetched(texts, held, rest(known, least), rest(double.select("a", "b", "n"), least_pair)), held
 
 
 def repaired(ocr: DataFrame) -> DataFrame:
@@ -324,21 +442,19 @@ def repaired(ocr: DataFrame) -> DataFrame:
     A null text gives no row, an empty one an empty text without marks; repeated rows stay repeated. A text of
     one endless line is handled as one line.
     """
-    texts = spread(fields(ocr))
-    held = texts.sparkSession.sparkContext.broadcast(model_of(texts))
+    texts, held = prepared(spread(fields(ocr)))
     schema = "ocr_id long, field string, repaired string, marks array<struct<kind:string,line_no:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
         for b in batches:
             got = []
-            for text, other in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                head = page_parts(skeleton(other[:2_000]))[2] if other else None
-                got.append(repair(text, model, head))
+            for text, other, more, pairs in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                got.append(repair(text, model.extended(more or [], pairs or []), heading_of(other)))
             marks = pa.array([[{"kind": k, "line_no": i} for k, i in m] for _, m in got], pa.list_(pa.struct([("kind", pa.string()), ("line_no", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in got], pa.string()), marks], names=["ocr_id", "field", "repaired", "marks"])
 
-    return texts.select("ocr_id", "field", "text", "other").mapInArrow(run, schema)
+    return texts.select("ocr_id", "field", "text", "other", "more_words", "more_pairs").mapInArrow(run, schema)
 
 
 def found(fixed: DataFrame) -> DataFrame:

@@ -164,5 +164,15 @@ def test_scanned(fixed):
     assert all(got[i, "text"].marks == [] for i in range(200)) and len(got[903, "text"].repaired) == 100_000
 
 
+def test_the_bounds_of_what_is_sent_change_nothing(spark, small, monkeypatch):
+    ocr = spark.read.parquet(f"{small}/ocr_result.parquet").select("ocr_id", "text", "alt_text").filter("ocr_id % 2 = 0")
+    rows = lambda: sorted((r.ocr_id, r.field, r.repaired, str(r.marks)) for r in scanned.repaired(ocr).collect())
+    want = rows()
+    assert any("misread" in r[3] for r in want)
+    monkeypatch.setattr(scanned, "WORDS", 30)
+    monkeypatch.setattr(scanned, "PAIRS", 20)
+    assert rows() == want
+
+
 def test_scanned_empty(spark):
     assert scanned.repaired(spark.createDataFrame([], "ocr_id long, text string, alt_text string")).count() == 0
