@@ -405,8 +405,15 @@ def fetched(texts: DataFrame, held, words_rest: DataFrame, pairs_rest: DataFrame
 
 
 def heading_of(other: str | None) -> tuple[str, str] | None:
-    """The heading of the other reading."""
-    return page_parts(skeleton(other[:2_000]))[2] if other else None
+    """The heading of the other reading, from as many whole lines of it as it takes."""
+    size, end = 2_000, 0
+    while other and end < len(other):
+        end = other.find("\n", size) % (len(other) + 1)
+        heading = page_parts(skeleton(other[:end]))[2]
+        if all(heading) or end == len(other):
+            return heading
+        size = 2 * end
+    return None
 
 
 def lines_of(text: str, other: str | None) -> list[list[str]]:

@@ -174,5 +174,11 @@ def test_the_bounds_of_what_is_sent_change_nothing(spark, small, monkeypatch):
     assert rows() == want
 
 
+def test_heading_of_long_lines():
+    assert scanned.heading_of("Baş " * 700 + "\nSONUÇ BELGESİ\nmetin")[1] == scanned.page_parts("x\nSONUÇ BELGESİ\nmetin")[2][1]
+    assert scanned.heading_of("Baş\nSONUÇ\nmetin " * 900) == scanned.page_parts("Baş\nSONUÇ\nmetin")[2]
+    assert scanned.heading_of("") is None and scanned.heading_of("tek satır") == scanned.page_parts("tek satır")[2]
+
+
 def test_scanned_empty(spark):
     assert scanned.repaired(spark.createDataFrame([], "ocr_id long, text string, alt_text string")).count() == 0
