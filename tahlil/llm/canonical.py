@@ -32,6 +32,8 @@ def mapped(typed: DataFrame, terms: DataFrame) -> DataFrame:
     a miss. Ties go to the more frequent entry, then to the smaller id. Repeated rows stay repeated.
     """
     rows = terms.filter("term_id is not null and field is not null and term is not null").select("term_id", "field", "term", "aliases").limit(FORMS_MOST + 1).collect()
+    if len(rows) > FORMS_MOST:
+        raise ValueError(f"the reference list has more than {FORMS_MOST} rows")
     exact = F.broadcast(terms.select("field", F.col("term").alias("value")).distinct())
     seen = {(r.field, r.value): r.n for r in typed.join(exact, ["field", "value"], "left_semi").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_field: dict[str, list] = {}

@@ -344,7 +344,9 @@ def lexicon(some: DataFrame, names: DataFrame) -> tuple[set, set, dict]:
             least = r.k
         if least is not None:
             seen |= {r.word: (r.named, r.n, r.low) for r in part.filter(F.col(by) >= max(least, 1 if by == "named" else 3)).collect()}
-    given = names.filter("token is not null").limit(NAMES_MOST).collect()
+    given = names.filter("token is not null").limit(NAMES_MOST + 1).collect()
+    if len(given) > NAMES_MOST:
+        raise ValueError(f"the list of names has more than {NAMES_MOST} rows")
     return {plain(r.token) for r in given if r.is_first}, {plain(r.token) for r in given if r.is_surname}, seen
 
 

@@ -21,6 +21,17 @@ def test_canonical(spark):
     assert canonical.mapped(canonical.values(markers.limit(0), reports.limit(0)), terms).count() == 0
 
 
+def test_long_lists_are_refused(spark, monkeypatch):
+    terms = spark.createDataFrame([(i, f"f{i}", "x", None) for i in range(4)], "term_id long, field string, term string, aliases array<string>")
+    typed = spark.createDataFrame([("f1", 1, "x")], "field string, rec_id long, value string")
+    monkeypatch.setattr(canonical, "FORMS_MOST", 3)
+    with pytest.raises(ValueError):
+        canonical.mapped(typed, terms)
+    monkeypatch.setattr(personal, "NAMES_MOST", 1)
+    with pytest.raises(ValueError):
+        personal.lexicon(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([("A", True, True), ("B", True, True)], "token string, is_first boolean, is_surname boolean"))
+
+
 # -- 3: pieces
 @settings(max_examples=120, deadline=None)
 @given(st.text(st.sampled_from("ab c.\n\f şğ"), max_size=600), st.integers(20, 80), st.integers(0, 19))
