@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tahlil.functions import turkish
 from tahlil.operators import classify, engine, gate, hybrid, jobs, metrics, models, names, quantities, report, rules, spans
 from tahlil.plans import pipeline
-from tahlil.session import shared_dir, spread, table
+from tahlil.session import scratch, spread, table
 from tahlil.sources import files
 
 LAYERS = {"a01": "a01_national_id", "a02": "a02_reference_no", "a03": "a03_labelled", "a04": "a04_titles", "a05": "a05_dates", "a06": "a06_age_bucket", "a07": "a07_institution", "a08": "a08_contact", "a09": "a09_diploma", "a10": "a10_boilerplate", "a12": "a12_numeric_ids", "a13": "a13_cleanup", "a20": "a20_strict"}
@@ -588,11 +588,9 @@ def x04_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x09_stream_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by category, kept by a stream over the reports."""
-    import uuid
-
     from tahlil.streaming import jobs as stream
 
-    path = f"{shared_dir(spark)}/tahlil/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     src = f"{sf_dir}/doctor_report.parquet"
     schema = spark.read.parquet(src).select("kategori", "guven").schema
     q = stream.running_means(stream.rows(spark, f"{src}*", schema), "kategori", "guven", f"{path}/out", f"{path}/checkpoint")

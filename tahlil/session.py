@@ -53,29 +53,42 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a folder below the working directory's
-    parent temp is set.
+    Only in local mode, where the session may name none (tests), a folder of this machine is set. On a cluster such a
+    folder would not be shared, so a session without one is an error there.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file:///tmp/tahlil-scratch-{os.getuid()}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path for a table in the shared folder. All of an application's tables are below one folder, which is removed
+    when the application's driver ends, or by `clear`."""
+    own = f"{shared_dir(spark)}/tahlil/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written once as a compressed columnar table in the shared folder and read back.
 
     Cuts the lineage like checkpoint(), but keeps the columnar form, so that later reads prune columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tahlil/{what}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Removes the tables that were written to the shared folder; frames that read them can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tahlil")
+    """Removes the tables that this application wrote to the shared folder; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tahlil/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
