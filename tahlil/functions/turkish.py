@@ -13,9 +13,27 @@ def lower(x: str) -> str:
     return x.replace("İ", "i").replace("I", "ı").lower()
 
 
+CODE_PAGE = "cp1254"  # one byte a character; texts with others take the way by characters
+
+
+def _table() -> bytes:
+    """`plain` for each byte of the code page."""
+    out = bytearray(range(256))
+    for b in range(256):
+        new = lower(bytes([b]).decode(CODE_PAGE, "ignore")).translate(ASCII).encode(CODE_PAGE, "ignore")
+        out[b] = new[0] if len(new) == 1 else b
+    return bytes(out)
+
+
+PLAIN = _table()
+
+
 def plain(x: str) -> str:
     """Lower case without Turkish marks; i and ı fall together."""
-    return lower(x).translate(ASCII)
+    try:
+        return x.encode(CODE_PAGE).translate(PLAIN).decode(CODE_PAGE)
+    except UnicodeError:
+        return lower(x).translate(ASCII)
 
 
 def fold(c: Column) -> Column:
