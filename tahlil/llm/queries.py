@@ -59,7 +59,8 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of personal data."""
-    return personal.found(p5_texts(spark, sf_dir))
+    some = personal.texts(*(table(spark, sf_dir, t) for t in ("ocr_result", "synth_case", "ner_result")))
+    return personal.found(personal.located(some, table(spark, sf_dir, "name_lexicon")))
 
 
 def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ GREEK_ALONE = set("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο")
 
 FULL_WIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 BLANKS = "\t  " + "".join(map(chr, range(0x2000, 0x200B))) + "  　"
-SHIFT = str.maketrans(FULL_WIDTH | dict.fromkeys(BLANKS, " "))
+PROTOTYPE = FULL_WIDTH | dict.fromkeys(BLANKS, " ")
+SHIFT = str.maketrans(PROTOTYPE)
 FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 WORD = re.compile(r"[^\W_]+")
 #: What a text must have, for anything in it to change: a character outside ASCII and Turkish letters.

@@ -146,6 +146,31 @@ def test_special(done, key, want):
     assert {(s.kind, s.start_at) for s in got[key].spans} == {(k, text.index(x)) for k, x in want}
 
 
+def test_names_beyond_the_bound_come_by_a_join(done, monkeypatch):
+    rows, got, df, names = done
+    monkeypatch.setattr(personal, "NAMES_MOST", 3)
+    again = {r.rec_key: (r.spans, r.masked) for r in personal.masked(df, names).collect()}
+    assert again == {k: (r.spans, r.masked) for k, r in got.items()}
+    assert {(r.rec_key, r.kind, r.start_at) for r in personal.found(personal.located(df, names)).collect()} == {(k, s.kind, s.start_at) for k, r in got.items() for s in r.spans}
+
+
+def test_addresses_are_those_of_the_whole_pattern():
+    rng = random.Random(2)
+    parts = ["cinarli", "mah.", "mahallesi", "12.", "gul", "sok.", "caddesi", "no:", "4/5", "-", "\n", "daire 3", "tasova", "123456.", "sk", "a", ","]
+    for _ in range(3_000):
+        x = "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randrange(1, 12)))
+        assert [m.span() for m in personal.addresses(x)] == [m.span() for m in personal.ADDRESS.finditer(x)], repr(x)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(personal.KINDS), st.integers(0, 30), st.integers(1, 6), st.sampled_from([0.2, 0.9])), max_size=12))
+def test_spans_do_not_overlap(some):
+    spans = [(k, b, b + n, s) for k, b, n, s in some]
+    got = personal.decided(spans)
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:], strict=False)) and all(s[3] >= 0.5 for s in got)
+    assert all(s in got or any(s[1] < g[2] and g[1] < s[2] for g in got) for s in spans if s[3] >= 0.5)
+
+
 def test_empty_tables(done):
     _, _, df, names = done
     assert personal.masked(df.limit(0), names).count() == 0
