@@ -50,6 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def made(sent, make):
+    """What a Python worker makes of a broadcast value, made once in each worker process and kept with the value."""
+    if (got := getattr(sent, "_made", None)) is None:
+        got = sent._made = make(sent.value)
+    return got
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's checkpoint folder.
 
