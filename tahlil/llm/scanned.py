@@ -5,9 +5,16 @@ end are put together across it, also across pages. Misread words are corrected b
 probability that letters are read as other characters, times that of the word under a word bigram model of
 the whole corpus, decoded by Viterbi over the candidates of the words of each line.
 
-The word and bigram counts cover all texts. Of them the most frequent WORDS and PAIRS (a fixed bound) go to
-the executors; where there are more, what a text needs of the others comes to it by joins (`fetched`), so that the
-result doesn't depend on the bound. A word that stands nowhere else has a probability by its characters.
+1. Each text is taken apart once: the kinds of its lines and their folded words are written.
+2. Words and word pairs are counted over all texts. Words that may be read for one another meet by a key they have in
+   common, so no candidate is missed, however long a word is; the rates of the channel are estimated from them.
+3. A word without candidates is sure, and cuts the Viterbi path of its line. So what is decoded is each distinct
+   stretch of unsure words with its two neighbours, once, however often it stands.
+4. What changed goes back to its texts by the stretch.
+
+The most frequent WORDS and PAIRS (a fixed bound) go to all executors; what a stretch needs of the others comes to it
+by joins, so the result doesn't depend on the bound. A word that stands nowhere else has a probability by its
+characters; a pair of words that stands only once says nothing, as it is the one at hand.
 """
 
 from __future__ import annotations
@@ -17,18 +24,23 @@ from collections import ChainMap, Counter
 from collections.abc import Iterator
 from copy import copy
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import log
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tahlil.functions.frequent import chosen
 from tahlil.functions.turkish import lower, plain
 from tahlil.llm.skeleton import skeleton
-from tahlil.session import spread, written
+from tahlil.session import made, spread, written
 
 WORDS, PAIRS = 50_000, 100_000  # most entries of the language model that is sent
+SENT_CHARS, SENT_OPTIONS = 40, 16  # most characters and candidates of a word in it
+FILTER_BITS = 1 << 24  # size of the filter of unsure words
 # What is read for which letters (fixed values); folded.
 CONFUSIONS = (
     ("1", "l"), ("1", "ı"), ("1", "i"), ("!", "i"), ("!", "ı"), ("@", "a"), ("4", "a"), ("0", "o"), ("5", "s"), ("$", "ş"), ("$", "s"), ("2", "z"),
@@ -36,21 +48,30 @@ CONFUSIONS = (
     ("c", "e"), ("f", "e"), ("l", "ı"), ("rn", "m"), ("ri", "n"), ("rı", "n"), ("cl", "d"), ("lc", "k"), ("ii", "u"), ("li", "u"), ("lı", "u"), ("ıı", "u"), ("vv", "w"),
 )
 SIGNS = "0123456789!@$|€"
+BY_FIRST = {c: tuple(u for u in CONFUSIONS if u[0][0] == c) for c in {seen[0] for seen, _ in CONFUSIONS}}
+# One spelling for all letters and signs that may be read for one another by CONFUSIONS.
+KEY = str.maketrans(
+    {"m": "rri", "n": "ri", "u": "ii", "d": "ei", "k": "ie", "w": "vv"}
+    | {c: to for cs, to in (("cf3€", "e"), ("lı1!|", "i"), ("@4", "a"), ("0", "o"), ("5$ş", "s"), ("2", "z"), ("69b8", "g"), ("7", "t")) for c in cs}
+)
 START_RATE = 0.003  # how often a confusion happens, before it is estimated
 LAMBDA, UNKNOWN = 0.4, 0.02
 RATIO_SIGNS, RATIO_LETTERS = 4, 30  # how many times as frequent a word must be to explain all of its misreadings
 PAGE_NO = re.compile(r"[-–\[(\s]{0,2}(?:(?:sayfa|sf|s)\s*[.:]?\s*)?\d{1,4}(?:\s*/\s*\d{1,4})?[-–\]\s]{0,2}", re.IGNORECASE)
+MARKS = "-‐‑=¬"
 BARE = re.compile(r"\d{1,4}(?:\s*/\s*\d{1,4})?")
 BROKEN = re.compile(r"[^\W\d_](?:[-‐‑=]|¬)\s*$")
 PIECE = re.compile(rf"[^\W_{SIGNS}]*(?:[^\W_]|[!@$|€](?=[^\W_]|$)|[!@$|€]+(?=[^\W_]))[\w!@$|€]*")
+BARE_WORD = re.compile(r"[^\W_]\w*")  # what PIECE finds where a line has no signs
+SIGN = re.compile(f"[{re.escape(SIGNS)}]")
 READING = re.compile(r"[^\W\d_]{2,}(?:[ -]?\d+(?:-\d+)?)?")
 
 
-def page_parts(text: str, heading: tuple[str, str] | None = None) -> tuple[list[str], list[str], tuple[str, str]]:
+def page_parts(text: str, other: str | None = None) -> tuple[list[str], list[str], tuple[str, str]]:
     """The lines of a text, the kind of each (body, blank, page_no, header), and its heading.
 
-    A heading is the first two lines that are no page number. `heading` stands in for a text that has none of
-    its own, such as the second reading of only some of the pages.
+    A heading is the first two lines that are no page number. That of the `other` reading stands in for a text that has none
+    of its own, such as a reading of only some of the pages; it is looked for only where a line may repeat it.
     """
     lines = text.split("\n")
     kinds = ["blank" if not line.strip() else "body" for line in lines]
@@ -64,10 +85,14 @@ def page_parts(text: str, heading: tuple[str, str] | None = None) -> tuple[list[
             kinds[i] = "page_no"
     body = [i for i, k in enumerate(kinds) if k == "body"]
     own = tuple(lines[i].strip() for i in body[:2]) if len(body) > 1 else ("", "")
-    heads = [h for h in (own, heading) if h and h[0]]
+    heads = [own] if own[0] else []
     for i in body[2:]:
-        if i and kinds[i - 1] in ("blank", "page_no", "header") and any(k == "blank" for k in kinds[max(0, i - 3) : i]) and any(repeats(lines[i].strip(), h) for h in heads):
-            kinds[i] = "header"
+        if i and kinds[i - 1] in ("blank", "page_no", "header") and "blank" in kinds[max(0, i - 3) : i]:
+            if other and not any(repeats(lines[i].strip(), h) for h in heads):
+                second, other = heading_of(other), None
+                heads += [second] if second and second[0] else []
+            if any(repeats(lines[i].strip(), h) for h in heads):
+                kinds[i] = "header"
     return lines, kinds, own
 
 
@@ -88,26 +113,66 @@ def repeats(line: str, head: tuple[str, str]) -> bool:
     return any(abs(len(bare) - len(f)) <= 6 and len(f) > 6 and SequenceMatcher(None, bare, f, False).ratio() >= 0.82 for f in forms)
 
 
-def words(lines: list[str], kinds: list[str]) -> tuple[list[list[tuple[str, list[tuple[int, int, int]]]]], set[int]]:
-    """The words of each line as (word, parts), where a part is (line, begin, end); and the lines that end inside
-    a word. A word cut at a line's end belongs to the line where it begins, with its hyphen left out."""
-    found = [[(m.group(), [(i, m.start(), m.end())]) for m in PIECE.finditer(line)] if kinds[i] == "body" else [] for i, line in enumerate(lines)]
-    cut = set()
+def tokens(line: str) -> list[str]:
+    """The words of a line."""
+    return PIECE.findall(line) if SIGN.search(line) else BARE_WORD.findall(line)
+
+
+def words(lines: list[str], kinds: list[str]) -> tuple[list[list[str]], dict[int, int]]:
+    """The folded words of each line; and the lines that end inside a word, with the line in which it goes on. A word cut at a
+    line's end belongs to the line where it begins, with its hyphen left out."""
+    found = [tokens(lower(line)) if k == "body" else [] for line, k in zip(lines, kinds, strict=True)]
+    cut: dict[int, int] = {}
     running = [i for i, k in enumerate(kinds) if k == "body"]
     for i, j in zip(running, running[1:], strict=False):
-        line, after = lines[i], lines[j].lstrip()
-        if BROKEN.search(line) and after[:1].isalpha() and found[i] and found[j]:
-            last, first = found[i][-1], found[j][0]
-            mark = line.rstrip()[-1]
-            same = (last[0][-1].isupper() == after[0].isupper()) or (mark in "-‐‑" and after[0].isupper())
-            if not same or last[1][-1][2] != len(line.rstrip()) - 1 or lines[j][: first[1][0][1]].strip():
-                continue
-            cut.add(i)
-            found[i][-1] = (last[0] + first[0], last[1] + first[1])
-            found[j] = found[j][1:]
+        line = lines[i].rstrip()
+        if line[-1:] not in MARKS or not BROKEN.search(line):
+            continue
+        after = lines[j].lstrip()
+        if after[:1].isalpha() and found[i] and found[j]:
+            *_, last = PIECE.finditer(line)
+            first = PIECE.search(lines[j])
+            same = last.group()[-1].isupper() == after[0].isupper() or (line[-1] in "-‐‑" and after[0].isupper())
+            if same and last.end() == len(line) - 1 and not lines[j][: first.start()].strip():
+                cut[i] = j
+                found[i][-1] += found[j][0]
+                found[j] = found[j][1:]
     return found, cut
 
 
+def places(lines: list[str], cut: dict[int, int], i: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The words of a line as (word, parts), where a part is (line, begin, end)."""
+    got = [(m.group(), [(i, m.start(), m.end())]) for m in PIECE.finditer(lines[i])]
+    got = got[1:] if i in cut.values() else got
+    if i in cut:
+        m = PIECE.search(lines[cut[i]])
+        got[-1] = (got[-1][0] + m.group(), [*got[-1][1], (cut[i], m.start(), m.end())])
+    return got
+
+
+def readings(w: str, v: str) -> list[tuple]:
+    """The ways in which the word `v` may have been read as `w`, as the confusions used: up to two among letters, and every sign
+    in a word with letters is one (but digits before the first)."""
+    signs = sum(c in SIGNS for c in w)
+    out, todo = [], [(0, 0, ())]
+    while todo:
+        i, j, used = todo.pop()
+        while True:
+            if len(used) < signs + 2:
+                todo += [(i + len(seen), j + len(meant), (*used, (seen, meant))) for seen, meant in BY_FIRST.get(w[i : i + 1], ()) if w.startswith(seen, i) and v.startswith(meant, j)]
+            if i == len(w) or j == len(v) or w[i] != v[j] or (w[i] in SIGNS and (used or w[i] not in "0123456789")):
+                break
+            i, j = i + 1, j + 1
+        if used and i == len(w) and j == len(v) and len(used) - sum(seen in SIGNS for seen, _ in used) <= 2:
+            out.append(used)
+    return sorted(out, key=lambda u: (len(u), u))
+
+
+def key_of(w: str) -> str:
+    """What a word has in common with all words that may be read for it; empty for one without letters."""
+    return w.translate(KEY) if any(c.isalpha() for c in w) else ""
+
+
 def letters_of(words) -> Counter:
     """Letters of the words (w, n) that stand more than twice."""
     out: Counter = Counter()
@@ -129,154 +194,125 @@ def rates(read: Counter, stood: Counter) -> dict:
 
 
 class Model:
-    """The channel and the language model."""
+    """The channel and the language model.
 
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int], total: int, own: dict[str, int] | None = None, letters: Counter | None = None, rate: dict | None = None):
-        """From the counts of all words; or from some of them, with what was found over all (own counts, letters, rates)."""
-        self.counts, self.pairs, self.total = counts, pairs, max(total, 1)
-        letters = letters_of(counts.items()) if letters is None else letters
+    `info`: for each word how often it stands, the count of its own that is left to it, and its candidates (word, count, own
+    count), as far as they are known here.
+    """
+
+    def __init__(self, info: dict[str, tuple[int, int, list[tuple[str, int, int]]]], pairs: dict[tuple[str, str], int], total: int, letters: Counter, rate: dict):
+        self.info, self.pairs, self.total, self.rate = info, pairs, max(total, 1), rate
         every = sum(letters.values()) or 1
         self.letter = {c: log((n + 1) / (every + 60)) for c, n in letters.items()}
         self.rare = log(1 / (every + 60)) if every > 1_000 else log(1e-3)
-        self.rate, self.own = rate or dict.fromkeys(CONFUSIONS, START_RATE), dict(counts if own is None else own)
-        if rate is None:
-            self._estimate()
         self.candidates = lru_cache(200_000)(self._candidates)
 
     def extended(self, words: list, pairs: list) -> Model:
-        """The model with more words (w, n, own) and pairs (a, b, n), for one text."""
+        """The model with more words (b, n, own, options) and pairs (a, b, n), for one stretch."""
         if not words and not pairs:
             return self
         new = copy(self)
-        new.counts, new.own = ChainMap({w["v"]: w["n"] for w in words}, self.counts), ChainMap({w["v"]: w["own"] for w in words}, self.own)
+        new.info = ChainMap({w["b"]: (w["n"], w["own"], [(o["v"], o["n"], o["own"]) for o in w["options"] or ()]) for w in words}, self.info)
         new.pairs = ChainMap({(p["a"], p["b"]): p["n"] for p in pairs}, self.pairs)
-        new.candidates = lru_cache(10_000)(new._candidates)
+        new.candidates = lru_cache(1_000)(new._candidates)
         return new
 
-    def _estimate(self) -> None:
-        """One round of expectation and maximisation for the rates. A word that is a possible misreading of one many
-        times as frequent then has no count of its own."""
-        read, stood = Counter(), Counter()
-        for w, n in self.counts.items():
-            for t in {t for _, t in CONFUSIONS}:
-                stood[t] += n * w.count(t)
-            least = least_of(w, n)
-            options = [(self.counts[v], v, used) for v, used in self._ways(w) if used and self.counts.get(v, 0) > least]
-            if options:
-                for u in max(options)[2]:
-                    read[u] += n
-                self.own[w] = 0
-        self.rate = rates(read, stood)
-
     def _channel(self, used: tuple) -> float:
-        p = 1.0
-        for u in used:
-            p *= self.rate[u]
-        return p
-
-    @staticmethod
-    def _ways(w: str) -> list[tuple[str, tuple]]:
-        """The words that may have been read as `w`, with the confusions used: up to two among letters, and every
-        sign in a word with letters is one."""
-        out, signs = [], sum(c in SIGNS for c in w)
-        most = min(4, signs + 2)
-        if len(w) > 40 or signs > 4 or not any(c.isalpha() for c in w):
-            return [(w, ())]
-
-        def walk(i: int, done: str, used: tuple) -> None:
-            if len(out) > 600:
-                return
-            if i == len(w):
-                out.append((done, used))
-                return
-            if w[i] not in SIGNS or not used and signs and w[i] in "0123456789":
-                walk(i + 1, done + w[i], used)
-            if len(used) < most:
-                for seen, meant in CONFUSIONS:
-                    if w.startswith(seen, i):
-                        walk(i + len(seen), done + meant, (*used, (seen, meant)))
-
-        walk(0, "", ())
-        return [(v, u) for v, u in out if len(u) - sum(s in SIGNS for s, _ in u) <= 2]
+        return sum(log(self.rate[u]) for u in used)
 
     def unknown(self, w: str) -> float:
         """Log probability of a word that the table doesn't hold."""
         return log(UNKNOWN) + sum(-7.0 if c in SIGNS else self.letter.get(c, self.rare) for c in w)
 
-    def _candidates(self, w: str) -> list[tuple[str, float, float, tuple]]:
-        """(word, log probability by itself, of the channel, confusions) of what a folded word may be."""
-        own = self.own.get(w, 0)
-        out = [(w, log(own / self.total) if own >= 1 else self.unknown(w), 0.0, ())]
-        best: dict[str, tuple] = {}
-        for v, used in self._ways(w):
-            if used and len(v) > 1 and self.own.get(v, 0) >= 2:
-                p = log(self._channel(used))
-                if v not in best or p > best[v][2]:
-                    best[v] = (v, log(self.own[v] / self.total), p, used)
-        return out + sorted(best.values())
-
-    def step(self, before: str, now: tuple) -> float:
-        """Log probability of a word after another."""
-        pair, n = self.pairs.get((before, now[0]), 0) if self.own.get(now[0]) else 0, self.counts.get(before, 0)
+    def _candidates(self, w: str) -> list[tuple[str, float, float, tuple, int, int]]:
+        """(word, log probability by itself, of the channel, confusions, count, own count) of what a folded word may be."""
+        n, own, options = self.info.get(w, (0, 0, ()))
+        out = [(w, log(own / self.total) if own >= 1 else self.unknown(w), 0.0, (), n, own)]
+        for v, n, own in sorted(options):
+            if own >= 2 and (ways := readings(w, v)):
+                used = max(ways, key=self._channel)
+                out.append((v, log(own / self.total), self._channel(used), used, n, own))
+        return out
+
+    def step(self, before: tuple | None, now: tuple) -> float:
+        """Log probability of a word after another (none at the beginning of a line)."""
+        pair = self.pairs.get((before[0], now[0]), 0) if before and now[5] else 0
         alone = LAMBDA * 2.718281828 ** max(now[1], -700)
-        return log(max(alone + (1 - LAMBDA) * pair / n if n and pair else alone, 1e-300)) + now[2]
+        return log(max(alone + (1 - LAMBDA) * pair / before[4] if pair and before[4] else alone, 1e-300)) + now[2]
 
     def decode(self, line: list[str]) -> list[tuple[str, tuple]]:
         """The most probable words of a line, with the confusions of each."""
-        if not line:
-            return []
-        paths = [("", 0.0, ())]
+        layers, scores, before = [], [0.0], [None]
         for w in line:
-            new = []
-            for c in self.candidates(w):
-                score, path = max(((s + self.step(b, c), p) for b, s, p in paths), key=lambda x: x[0])
-                new.append((c[0], score, (*path, (c[0], c[3]))))
-            paths = new
-        return list(max(paths, key=lambda x: x[1])[2])
+            some, new, back = self.candidates(w), [], []
+            for c in some:
+                by = [s + self.step(b, c) for b, s in zip(before, scores, strict=True)]
+                back.append(by.index(max(by)))
+                new.append(by[back[-1]])
+            layers.append((some, back))
+            scores, before = new, some
+        k, out = scores.index(max(scores)), []
+        for some, back in reversed(layers):
+            out.append((some[k][0], some[k][3]))
+            k = back[k]
+        return out[::-1]
 
 
 def placed(word: str, used: tuple, meant: str) -> list[tuple[int, int, str]]:
     """The places of the confusions that turn the word into what was meant."""
     folded = lower(word)
-
-    def walk(i: int, left: tuple, done: str, places: tuple):
-        if i == len(folded):
-            return places if not left and done == meant else None
-        if left and folded.startswith(left[0][0], i):
-            got = walk(i + len(left[0][0]), left[1:], done + left[0][1], (*places, (i, i + len(left[0][0]), left[0][1])))
-            if got is not None:
-                return got
-        return walk(i + 1, left, done + folded[i], places) if meant.startswith(done + folded[i]) else None
-
     capital = sum(c.isupper() for c in word) > sum(c.islower() for c in word)
-    got = walk(0, used, "", ()) or ()
-    return [(b, e, m.replace("i", "İ").upper() if capital else m) for b, e, m in got]
+    todo = [(0, 0, 0, ())]  # places in the word and in what was meant, confusions used, and where
+    while todo:
+        i, j, k, at = todo.pop()
+        while True:
+            if k < len(used) and folded.startswith(used[k][0], i) and meant.startswith(used[k][1], j):
+                todo.append((i + len(used[k][0]), j + len(used[k][1]), k + 1, (*at, (i, i + len(used[k][0]), used[k][1]))))
+            if i == len(folded) or j == len(meant) or folded[i] != meant[j]:
+                break
+            i, j = i + 1, j + 1
+        if (i, j, k) == (len(folded), len(meant), len(used)):
+            return [(b, e, m.replace("i", "İ").upper() if capital else m) for b, e, m in at]
+    return []
+
+
+KIND = {"body": "b", "blank": " ", "page_no": "p", "header": "h", "cut": "c"}
+
+
+def apart(text: str, other: str | None) -> tuple[str, str]:
+    """A text taken apart: the kinds of its lines, a letter each, and their folded words."""
+    lines, kinds, _ = page_parts(skeleton(text), other)
+    found, cut = words(lines, kinds)
+    return "".join(KIND["cut" if i in cut else k] for i, k in enumerate(kinds)), "\n".join(map(" ".join, found))
 
 
-def repair(text: str, model: Model, heading: tuple[str, str] | None = None) -> tuple[str, list[tuple[str, int]]]:
-    """The repaired text, and (kind, line) of everything that was found in it."""
-    lines, kinds, _ = page_parts(skeleton(text), heading)
-    marks = [(k, i) for i, k in enumerate(kinds) if k in ("page_no", "header")]
-    found, cut = words(lines, kinds)
-    marks += [("hyphen", i) for i in sorted(cut)]
+def repair(text: str, kinds: str, changes: list[tuple[int, int, str, tuple]]) -> tuple[str, list[tuple[str, int]]]:
+    """The repaired text, and (kind, line) of everything that was found in it; from the kinds of its lines (`apart`) and the
+    changes (line, number of the word, what was meant, confusions)."""
+    lines, names = skeleton(text).split("\n"), {v: k for k, v in KIND.items()}
+    body = [i for i, k in enumerate(kinds) if k in "bc"]
+    cut = {i: j for i, j in zip(body, body[1:], strict=False) if kinds[i] == "c"}
+    whole = ["body" if k == "c" else names[k] for k in kinds]
+    marks = [(k, i) for i, k in enumerate(whole) if k in ("page_no", "header")] + [("hyphen", i) for i in cut]
     edits: dict[int, list[tuple[int, int, str]]] = {}
-    for line in found:
-        for (word, parts), (meant, used) in zip(line, model.decode([lower(w) for w, _ in line]), strict=True):
-            for begin, end, new in placed(word, used, meant) if used else ():
-                passed = 0
-                for where, a, b in parts:
-                    size = b - a
-                    if passed <= begin < passed + size:
-                        edits.setdefault(where, []).append((a + begin - passed, min(b, a + end - passed), new))
-                    passed += size
+    at: dict[int, list] = {}
+    for i, k, meant, used in changes:
+        word, parts = at.setdefault(i, places(lines, cut, i) if i not in at else at[i])[k]
+        for begin, end, new in placed(word, used, meant):
+            passed = 0
+            for where, a, b in parts:
+                size = b - a
+                if passed <= begin < passed + size:
+                    edits.setdefault(where, []).append((a + begin - passed, min(b, a + end - passed), new))
+                passed += size
     marks += [("misread", i) for i in sorted(edits)]
-    for i, changes in edits.items():
-        for begin, end, new in sorted(changes, reverse=True):
+    for i, some in edits.items():
+        for begin, end, new in sorted(some, reverse=True):
             lines[i] = lines[i][:begin] + new + lines[i][end:]
-    return paragraphs(lines, kinds, cut), sorted(marks, key=lambda m: (m[1], m[0]))
+    return paragraphs(lines, whole, cut), sorted(marks, key=lambda m: (m[1], m[0]))
 
 
-def paragraphs(lines: list[str], kinds: list[str], cut: set[int]) -> str:
+def paragraphs(lines: list[str], kinds: list[str], cut: dict[int, int]) -> str:
     """The running text: lines without page furniture, wrapped lines and cut words put together."""
     body = [i for i, k in enumerate(kinds) if k == "body"]
     sizes = sorted(len(lines[i].rstrip()) for i in body)
@@ -311,46 +347,32 @@ def fields(ocr: DataFrame) -> DataFrame:
     return a.unionByName(b).filter("text is not null")
 
 
-def counts(texts: DataFrame) -> DataFrame:
+def counts(taken: DataFrame) -> DataFrame:
     """(a, b, n): how often the folded word b follows a in a line of running text; with a empty, how often it stands
-    at all. Each batch counts by itself first."""
+    at all."""
+    line = taken.select(F.explode(F.split("folded", "\n", -1)).alias("line")).filter("line <> ''").select(F.split("line", " ", -1).alias("w"))
+    one = F.transform("w", lambda w: F.struct(F.lit("").alias("a"), w.alias("b")))
+    two = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.struct(F.element_at("w", i - 1).alias("a"), F.element_at("w", i).alias("b")))
+    every = F.when(F.size("w") > 1, F.concat(one, two)).otherwise(one)
+    return line.select(F.explode(every).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c: Counter = Counter()
-            for text in b.column(0).to_pylist():
-                lines, kinds, _ = page_parts(skeleton(text))
-                for line in words(lines, kinds)[0]:
-                    folded = [lower(w) for w, _ in line if len(w) <= 40]
-                    c.update(("", w) for w in folded)
-                    c.update(zip(folded, folded[1:], strict=False))
-            rows = list(c.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["a", "b", "n"])
-
-    return texts.select("text").mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def frequent(table: DataFrame, most: int) -> list:
-    """The most frequent rows of (a, b, n), as many as the bound allows without cutting through equal counts; the
-    threshold comes from a histogram of the counts."""
-    held, least = 0, None
-    for r in sorted(table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
-        held += r.rows
-        if held > most:
-            break
-        least = r.n
-    return table.filter(F.col("n") >= least).collect() if least is not None else []
 
+def estimated(single: DataFrame) -> tuple[DataFrame, Counter, dict]:
+    """Of the words (b, n): (b, n, own, options), the letters, and the rates. One round of expectation and maximisation: a word
+    that is a possible misreading of one many times as frequent has no count of its own and is evidence for the confusions.
+    `options` are the candidates (v, n, own) of a word, null where it has none. Words that may be one another meet by
+    their key."""
 
-def estimated(single: DataFrame) -> tuple[DataFrame, DataFrame, Counter, dict]:
-    """Of the words (b, n), where they are too many to be sent: (b, n, own), (w, v, n, own) of what each word may be, the
-    letters, and the rates, as `Model` finds them from the counts of all words."""
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([key_of(w) for w in b.column(0).to_pylist()], pa.string())], names=["b", "n", "key"])
 
     def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, n, least_of(w, n), v, [x for u in used for x in u]) for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for v, used in Model._ways(w) if used]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["w", "wn", "least", "v", "used"])
+            rows = [(w, wn, least_of(w, wn), v, n, [x for u in some[0] for x in u]) for w, wn, v, n in zip(*(c.to_pylist() for c in b.columns), strict=True) if (some := readings(w, v))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["w", "wn", "least", "v", "n", "used"])
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,8 +381,12 @@ def estimated(single: DataFrame) -> tuple[DataFrame, DataFrame, Counter, dict]:
             columns = list(zip(*got, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["what", "c", "n"])
 
-    single = single.select("b", "n")
-    maybe = written(single.mapInArrow(ways, "w string, wn long, least long, v string, used array<string>").join(single.select(F.col("b").alias("v"), "n").hint("merge"), "v"), "ocr-ways")
+    with_key = written(single.select("b", "n").mapInArrow(keyed, "b string, n long, key string"), "ocr-keys")
+    single = with_key.select("b", "n")
+    read_as = with_key.filter("key <> ''").toDF("w", "wn", "key")
+    meant = with_key.filter("key <> '' and n >= 2 and length(b) > 1").toDF("v", "n", "key")
+    both = read_as.join(meant.hint("merge"), "key").filter("w <> v").select("w", "wn", "v", "n")
+    maybe = written(both.mapInArrow(ways, "w string, wn long, least long, v string, n long, used array<string>"), "ocr-ways")
     best = written(maybe.filter("n > least").groupBy("w", "wn").agg(F.max(F.struct("n", "v", "used")).alias("best")).select("w", "wn", "best.used"), "ocr-misread")
     own = written(single.join(best.select(F.col("w").alias("b"), F.lit(0).cast("long").alias("own")).hint("merge"), "b", "left").withColumn("own", F.coalesce("own", "n")), "ocr-own")
     read: Counter = Counter()
@@ -370,76 +396,130 @@ def estimated(single: DataFrame) -> tuple[DataFrame, DataFrame, Counter, dict]:
     sums = {"letter": Counter(), "stood": Counter()}
     for r in single.mapInArrow(letters, "what string, c string, n long").groupBy("what", "c").agg(F.sum("n").alias("n")).collect():
         sums[r.what][r.c] = r.n
-    known = maybe.select("w", "v").distinct().join(own.select(F.col("b").alias("v"), "n", "own").hint("merge"), "v").filter("own >= 2")
-    itself = own.select("b", "b", "n", "own").toDF("w", "v", "n", "own")
-    return own, known.select("w", "v", "n", "own").unionByName(itself).distinct(), sums["letter"], rates(read, sums["stood"])
+    known = maybe.select("w", "v").join(own.filter("own >= 2").select(F.col("b").alias("v"), "n", "own").hint("merge"), "v")
+    options = known.groupBy(F.col("w").alias("b")).agg(F.collect_list(F.struct("v", "n", "own")).alias("options"))
+    return written(own.join(options.hint("merge"), "b", "left"), "ocr-info"), sums["letter"], rates(read, sums["stood"])
+
+
+def unsure(info: DataFrame) -> bytes:
+    """A filter of the words that have candidates: a bit for each word by its checksum. Its size is fixed; the more words have
+    candidates, the less it keeps out."""
+    cell = F.crc32(F.encode("b", "UTF-8")) % FILTER_BITS
+    got = info.filter("options is not null").groupBy(F.shiftright(cell, 5).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 32).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, "<u4")
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint64).astype(np.uint32)
+    return out.tobytes()
 
 
-def fetched(texts: DataFrame, held, words_rest: DataFrame, pairs_rest: DataFrame) -> DataFrame:
-    """`texts` with `more_words` and `more_pairs`: the entries outside the sent tables that a text's words, or what they may
-    be, have. `words_rest`: w, v, n, own; `pairs_rest`: a, b, n."""
-    texts = written(texts.withColumn("__row", F.monotonically_increasing_id()), "ocr-texts")
+def stretches(taken: DataFrame, bits) -> DataFrame:
+    """(row, line_no, at, stretch): the stretches of unsure words of each line; `at` is the number of the first word in it. A stretch
+    is the words with a neighbour on both sides, where there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = bits.value, {}
+
+        def may(w: str) -> bool:
+            if (k := told.get(w)) is None:
+                if len(told) > 500_000:
+                    told.clear()
+                c = crc32(w.encode()) % FILTER_BITS
+                k = told[w] = bool(held[c >> 3] >> (c & 7) & 1)
+            return k
+
+        for b in batches:
+            rows = []
+            for row, folded in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for no, line in enumerate(folded.split("\n")):
+                    w = line.split(" ") if line else []
+                    odd = [i for i, x in enumerate(w) if may(x)]
+                    while odd:
+                        n = next((n for n in range(1, len(odd)) if odd[n] != odd[n - 1] + 1), len(odd))
+                        begin = max(0, odd[0] - 1)
+                        # a blank before it: the stretch begins its line
+                        rows.append((row, no, begin, ("" if begin else " ") + " ".join(w[begin : odd[n - 1] + 2])))
+                        odd = odd[n:]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["row", "line_no", "at", "stretch"])
+
+    return taken.select("row", "folded").mapInArrow(run, "row long, line_no int, at int, stretch string")
+
+
+def words_of(stretch: str) -> list[str]:
+    """The words of a stretch; that of the beginning of a line has none before them."""
+    return stretch.strip(" ").split(" ")
+
+
+def decoded(some: DataFrame, info: DataFrame, double: DataFrame, total: int, letters: Counter, rate: dict) -> DataFrame:
+    """(stretch, changes) of the distinct stretches in which a word is changed; changes are (number of the word, what was meant,
+    confusions).
+
+    `info`: b, n, own, options; `double`: a, b, n. The most frequent of both are sent, the others looked up by joins.
+    """
+    short = lambda *c: reduce(lambda x, y: x & y, (F.length(x) <= SENT_CHARS for x in c))
+    keep = chosen(info, "n", WORDS, "b") & short("b") & (F.coalesce(F.size("options"), F.lit(0)) <= SENT_OPTIONS)
+    keep_pairs = chosen(double, "n", PAIRS, "a", "b") & short("a", "b")
+    sent = {r.b: (r.n, r.own, [(o.v, o.n, o.own) for o in r.options or () if len(o.v) <= 2 * SENT_CHARS]) for r in info.filter(keep).collect()}
+    held = some.sparkSession.sparkContext.broadcast((sent, {(r.a, r.b): r.n for r in double.filter(keep_pairs).collect()}, total, letters, rate))
+    some = written(some.select("stretch").distinct(), "ocr-stretches")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = made(held, lambda x: Model(*x))
         for b in batches:
-            rows = [(i, w) for i, t, o in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in {w for line in lines_of(t, o) for w in line}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["__row", "w"])
+            rows = [(s, w) for s in b.column(0).to_pylist() for w in set(words_of(s)) if w not in model.info]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["stretch", "b"])
 
-    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*held.value)
+    def double_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = made(held, lambda x: Model(*x))
         for b in batches:
-            rows = set()
-            for i, t, o, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                m = model.extended(more or [], [])
-                for line in lines_of(t, o):
-                    rows |= {(i, x[0], y[0]) for p, q in zip(line, line[1:], strict=False) for x in m.candidates(p) for y in m.candidates(q) if (x[0], y[0]) not in m.pairs}
-            rows = sorted(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["__row", "a", "b"])
-
-    need = texts.select("__row", "text", "other").mapInArrow(single, "__row long, w string").join(words_rest.hint("merge"), "w")
-    need = need.groupBy("__row").agg(F.collect_set(F.struct("v", "n", "own")).alias("more_words"))
-    texts = written(texts.join(need.hint("merge"), "__row", "left"), "ocr-texts")
-    need = texts.select("__row", "text", "other", "more_words").mapInArrow(double, "__row long, a string, b string").join(pairs_rest.hint("merge"), ["a", "b"])
-    need = need.groupBy("__row").agg(F.collect_set(F.struct("a", "b", "n")).alias("more_pairs"))
-    return texts.join(need.hint("merge"), "__row", "left").drop("__row")
+            rows = []
+            for s, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m, line = model.extended(more or [], []), words_of(s)
+                rows += [(s, *p) for p in {(x[0], y[0]) for p, q in zip(line, line[1:], strict=False) for x in m.candidates(p) for y in m.candidates(q)} if p not in m.pairs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["stretch", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = made(held, lambda x: Model(*x))
+        change = pa.struct([("k", pa.int32()), ("meant", pa.string()), ("used", pa.list_(pa.string()))])
+        for b in batches:
+            out = []
+            for s, more, pairs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = [{"k": k, "meant": meant, "used": [x for u in used for x in u]} for k, (meant, used) in enumerate(model.extended(more or [], pairs or []).decode(words_of(s))) if used]
+                if got:
+                    out.append((s, got))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([g for _, g in out], pa.list_(change))], names=["stretch", "changes"])
+
+    need = some.mapInArrow(single, "stretch string, b string").join(info.filter(~keep), "b")
+    need = need.groupBy("stretch").agg(F.collect_list(F.struct("b", "n", "own", "options")).alias("more_words"))
+    some = written(some.join(need, "stretch", "left"), "ocr-stretches")
+    need = some.mapInArrow(double_of, "stretch string, a string, b string").join(double.filter(~keep_pairs), ["a", "b"])
+    need = need.groupBy("stretch").agg(F.collect_list(F.struct("a", "b", "n")).alias("more_pairs"))
+    return some.join(need, "stretch", "left").select("stretch", "more_words", "more_pairs").mapInArrow(run, "stretch string, changes array<struct<k:int,meant:string,used:array<string>>>")
 
 
 def heading_of(other: str | None) -> tuple[str, str] | None:
-    """The heading of the other reading, from as many whole lines of it as it takes."""
-    size, end = 2_000, 0
-    while other and end < len(other):
-        end = other.find("\n", size) % (len(other) + 1)
-        heading = page_parts(skeleton(other[:end]))[2]
-        if all(heading) or end == len(other):
+    """The heading of another reading, from as many of its lines as it takes."""
+    if not other:
+        return None
+    size = 8
+    while True:
+        lines = other.split("\n", size)
+        whole = len(lines) <= size
+        heading = page_parts(skeleton("\n".join(lines if whole else lines[:size])))[2]
+        if whole or all(heading):
             return heading
-        size = 2 * end
-    return None
-
-
-def lines_of(text: str, other: str | None) -> list[list[str]]:
-    """The folded words of the lines that `repair` decodes."""
-    lines, kinds, _ = page_parts(skeleton(text), heading_of(other))
-    return [[lower(w) for w, _ in line] for line in words(lines, kinds)[0]]
-
-
-def prepared(texts: DataFrame) -> tuple[DataFrame, object]:
-    """The texts with `more_words` and `more_pairs`, and the broadcast arguments of the model of all texts."""
-    every = written(counts(texts), "ocr-counts")
-    single, double = every.filter("a = ''"), every.filter("a <> '' and n > 1")
-    total = single.agg(F.sum("n").alias("n")).collect()[0].n or 0
-    send = texts.sparkSession.sparkContext.broadcast
-    pairs = frequent(double, PAIRS)
-    least_pair = min((r.n for r in pairs), default=None)
-    sent_pairs = {(r.a, r.b): r.n for r in pairs}
-    if single.count() <= WORDS and len(pairs) == double.count():
-        none = [F.array().cast(f"array<struct<{t}>>").alias(c) for c, t in (("more_words", "v:string,n:bigint,own:bigint"), ("more_pairs", "a:string,b:string,n:bigint"))]
-        return texts.select("*", *none), send(({r.b: r.n for r in single.collect()}, sent_pairs, total))
-    own, known, letters, rate = estimated(single)
-    sent = frequent(own, WORDS)
-    least = min((r.n for r in sent), default=None)
-    held = send(({r.b: r.n for r in sent}, sent_pairs, total, {r.b: r.own for r in sent}, letters, rate))
-    rest = lambda df, n: df if n is None else df.filter(F.col("n") < n)
-    return fetched(texts, held, rest(known, least), rest(double.select("a", "b", "n"), least_pair)), held
+        size *= 4
+
+
+def corrections(taken: DataFrame) -> DataFrame:
+    """(row, changes): the changes (line, number of the word, what was meant, confusions) of the texts that have any."""
+    every = written(counts(taken), "ocr-counts")
+    single, double = every.filter("a = ''").select("b", "n"), every.filter("a <> '' and n > 1")
+    total = single.agg(F.sum("n").alias("n")).first().n or 0
+    info, letters, rate = estimated(single)
+    at = written(stretches(taken, taken.sparkSession.sparkContext.broadcast(unsure(info))), "ocr-unsure")
+    got = at.join(decoded(at, info, double, total, letters, rate), "stretch").select("row", "line_no", "at", F.explode("changes").alias("c"))
+    one = F.struct("line_no", (F.col("at") + F.col("c.k")).alias("k"), "c.meant", "c.used")
+    return got.groupBy("row").agg(F.collect_list(one).alias("changes"))
 
 
 def repaired(ocr: DataFrame) -> DataFrame:
@@ -449,19 +529,26 @@ def repaired(ocr: DataFrame) -> DataFrame:
     A null text gives no row, an empty one an empty text without marks; repeated rows stay repeated. A text of
     one endless line is handled as one line.
     """
-    texts, held = prepared(spread(fields(ocr)))
-    schema = "ocr_id long, field string, repaired string, marks array<struct<kind:string,line_no:bigint>>"
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [apart(t, o) for t, o in zip(b.column("text").to_pylist(), b.column("other").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("ocr_id"), b.column("field"), b.column("text"), pa.array([k for k, _ in got], pa.string()), pa.array([f for _, f in got], pa.string())], names=["ocr_id", "field", "text", "kinds", "folded"])
+
+    taken = spread(fields(ocr)).mapInArrow(take, "ocr_id long, field string, text string, kinds string, folded string")
+    taken = written(taken.withColumn("row", F.monotonically_increasing_id()), "ocr-apart")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*held.value)
         for b in batches:
             got = []
-            for text, other, more, pairs in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                got.append(repair(text, model.extended(more or [], pairs or []), heading_of(other)))
+            for text, kinds, changes in zip(*(b.column(c).to_pylist() for c in ("text", "kinds", "changes")), strict=True):
+                some = [(c["line_no"], c["k"], c["meant"], tuple(zip(c["used"][::2], c["used"][1::2], strict=True))) for c in changes or ()]
+                got.append(repair(text, kinds, some))
             marks = pa.array([[{"kind": k, "line_no": i} for k, i in m] for _, m in got], pa.list_(pa.struct([("kind", pa.string()), ("line_no", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in got], pa.string()), marks], names=["ocr_id", "field", "repaired", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column("ocr_id"), b.column("field"), pa.array([t for t, _ in got], pa.string()), marks], names=["ocr_id", "field", "repaired", "marks"])
 
-    return texts.select("ocr_id", "field", "text", "other", "more_words", "more_pairs").mapInArrow(run, schema)
+    every = taken.join(corrections(taken), "row", "left").select("ocr_id", "field", "text", "kinds", "changes")
+    return every.mapInArrow(run, "ocr_id long, field string, repaired string, marks array<struct<kind:string,line_no:bigint>>")
 
 
 def found(fixed: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,8 @@ SHIFT = str.maketrans(PROTOTYPE)
 FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 WORD = re.compile(r"[^\W_]+")
 #: What a text must have, for anything in it to change: a character outside ASCII and Turkish letters.
+ODD = re.compile(r"[^\x00-\x08\x0A-\x7FçğıöşüÇĞİÖŞÜâîûÂÎÛ]")
+MORE = re.compile(r"[\t\x80-\U0010FFFF]")
 SUSPECT = "[^\\x{00}-\\x{08}\\x{0A}-\\x{7F}çğıöşüÇĞİÖŞÜâîûÂÎÛ]"
 
 
@@ -83,11 +86,19 @@ def latin_words(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+@lru_cache(100_000)
+def prototype(c: str) -> str:
+    """What a single character of a decomposed text becomes, by itself."""
+    return "" if ord(c) >= 128 and invisible(c) else PROTOTYPE.get(c, c)
+
+
 def skeleton(text: str) -> str:
     """The consistent form of a text."""
+    if not ODD.search(text):
+        return text
     # a small i carries its dot already
     text = unicodedata.normalize("NFD", text).replace("i\u0307", "i").replace("ı\u0307", "i")
-    plain = "".join(c for c in text.translate(SHIFT) if ord(c) < 128 or not invisible(c))
+    plain = MORE.sub(lambda m: prototype(m.group()), text)
     return unicodedata.normalize("NFC", latin_words(unicodedata.normalize("NFC", plain)))
 
 

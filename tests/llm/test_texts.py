@@ -1,6 +1,7 @@
 """Terms, pieces, forms, personal data and scanned pages on fresh examples."""
 
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -210,6 +211,55 @@ def test_the_bounds_of_what_is_sent_change_nothing(spark, small, monkeypatch):
     assert rows() == want
 
 
+def test_key_and_readings():
+    for seen, meant in scanned.CONFUSIONS:
+        assert scanned.key_of(f"x{seen}x") == scanned.key_of(f"x{meant}x")
+        assert ((seen, meant),) in scanned.readings(f"x{seen}x", f"x{meant}x")
+    assert scanned.readings("k1t1lm1ş", "kıtılmış") == [(("1", "ı"), ("1", "ı"), ("1", "ı"))] and scanned.readings("abc", "abc") == []
+    assert scanned.readings("1" * 30 + "x", "l" * 30 + "x") and not scanned.readings("cccx", "eeex") and len(scanned.readings("x" * 200_000 + "c", "x" * 200_000 + "e")) == 1
+    assert scanned.placed("K1TAP", (("1", "i"),), "kitap") == [(1, 2, "İ")]
+
+
+def test_words_that_may_be_others_are_all_met(spark):
+    rng = random.Random(4)
+    known = {"".join(rng.choice("aeılnmrui1c") for _ in range(rng.randrange(3, 7))): rng.randrange(1, 90) for _ in range(500)}
+    info, _, _ = scanned.estimated(spark.createDataFrame(list(known.items()), "b string, n long"))
+    got = {r.b: r for r in info.collect()}
+    own = {w: r.own for w, r in got.items()}
+    for w, n in known.items():
+        ways = {v for v in known if v != w and any(c.isalpha() for c in w) and scanned.readings(w, v)}
+        assert own[w] == (0 if any(known[v] > scanned.least_of(w, n) for v in ways) else n)
+    for w in known:
+        want = {v for v in known if v != w and own[v] >= 2 and scanned.readings(w, v)}
+        assert {o.v for o in got[w].options or ()} == want
+    bits = scanned.unsure(info)
+    for w, r in got.items():
+        c = zlib.crc32(w.encode()) % scanned.FILTER_BITS
+        assert not r.options or bits[c >> 3] >> (c & 7) & 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["ve", "kcsit", "örneğ!nde", "bir", "dcr1n", "kesit"]), min_size=1, max_size=9))
+def test_a_stretch_is_decoded_as_in_its_line(line):
+    n = {"ve": 50, "kesit": 40, "örneğinde": 30, "derin": 9, "bir": 20}
+    info = {w: (k, k, []) for w, k in n.items()} | {"kcsit": (2, 2, [("kesit", 40, 40)]), "örneğ!nde": (1, 1, [("örneğinde", 30, 30)]), "dcr1n": (1, 1, [("derin", 9, 9)])}
+    model = scanned.Model(info, {("ve", "kesit"): 9, ("kesit", "ve"): 3, ("derin", "kesit"): 2}, 200, scanned.letters_of(n.items()), dict.fromkeys(scanned.CONFUSIONS, 0.003))
+    whole, at = model.decode(line), 0
+    odd = [len(model.candidates(w)) > 1 for w in line]
+    while at < len(line):
+        end = at
+        while end < len(line) and odd[end]:
+            end += 1
+        if end > at:
+            begin = max(0, at - 1)
+            some = ("" if begin else " ") + " ".join(line[begin : end + 1])
+            if begin:  # the word before has one candidate, so where its line began does not matter
+                assert model.decode(scanned.words_of(some))[1 : end - begin] == whole[at:end]
+            else:
+                assert model.decode(scanned.words_of(some))[at:end] == whole[at:end]
+        at = end + 1
+
+
 def test_heading_of_long_lines():
     assert scanned.heading_of("Baş " * 700 + "\nSONUÇ BELGESİ\nmetin")[1] == scanned.page_parts("x\nSONUÇ BELGESİ\nmetin")[2][1]
     assert scanned.heading_of("Baş\nSONUÇ\nmetin " * 900) == scanned.page_parts("Baş\nSONUÇ\nmetin")[2]
