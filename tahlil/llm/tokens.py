@@ -3,8 +3,8 @@
 1. Every batch splits its texts into words and reports its distinct words; a grouped count over all
    batches gives the table of words met in two batches or more, each encoded once.
 2. The frequent part of the table, at most TABLE_WORDS words of at most TABLE_CHARS characters (a few MB,
-   whatever the corpus), goes to all executors. A word outside it is rare; a batch that holds it encodes
-   it there, once for the batch. No word is dropped.
+   whatever the corpus), goes to all executors. A word outside it is rare; a worker encodes it when it meets it, and
+   keeps it with the table for all its later batches and tasks. No word is dropped.
 3. Each batch joins ids back to its words by position and puts them together by text.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tahlil.functions.frequent import chosen
 from tahlil.llm.pretoken import words
-from tahlil.session import written
+from tahlil.session import made, written
 
 #: Bounds of the word table that is sent to the executors.
 TABLE_WORDS, TABLE_CHARS = 1 << 17, 48
+#: Words, and characters of words, that a worker keeps beside the table, before it begins anew.
+KEPT_WORDS, KEPT_CHARS = 50_000, 2_000_000
 #: Characters of text that one array operation handles at a time.
 SLICE_CHARS = 2_000_000
 
@@ -78,50 +82,80 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def word_table(docs: DataFrame, text: str, path: str) -> pa.Table:
-    """The frequent words with their ids, at most TABLE_WORDS rows.
-
-    The threshold is the lowest count that keeps the table within its bound; it comes from a histogram of
-    the counts, so nothing but the bounded table reaches the driver.
-    """
+    """The frequent words with their ids, at most TABLE_WORDS rows; nothing but this table and two bounded histograms reaches
+    the driver."""
     counts = written(word_counts(docs, text).filter("n >= 2"), "words")
-    rows = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, held = None, 0
-    for r in sorted(rows, reverse=True):
-        held += r.words
-        if held > TABLE_WORDS:
-            break
-        least = r.n
-    if least is None:
-        return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    keep = chosen(counts, "n", TABLE_WORDS, "word")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), encode_words(b.column(0).to_pylist(), path)], names=["word", "ids"])
 
-    return counts.filter(F.col("n") >= least).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow()
-
-
-def ids_of(texts: pa.Array, table: pa.Table, path: str) -> pa.ListArray:
+    return counts.filter(keep).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow()
+
+
+class Known:
+    """Words with their ids: the table, and what a worker has met beside it."""
+
+    def __init__(self, table: pa.Table):
+        self.table = dict(zip(table["word"].to_pylist(), range(len(table)), strict=True))
+        ids = table["ids"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
+        self.base_ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.base_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.place, self.ids, self.ends, self.chars = dict(self.table), [self.base_ids], [self.base_ends], 0
+
+    def lists(self, words: list[str], path: str) -> pa.ListArray:
+        """Ids of each of some distinct words."""
+        place = self.place
+        fresh = [w for w in words if w not in place]
+        if len(place) - len(self.table) + len(fresh) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            self._begin()
+            place = self.place
+            fresh = [w for w in words if w not in place]
+        if fresh:
+            got = [e.ids for e in tokenizer(path).encode_batch(fresh, add_special_tokens=False)]
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
+            self.chars += sum(map(len, fresh))
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self.ids.append(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
+            self.ends.append((self.ends[-1][-1] + np.cumsum(sizes)).astype(np.int32))
+        if len(self.ids) > 32:
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        every = pa.ListArray.from_arrays(pa.array(np.concatenate(self.ends)), pa.array(np.concatenate(self.ids)))
+        return every.take(pa.array(np.fromiter(map(place.__getitem__, words), np.int32, len(words))))
+
+
+def ids_of(texts: pa.Array, known: Known, path: str) -> pa.ListArray:
     """Ids of each text: the ids of its words, by position; an empty list for a null or empty text."""
     w, bounds = words(texts)
     d = w.dictionary_encode()
-    distinct = d.dictionary.cast(pa.string())
-    known, ids = table["word"].combine_chunks(), table["ids"].combine_chunks()
-    place = pc.index_in(distinct, value_set=known)
-    missing = pc.is_null(place)
-    fresh = distinct.filter(missing)
-    if len(fresh):
-        own = encode_words(fresh.to_pylist(), path)
-        ids = pa.concat_arrays([ids.cast(own.type), own])
-        at = place.to_numpy(zero_copy_only=False).copy()
-        at[missing.to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(fresh))
-        place = pa.array(at.astype(np.int64))
-    by_word = ids.take(place)  # ids of the slice's distinct words
+    by_word = known.lists(d.dictionary.to_pylist(), path)  # ids of the slice's distinct words
     per_word = by_word.take(d.indices)  # of its words, in order
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(per_word).to_numpy(zero_copy_only=False))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), per_word.flatten().cast(pa.int32()))
 
 
+def sent_table(docs: DataFrame, text: str, path: str):
+    """The word table of a column, broadcast."""
+    table = word_table(docs, text, path)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def encoded(texts: pa.Array, sent, path: str) -> Iterator[tuple[int, pa.ListArray]]:
+    """The ids of an array of texts in slices, each with the place where it begins."""
+    known = made(sent, lambda x: Known(pa.ipc.open_stream(x).read_all().combine_chunks()))
+    begin = 0
+    for s in slices(texts):
+        yield begin, ids_of(s, known, path)
+        begin += len(s)
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """`docs` without the column `text`, with its token ids as ARRAY<INT> in `out`.
 
@@ -131,20 +165,12 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     """
     path = path or tokenizer_path()
     kept = [c for c in docs.columns if c not in (text, out)]
-    table = word_table(docs, text, path)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    sent = sent_table(docs, text, path)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
         for b in batches:
-            begin = 0
-            for s in slices(b.column(0)):
-                rest = b.slice(begin, len(s)).columns[1:]
-                begin += len(s)
-                yield pa.RecordBatch.from_arrays([*rest, ids_of(s, held, path)], names=[*kept, out])
+            for begin, ids in encoded(b.column(0), sent, path):
+                yield pa.RecordBatch.from_arrays([*b.slice(begin, len(ids)).columns[1:], ids], names=[*kept, out])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.select(text, *kept).mapInArrow(join, schema)

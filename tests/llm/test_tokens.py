@@ -17,7 +17,15 @@ def want(texts):
 
 def got(texts):
     none = pa.table({"word": pa.array(["a", " the"]), "ids": tokens.encode_words(["a", " the"], PATH)})
-    return tokens.ids_of(pa.array(texts, pa.string()), none, PATH).to_pylist()
+    return tokens.ids_of(pa.array(texts, pa.string()), tokens.Known(none), PATH).to_pylist()
+
+
+def test_kept_words(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
+    known = tokens.Known(pa.table({"word": pa.array(["a"]), "ids": tokens.encode_words(["a"], PATH)}))
+    for i in range(90):
+        texts = [f"a kelime{i} x{i % 7}", "a", None, f"x{i % 3} x{i % 3}"]
+        assert tokens.ids_of(pa.array(texts, pa.string()), known, PATH).to_pylist() == want(texts)
 
 
 def test_odd_texts():
