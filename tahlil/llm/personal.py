@@ -114,7 +114,7 @@ def normal(text: str) -> tuple[str, list[int] | None]:
                 out[-1] = out[-1][:-1] + (one if len(one) == 1 else "i" if last in "iı" and c == "\u0307" else last)
         elif not invisible(c):
             out.append(PROTOTYPE.get(c, c))
-            at.append(i)
+            at += [i] * len(out[-1])
     out.append(text[done:])
     at.extend(range(done, len(text)))
     return latin_words("".join(out)), at

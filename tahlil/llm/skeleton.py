@@ -1,9 +1,11 @@
 """Problem 4: one consistent form for text that looks the same but differs in its characters.
 
 The skeleton of a text: decompose it, replace every character by its prototype, decompose again; then the
-canonical composition is taken, so that the form is ordinary writing. Prototypes: the ordinary character of
-a full-width form, the ordinary blank of every other blank, nothing for invisible characters, and the Latin
-letter for a look-alike letter of another script. Line ends and page breaks stay.
+canonical composition is taken, so that the form is ordinary writing. Prototypes: the ordinary characters of a
+compatibility form that differs in its shape only (full and half width, mathematical and script letters, small
+forms, letters in circles, ligatures, Roman numerals), the ordinary blank of every other blank, nothing for invisible
+characters, and the Latin letter for a look-alike letter of another script. Raised and lowered characters and fractions mean
+something else than the ordinary ones (10³ is not 103), so they stay, as do line ends and page breaks.
 
 A letter of another script is a look-alike only where it stands in place of a Latin one: in a word that also
 has Latin letters, or in a word all of whose letters have a Latin look-alike, unless a neighbouring word of
@@ -24,17 +26,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Look-alike letters and the Latin letter each looks like (fixed values).
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwv", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυικαγ", "ABEZHIKMNOPTYXovpuikay", strict=True))
-LOOKALIKE = CYRILLIC | GREEK
-#: Greek capitals and the one small letter that are taken for Latin in a word without Latin letters.
-GREEK_ALONE = set("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο")
-
-FULL_WIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-BLANKS = "\t  " + "".join(map(chr, range(0x2000, 0x200B))) + "  　"
-PROTOTYPE = FULL_WIDTH | dict.fromkeys(BLANKS, " ")
-SHIFT = str.maketrans(PROTOTYPE)
-FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜӀѴԌаеѕіјорсухһԁԛԝѵӏү", "ABESIJKMHOPCTYXYQWIVGaesijopcyxhdqwvly", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹονρυικαγηωϲϳ", "ABEZHIKMNOPTYXJCovpuikaynwcj", strict=True))
+ARMENIAN = dict(zip("ՕՍՏԼօսհոցզյ", "OUSLouhngqj", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHYGZbRWSVSLCPKdB", strict=True))
+COPTIC = dict(zip("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥⲭ", "ABHIKMNOPCTYXopcx", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC | LISU
+#: Letters that are taken for Latin in a word without Latin letters: of Greek only the capitals and one small letter.
+ALONE = frozenset(LOOKALIKE) - frozenset("νρυικαγηωϲϳ")
+#: The other scripts: a letter for each, and where its characters lie.
+SCRIPTS = (("C", 0x400, 0x52F), ("G", 0x370, 0x3FF), ("A", 0x530, 0x58F), ("K", 0x13A0, 0x13FF), ("P", 0x2C80, 0x2CFF), ("S", 0xA4D0, 0xA4FF))
+
+SHAPES = ("<font>", "<wide>", "<narrow>", "<small>")
+
+
+def shape(c: str) -> str:
+    """The ordinary characters of a form that differs from them in its shape only; else nothing."""
+    tag, _, rest = unicodedata.decomposition(c).partition(" ")
+    if tag not in SHAPES and not (tag == "<circle>" and rest and chr(int(rest.split()[0], 16)).isalpha()) and not 0xFB00 <= ord(c) <= 0xFB06 and not 0x2160 <= ord(c) <= 0x217F:
+        return ""
+    return unicodedata.normalize("NFKC", c)
+
+
+BLANKS = "\t" + "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs")
+PROTOTYPE = {c: s for c in map(chr, range(0x80, 0x20000)) if (s := shape(c))} | dict.fromkeys(BLANKS, " ")
+FOREIGN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for _, a, b in SCRIPTS) + "]")
 WORD = re.compile(r"[^\W_]+")
 #: What a text must have, for anything in it to change: a character outside ASCII and Turkish letters.
 ODD = re.compile(r"[^\x00-\x08\x0A-\x7FçğıöşüÇĞİÖŞÜâîûÂÎÛ]")
@@ -48,10 +65,10 @@ def invisible(c: str) -> bool:
 
 
 def script(c: str) -> str:
-    """G, C or L for a letter of the Greek, Cyrillic or another script; empty for what is no letter."""
+    """The letter of another script for its letters, L for other letters; empty for what is no letter."""
     if not c.isalpha():
         return ""
-    return "C" if "Ѐ" <= c <= "ԯ" else "G" if "Ͱ" <= c <= "Ͽ" else "L"
+    return next((x for x, a, b in SCRIPTS if a <= ord(c) <= b), "L")
 
 
 def own_script(word: str) -> str:
@@ -62,6 +79,16 @@ def own_script(word: str) -> str:
     return kinds.pop() if any(c.isalpha() and c not in LOOKALIKE for c in word) else ""
 
 
+@lru_cache(10_000)
+def latin(c: str) -> str:
+    """The Latin letter that a letter looks like, with its marks; else the letter itself."""
+    if c in LOOKALIKE or c.isascii():
+        return LOOKALIKE.get(c, c)
+    parts = unicodedata.normalize("NFD", c)
+    new = unicodedata.normalize("NFC", LOOKALIKE.get(parts[0], parts[0]) + parts[1:])
+    return new if len(new) == 1 else c
+
+
 def latin_words(text: str) -> str:
     """The text with look-alike letters replaced where they stand for Latin ones."""
     if not FOREIGN.search(text):
@@ -75,8 +102,8 @@ def latin_words(text: str) -> str:
             continue
         kinds = {script(c) for c in w} - {""}
         if "L" in kinds:
-            new = "".join(LOOKALIKE.get(c, c) for c in w)
-        elif all(not c.isalpha() or c in CYRILLIC or c in GREEK_ALONE for c in w):
+            new = "".join(map(latin, w))
+        elif all(not c.isalpha() or c in ALONE for c in w):
             near = {own[j] for j in (i - 1, i + 1) if 0 <= j < len(words) and "\n" not in text[min(m.end(), words[j].end()) : max(m.start(), words[j].start())]}
             new = w if kinds & near else "".join(LOOKALIKE.get(c, c) for c in w)
         else:

@@ -1,9 +1,10 @@
 """Problem 3: oversized texts in pieces under a size limit, cut at natural boundaries, with overlap.
 
-A cut is chosen in the second half of the space that is left for a piece: among the boundaries of the best
-kind there (page, paragraph, line, sentence, word) the one at the deepest valley of lexical cohesion, that
-is where the words of the block before it and of the block after it have least in common, compared with the
-gaps on both sides. Without a boundary in that half, the half of what is left before it is searched, and so on;
+A cut is chosen in the second half of the space that is left for a piece: among all natural boundaries there (of pages,
+paragraphs, lines and sentences) the one at the deepest valley of lexical cohesion, that is where the words of the
+block before it and of the block after it have least in common, compared with the boundaries on both sides. Of equally deep
+ones the better kind of boundary wins, then the later. Only where there is none of them words are cut apart, by
+the same measure. Without a boundary in that half, the half of what is left before it is searched, and so on;
 only where the whole window has none the text is cut at the limit. Every piece but the first
 starts `overlap` characters before the cut at which the one before it ended.
 """
@@ -13,11 +14,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tahlil.functions.turkish import plain
+
 LIMIT, OVERLAP = 2_000, 200
 BLOCK_WORDS = 40  # words of a block whose cohesion is compared
 KINDS = ("page", "paragraph", "line", "sentence", "word", "none")
@@ -32,36 +36,34 @@ def similarity(a: Counter, b: Counter) -> float:
     return sum(v * b[k] for k, v in a.items()) / norm**0.5 if norm else 0.0
 
 
-def valley(text: str, gaps: list[int], lo: int, hi: int) -> int:
-    """Of the gaps, the one with the deepest valley of cohesion in text[lo:hi]; the last of equals."""
-    if len(gaps) == 1:
-        return gaps[0]
+def valley(text: str, gaps: dict[int, int], lo: int, hi: int) -> int:
+    """Of the gaps (place and kind, the best 0), the one with the deepest valley of cohesion in text[lo:hi]; of equals the
+    better kind, then the last."""
     margin = BLOCK_WORDS * 12
     lo, hi = max(0, lo - margin), min(len(text), hi + margin)
-    found = [(m.start(), m.group()[:6].casefold()) for m in WORD.finditer(text, lo, hi)]
-    at = [p for p, _ in found]
-    scores, k = [], 0
-    for g in gaps:
-        while k < len(at) and at[k] < g:
+    found = [(m.start(), m.group()) for m in WORD.finditer(plain(text[lo:hi]))]
+    places, scores, k = sorted(gaps), [], 0
+    for g in places:
+        while k < len(found) and found[k][0] < g - lo:
             k += 1
         scores.append(similarity(Counter(w for _, w in found[max(0, k - BLOCK_WORDS) : k]), Counter(w for _, w in found[k : k + BLOCK_WORDS])))
-    peaks = []
-    for order in (range(len(gaps)), range(len(gaps) - 1, -1, -1)):
-        run, side = 0.0, {}
-        for i in order:
-            run = max(run, scores[i])
-            side[i] = run
-        peaks.append(side)
-    depth = [peaks[0][i] + peaks[1][i] - 2 * scores[i] for i in range(len(gaps))]
-    return gaps[max(range(len(gaps)), key=lambda i: (round(depth[i], 9), i))]
+    left = list(accumulate(scores, max))
+    right = list(accumulate(reversed(scores), max))[::-1]
+    depth = [a + b - 2 * s for a, b, s in zip(left, right, scores, strict=True)]
+    return places[max(range(len(places)), key=lambda i: (round(depth[i], 9), -gaps[places[i]], i))]
 
 
-def boundaries(text: str, begin: int, lo: int, hi: int) -> tuple[str, list[int]] | None:
-    """The best kind that has a boundary in text[lo:hi], and where; None without any."""
-    for kind, pattern in zip(KINDS, BOUNDARIES, strict=False):
-        if gaps := [m.end() for m in pattern.finditer(text, max(begin, lo - 200), hi) if lo <= m.end() <= hi]:
-            return kind, gaps
-    return None
+def boundaries(text: str, begin: int, lo: int, hi: int) -> dict[int, int]:
+    """The natural boundaries in text[lo:hi] and the kind of each (a place in KINDS): all but those of words; those only where
+    there are no others."""
+    gaps: dict[int, int] = {}
+    for kind, pattern in enumerate(BOUNDARIES):
+        if KINDS[kind] == "word" and gaps:
+            break
+        for m in pattern.finditer(text, max(begin, lo - 200), hi):
+            if lo <= m.end() <= hi:
+                gaps.setdefault(m.end(), kind)
+    return gaps
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
@@ -76,11 +78,10 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         hi = begin + limit
         least, top = max(cut + 1, begin + overlap + 1), hi
         lo = max(least, cut + (hi - cut) // 2)
-        while not (best := boundaries(text, begin, lo, top)) and lo > least:
+        while not (gaps := boundaries(text, begin, lo, top)) and lo > least:
             lo, top = max(least, cut + (lo - cut) // 2), lo - 1
-        kind, gaps = best or ("none", [])
         end = valley(text, gaps, lo, top) if gaps else hi
-        out.append((begin, end, kind))
+        out.append((begin, end, KINDS[gaps[end]] if gaps else "none"))
         begin, cut = end - overlap, end
     return [*out, (begin, len(text), "none")]
 

@@ -47,6 +47,9 @@ def test_cut_at_the_topic():
     a, b = "Böbrek dokusu ve tübül hücreleri. " * 4, "Yıldız kümesi ve teleskop zamanı. " * 4
     (_, end, kind), *_ = split.pieces(a + b, 190, 10)
     assert kind == "sentence" and end == len(a)
+    # the deepest valley decides, not the kind of boundary: a blank line within the first topic is no reason
+    (_, end, kind), *_ = split.pieces(a[:99] + "\n\n" + a[99:] + b, 190, 10)
+    assert kind == "sentence" and end == len(a) + 2
     paged = "satır bir ve daha\nsatır iki ve daha çok\f" + "x " * 40
     assert split.pieces(paged, 60, 5)[0][1:] == (paged.index("\f") + 1, "page")
     assert split.pieces("x" * 50, 20, 5)[0] == (0, 20, "none")
@@ -84,6 +87,11 @@ def test_split(spark):
         ("β-hCG ve α-fetoprotein", "β-hCG ve α-fetoprotein"),
         ("Пациент говорит по-русски", "Пациент говорит по-русски"),
         ("satır\n\x0csayfa", "satır\n\x0csayfa"),
+        ("𝐇𝑎𝓼𝔱𝕒 ﬁlm Ⅳ ⓐ ﾊ", "Hasta film IV a ハ"),
+        ("10³ ½ H₂O µg ① 5 №", "10³ ½ H₂O µg ① 5 №"),
+        ("ՕKTAN Ꮋasta ꓮYLA Ⲟktan Ꭺyla", "OKTAN Hasta AYLA Oktan Ayla"),
+        ("Բարեւ ձեզ", "Բարեւ ձեզ"),
+        ("a\u00a0b\u2003c\u3000d\te\u205ff", "a b c d e f"),
         ("", ""),
     ],
 )
@@ -163,6 +171,12 @@ def test_addresses_are_those_of_the_whole_pattern():
         assert [m.span() for m in personal.addresses(x)] == [m.span() for m in personal.ADDRESS.finditer(x)], repr(x)
 
 
+def test_places_in_texts_with_ligatures():
+    text = "ﬁlm\u200b о\u0308zel ﬃ"
+    form, at = personal.normal(text)
+    assert form == "film özel ffi" and len(form) == len(at) and [text[i] for i in at[:3]] == ["ﬁ", "ﬁ", "l"]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(personal.KINDS), st.integers(0, 30), st.integers(1, 6), st.sampled_from([0.2, 0.9])), max_size=12))
 def test_spans_do_not_overlap(some):
