@@ -100,19 +100,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-def p9_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subject mixture of every text cell and of the data of every notebook."""
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.mixed(*(table(spark, sf_dir, t) for t in ("documents", "subject_label", "subject_area")))
 
 
+def p9_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject mixture of every notebook."""
+    return subjects.mixture_of_documents(_mixed(spark, sf_dir), table(spark, sf_dir, "subject_area"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects each notebook is about."""
-    return subjects.found(p9_mixtures(spark, sf_dir))
+    return subjects.found(_mixed(spark, sf_dir))
 
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The make-up of the corpus: notebooks by source and subject."""
-    return subjects.composition(p9_mixtures(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return subjects.composition(_mixed(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 def queries():

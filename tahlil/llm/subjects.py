@@ -6,8 +6,9 @@ term, weighted by the inverse root of its rows. Components are anchored: one for
 some for what all notebooks of a language share. Alternating non-negative updates over all rows fit the components;
 the mixture of a row then gives its subject directly.
 
-Vocabulary, label counts and every update cover all rows. What comes to the driver is bounded by TERMS times
-the number of components, whatever the corpus.
+Vocabulary, label counts and every update cover all rows. The columns of the matrix are the TERMS terms of most rows; what
+comes to the driver is bounded by TERMS times the number of components, whatever the corpus. A row of rarer terms only
+stays in the matrix, with an empty mixture.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tahlil.functions.frequent import chosen
 from tahlil.session import written
 
 TERMS = 20_000  # most terms of the matrix, by number of rows
@@ -34,6 +36,8 @@ WORD = re.compile(r"[^\W\d_]{2,}")
 NAME = re.compile(r"(?<![^\W_])[a-z][a-z]*(?:_[a-z]+)*", re.IGNORECASE)
 DATA = -1  # cell number of the row of a notebook's data
 CODE = "code"  # the language of the names of code
+SUBJECTS_MOST = 200  # most subjects
+MIXED = "doc_id long, cell_no int, prose boolean, subject string, share double, shares array<double>"
 ROWS = "doc_id long, lang string, cell_no int, prose boolean, terms array<string>"
 
 
@@ -76,20 +80,14 @@ def vocabulary(matrix: DataFrame) -> dict[str, tuple[int, str]]:
     by = matrix.select(F.explode("terms").alias("term"), "lang").groupBy("term", "lang").agg(F.count(F.lit(1)).alias("k"))
     counts = by.groupBy("term").agg(F.sum("k").alias("n"), F.max_by("lang", F.struct("k", "lang")).alias("lang")).filter(F.col("n") >= LEAST_ROWS)
     counts = written(counts, "terms")
-    held, least = 0, None
-    for r in sorted(counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count(F.lit(1)).alias("terms")).collect(), reverse=True):
-        held += r.terms
-        if held > TERMS:
-            break
-        least = r.n
-    return {r.term: (r.n, r.lang) for r in counts.filter(F.col("n") >= least).collect()} if least is not None else {}
+    return {r.term: (r.n, r.lang) for r in counts.filter(chosen(counts, "n", TERMS, "term")).collect()}
 
 
-def label_counts(matrix: DataFrame, labels: DataFrame, known: list[str]) -> list:
-    """(term, subject, n): labelled rows with each term, a notebook of several labels counting in parts."""
+def label_counts(coded: DataFrame, labels: DataFrame, known: list[str]) -> list:
+    """(place, subject, n): labelled rows with each term of the matrix, a notebook of several labels counting in parts."""
     one = labels.filter(F.col("subject").isin(known)).groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("votes"))
     parts = one.join(one.groupBy("doc_id").agg(F.sum("votes").alias("all")), "doc_id").select("doc_id", "subject", (F.col("votes") / F.col("all")).alias("part"))
-    return matrix.join(parts, "doc_id").select(F.explode("terms").alias("term"), "subject", "part").groupBy("term", "subject").agg(F.sum("part").alias("n")).collect()
+    return coded.join(parts, "doc_id").select(F.explode("places").alias("place"), "subject", "part").groupBy("place", "subject").agg(F.sum("part").alias("n")).collect()
 
 
 def languages(terms: dict[str, tuple[int, str]]) -> list[str]:
@@ -103,14 +101,12 @@ def languages(terms: dict[str, tuple[int, str]]) -> list[str]:
 def start(terms: dict[str, tuple[int, str]], counted: list, subjects: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The components before the first update (those of subjects first), the subject of each (-1: shared), and the
     weights of the terms."""
-    place = {t: i for i, t in enumerate(sorted(terms))}
     df = np.array([terms[t][0] for t in sorted(terms)], float)
     tongues = languages(terms)
     tongue = np.array([tongues.index(terms[t][1]) if terms[t][1] in tongues else 0 for t in sorted(terms)])
-    n = np.zeros((len(subjects), len(place)))
+    n = np.zeros((len(subjects), len(terms)))
     for r in counted:
-        if r.term in place:
-            n[subjects.index(r.subject), place[r.term]] += r.n
+        n[subjects.index(r.subject), r.place] += r.n
     # every label weighs the same, however many rows have it
     total = n.sum(1, keepdims=True)
     n = n * np.where(total > 0, total.sum() / (len(subjects) * np.maximum(total, 1e-9)), 0)
@@ -129,7 +125,7 @@ def start(terms: dict[str, tuple[int, str]], counted: list, subjects: list[str])
                 of.append(k)
     for x in range(len(tongues)):
         for _ in range(SHARED):
-            h.append(np.where(seed.any(0), 1e-3, np.where(tongue == x, 1.0, 1e-3)) * df * weight * (0.5 + rng.random(len(place))))
+            h.append(np.where(seed.any(0), 1e-3, np.where(tongue == x, 1.0, 1e-3)) * df * weight * (0.5 + rng.random(len(terms))))
             of.append(-1)
     h = np.array(h)
     return h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12), np.array(of), weight
@@ -158,7 +154,7 @@ def shares(h: np.ndarray, of: np.ndarray, w: np.ndarray, subjects: int) -> np.nd
 
 
 def encoded(matrix: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """The rows with the places of their terms instead of the terms; rows without any are left out."""
+    """The rows with the places of their terms instead of the terms; a row without any has an empty list."""
     held = matrix.sparkSession.sparkContext.broadcast(sorted(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +166,7 @@ def encoded(matrix: DataFrame, terms: dict[str, int]) -> DataFrame:
             there = pc.is_valid(flat).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[there], minlength=len(lists)))]).astype(np.int32)
             places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(there)).cast(pa.int32()))
-            out = pa.RecordBatch.from_arrays([*b.columns[:3], places], names=["doc_id", "cell_no", "prose", "places"])
-            yield out.filter(pc.greater(pc.list_value_length(places), 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], places], names=["doc_id", "cell_no", "prose", "places"])
 
     return matrix.select("doc_id", "cell_no", "prose", "terms").mapInArrow(run, "doc_id long, cell_no int, prose boolean, places array<int>")
 
@@ -216,22 +211,29 @@ def parts(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends
 
 
+def known_subjects(areas: DataFrame) -> list[str]:
+    """The subjects of the fixed list, sorted; refused beyond SUBJECTS_MOST."""
+    got = [r.subject for r in areas.select("subject").filter("subject is not null and subject <> ''").distinct().limit(SUBJECTS_MOST + 1).collect()]
+    if len(got) > SUBJECTS_MOST:
+        raise ValueError(f"there are more than {SUBJECTS_MOST} subjects")
+    return sorted(got)
+
+
 def mixed(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """The subject mixture of every row: doc_id, cell_no, prose, the best `subject`, its `share` of the row's
-    mixture.
+    mixture, and the `shares` of all subjects in order of their names.
 
-    `areas`: subject (a fixed, small list). Labels of unknown subjects don't count. Without documents or labels
+    `areas`: subject (a fixed list of at most SUBJECTS_MOST). Labels of unknown subjects don't count. Without documents or labels
     there are no rows. Repeated documents give repeated rows.
     """
     spark = docs.sparkSession
-    subjects = sorted(r.subject for r in areas.select("subject").distinct().collect() if r.subject)
-    empty = spark.createDataFrame([], "doc_id long, cell_no int, prose boolean, subject string, share double")
+    subjects = known_subjects(areas)
     matrix = written(rows(docs), "subject-rows")
     terms = vocabulary(matrix)
-    counted = label_counts(matrix, labels, subjects)
-    if not terms or not counted:
-        return empty
     coded = written(encoded(matrix, terms), "subject-matrix")
+    counted = label_counts(coded, labels, subjects)
+    if not terms or not counted:
+        return spark.createDataFrame([], MIXED)
     h, of, weight = start(terms, counted, subjects)
     held = spark.sparkContext.broadcast((fitted(coded, h, weight), of, weight))
 
@@ -241,18 +243,35 @@ def mixed(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
             w, _ = mixtures(h, weight, *parts(b.column(3)))
             share = shares(h, of, w, len(subjects))
             best = share.argmax(1)
+            every = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * len(subjects)), pa.array(share.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([subjects[i] for i in best], pa.string()), pa.array(share[np.arange(len(best)), best])],
-                names=["doc_id", "cell_no", "prose", "subject", "share"],
+                [*b.columns[:3], pa.array([subjects[i] for i in best], pa.string()), pa.array(share[np.arange(len(best)), best]), every],
+                names=["doc_id", "cell_no", "prose", "subject", "share", "shares"],
             )
 
-    return coded.mapInArrow(run, "doc_id long, cell_no int, prose boolean, subject string, share double")
+    return coded.mapInArrow(run, MIXED)
+
+
+def counting() -> Column:
+    """Whether a row says what its notebook is about: a text cell, or the data of a notebook without prose."""
+    return (F.col("cell_no") != DATA) | ~F.col("prose")
+
+
+def mixture_of_documents(mix: DataFrame, areas: DataFrame) -> DataFrame:
+    """(doc_id, `mixture`): the subjects of each notebook with their shares, greatest first, that is the mean mixture of its rows
+    that count, scaled to 1. A notebook in which no subject has any share has an empty mixture. Rows of one doc_id
+    are one notebook."""
+    subjects = known_subjects(areas)
+    sums = mix.filter(counting()).groupBy("doc_id").agg(*(F.sum(F.get("shares", F.lit(i))).alias(f"s{i}") for i in range(len(subjects))))
+    total = sum((F.col(f"s{i}") for i in range(len(subjects))), F.lit(0.0))
+    each = F.array(*(F.struct((F.col(f"s{i}") / total).alias("share"), F.lit(s).alias("subject")) for i, s in enumerate(subjects)))
+    some = F.sort_array(F.filter(each, lambda x: x["share"] > 0), asc=False)
+    return sums.select("doc_id", F.when(total > 0, F.transform(some, lambda x: F.struct(x["subject"].alias("subject"), x["share"].alias("share")))).otherwise(F.array().cast("array<struct<subject:string,share:double>>")).alias("mixture"))
 
 
 def found(mix: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, subject) for each subject that a whole text cell is about, or the data of a notebook without prose."""
-    about = (F.col("cell_no") != DATA) | ~F.col("prose")
-    return mix.filter(about & (F.col("share") >= least)).select("doc_id", "subject").distinct()
+    return mix.filter(counting() & (F.col("share") >= least)).select("doc_id", "subject").distinct()
 
 
 def composition(mix: DataFrame, docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:

@@ -60,3 +60,23 @@ def test_nothing(corpus):
     docs, labels, areas, _ = corpus
     assert subjects.mixed(docs.limit(0), labels, areas).count() == 0
     assert subjects.mixed(docs, labels.limit(0), areas).count() == 0
+
+
+def test_mixture_of_documents(corpus):
+    docs, labels, areas, truth = corpus
+    got = {r.doc_id: {m.subject: m.share for m in r.mixture} for r in subjects.mixture_of_documents(subjects.mixed(docs, labels, areas), areas).collect()}
+    assert 900 not in got and 901 not in got and 902 in got and set(truth) <= set(got)
+    assert all(not m or abs(sum(m.values()) - 1) < 1e-9 for m in got.values())
+    two = [i for i, a in truth.items() if len(a) == 2 and i >= 240]
+    top = [set(sorted(got[i], key=got[i].get, reverse=True)[:2]) == truth[i] for i in two]
+    assert sum(top) > 0.9 * len(top) and all(len(got[i]) > 1 for i in two)
+
+
+def test_terms_beyond_the_bound(corpus, monkeypatch):
+    docs, labels, areas, _ = corpus
+    monkeypatch.setattr(subjects, "TERMS", 12)
+    mix = subjects.mixed(docs, labels, areas)
+    assert {r.doc_id for r in mix.select("doc_id").distinct().collect()} >= set(range(600))  # no row is lost with its terms
+    monkeypatch.setattr(subjects, "SUBJECTS_MOST", 2)
+    with pytest.raises(ValueError):
+        subjects.mixed(docs, labels, areas)

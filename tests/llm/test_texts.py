@@ -28,6 +28,9 @@ def test_long_lists_are_refused(spark, monkeypatch):
     monkeypatch.setattr(canonical, "FORMS_MOST", 3)
     with pytest.raises(ValueError):
         canonical.mapped(typed, terms)
+    monkeypatch.setattr(canonical, "FORMS_MOST", 4)  # several fields together within the bound: all are known
+    every = spark.createDataFrame([(f"f{i}", i, "x") for i in range(4)], "field string, rec_id long, value string")
+    assert sorted(r.term_id for r in canonical.mapped(every, terms).collect()) == [0, 1, 2, 3]
     monkeypatch.setattr(personal, "NAMES_MOST", 1)
     with pytest.raises(ValueError):
         personal.lexicon(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([("A", True, True), ("B", True, True)], "token string, is_first boolean, is_surname boolean"))
