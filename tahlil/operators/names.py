@@ -19,6 +19,7 @@ from tahlil.functions.patterns import CAPITALS, LETTERS, anyof
 from tahlil.functions.turkish import ascii_fold, upper
 from tahlil.operators.rules import CASES as CASES_RULE
 from tahlil.operators.rules import NAME, PLACES, place_form
+from tahlil.session import made
 
 SENT_ROWS = 200_000
 # Endings of surnames (fixed values).
@@ -46,9 +47,11 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def in_sections(text: Column) -> Column:
     """For each line of a text whether it belongs to a medical section: from a line that begins one to before the next
-    line that ends it, or the end of the text. A fold over the lines, within the row."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(x.rlike(STOPS), F.lit(False)).when(x.rlike(STARTS), F.lit(True)).otherwise(F.coalesce(F.element_at(acc, -1), F.lit(False)))))
-    return F.slice(F.aggregate(F.split(text, "\n", -1), F.array(F.lit(False)), step), F.lit(2), F.greatest(F.size(F.split(text, "\n", -1)), F.lit(0)))
+    line that ends it, or the end of the text. Each line gets a sign, and a sign is carried on over the lines without one by one
+    replacement, so the cost grows as the text."""
+    sign = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(STOPS), "0").when(x.rlike(STARTS), "1").otherwise("."))
+    carried = F.regexp_replace(F.array_join(sign, ""), "(?:(?<=1)|(?!^)\\G)\\.", "1")
+    return F.transform(F.regexp_extract_all(carried, F.lit("([01.])"), F.lit(1)), lambda x: x == "1")
 
 
 def pairs(df: DataFrame, key: str, line: str = "line") -> DataFrame:
@@ -60,7 +63,7 @@ def pairs(df: DataFrame, key: str, line: str = "line") -> DataFrame:
 
 
 def dictionary(names: DataFrame) -> DataFrame:
-    """(word, is_first, is_surname), a row for each word, also without Turkish marks; marked to be sent if small."""
+    """(word, is_first, is_surname), a row for each word, also without Turkish marks; marked to be sent if it has at most SENT_ROWS."""
     up = names.filter("token is not null").select(upper(F.col("token")).alias("word"), "is_first", "is_surname")
     both = up.unionByName(up.withColumn("word", ascii_fold(F.col("word"))))
     d = both.groupBy("word").agg(F.bool_or("is_first").alias("is_first"), F.bool_or("is_surname").alias("is_surname"))
@@ -124,18 +127,10 @@ def exact_places(text: Column) -> Column:
 
 
 def mask_names(docs: DataFrame, names: DataFrame, key: str, text: str, out: str = "masked", everywhere: bool = False) -> DataFrame:
-    """(key, out): each text with the name pairs, and capitals left after a mask tag, replaced. This is the part that SQL can
-    say (`a11_names`); the whole layer is `mask_all_names`.
-
-    `key` must be unique. Overlapping pairs are one name. The found pairs are put back by a join on the key; texts
-    without any stay as they are. A null text stays null.
-    """
-    found = name_pairs(docs, names, key, text, everywhere).groupBy(key).agg(F.collect_set(F.concat("w1", F.when(F.length("w1") == 1, ". ").otherwise(" "), "w2")).alias("__pairs"))
-    df = docs.select(key, text).join(found, key, "left")
-    longest = F.array_sort("__pairs", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    masked = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col(text), lambda acc, p: F.replace(acc, p, F.lit("[ISIM_SILINDI]")))
-    after = F.regexp_replace(masked, f"(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+[{CAPITALS}]{{2,}}\\.?)+(?=[ \\t]*(?:\\n|$|[:|]))", "$1")
-    return df.select(key, F.regexp_replace(after, "(?:\\[ISIM_SILINDI\\][ \\t]*){2,}", "[ISIM_SILINDI]").alias(out))
+    """(key, out): each text with the names of `name_spans`, and capitals left after a mask tag, replaced. This is the part that SQL
+    can say (`a11_names`); the whole layer is `mask_all_names`. A null text stays null."""
+    some = docs.select(key, F.col(text).alias(out), F.array().cast("array<string>").alias("__removed"))
+    return mask_all_names(some, names, key, out, "__removed", everywhere, whole=False).select(key, out)
 
 
 def place_forms(spark) -> DataFrame:
@@ -246,13 +241,15 @@ CAPITAL = "".join(["[A-Z", *(c for c in map(chr, range(0x80, 0x10000)) if c.isup
 LEFT = re.compile(f"(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+{CAPITAL}{{2,}}(?:[ \\t]*\\.)?)+(?=[ \\t]*(?:\\n|$|[:|]))")
 CONTACT = re.compile(f"(\\[(?:WEB|ILETISIM|EMAIL)_SILINDI\\])[ \\t\\n]*({LETTER}{{2,15}})[ \\t\\n]+({SHORT})(?!{LETTER})")
 NAME_TAG = "[ISIM_SILINDI]"
-NAMES_REMOVED = ("İsim (sözlük)", "İsim (bozuk etiket + sözlük)", "İsim (yapışık)", "İsim (bozuk okunmuş)", "Doktor (DR+sözlük)", "İsim (etiket sonrası kalıntı)", "İsim (etiket sonrası)")
+LINE_END = re.compile(f"(?<!{LETTER})({SHORT})[ \\t]*\\n[ \\t]*({LETTER}+)(?!{LETTER})")
+REPEATED = re.compile("\\[ISIM_SILINDI\\](?:[ \\t]*\\[ISIM_SILINDI\\])+")
+NAMES_REMOVED = ("İsim (sözlük)", "İsim (satır sonu)", "İsim (bozuk etiket + sözlük)", "İsim (yapışık)", "İsim (bozuk okunmuş)", "Doktor (DR+sözlük)", "İsim (etiket sonrası kalıntı)", "İsim (etiket sonrası)")
 
 
 def name_spans(text: str, known: dict[str, tuple[bool, bool]], medical: list[bool] | None) -> list[tuple[int, int]]:
     """(begin, end) of the names by the rules of `name_pairs`, only blanks between their words (a full stop behind an
-    initial), and of a known third word; the same names are found wherever else they stand. Spans that touch are one."""
-    spans, said, at = [], {}, 0
+    initial), and of a known third word, by their place: the same words elsewhere are no concern of it. Spans that touch are one."""
+    spans, at = [], 0
     for no, line in enumerate(text.split("\n")):
         words = [] if medical and medical[no] else list(TOKEN.finditer(line))
         for i, (a, b) in enumerate(zip(words, words[1:], strict=False)):
@@ -267,10 +264,7 @@ def name_spans(text: str, known: dict[str, tuple[bool, bool]], medical: list[boo
                 continue
             third = words[i + 2] if i + 2 < len(words) and line[b.end() : words[i + 2].start()].strip(" \t") == "" and any(known.get(words[i + 2].group(), ())) else None
             spans.append((at + a.start(), at + (third or b).end()))
-            said[w1, w2] = f"(?<!{LETTER}){re.escape(w1)}(?:[ \\t]+|\\.[ \\t]*){re.escape(w2)}" if letter else f"{re.escape(w1)}[ \\t]+{re.escape(w2)}"
         at += len(line) + 1
-    for p in said.values():
-        spans += [m.span() for m in re.finditer(p, text)]
     out: list[tuple[int, int]] = []
     for b, e in sorted(spans):
         if out and text[out[-1][1] : b].strip(" \t") == "":
@@ -280,60 +274,105 @@ def name_spans(text: str, known: dict[str, tuple[bool, bool]], medical: list[boo
     return out
 
 
-def without_names(text: str, known: dict[str, tuple[bool, bool]], medical: list[bool] | None = None) -> tuple[str, list[str]]:
-    """A text without its names, and the sub-rules that applied, in order.
+def polite(text: str, known, calm) -> list[tuple[int, int]]:
+    """(begin, end) of the names at the end of a line with "Bey" or "Hanım" at the beginning of the next."""
+    return [m.span(1) for m in LINE_END.finditer(text) if calm(m) and any(known.get(m[1], ())) and upper_text(m[2]) in POLITE]
+
 
-    `known`: of the text's words those of the dictionary, as (is_first, is_surname). `medical`: for each line whether it
+def without_names(text: str, known, medical: list[bool] | None = None, whole: bool = True) -> tuple[str, list[str]]:
+    """A text without its names, and the sub-rules that applied, in order; with `whole` off only the first and the one for what is
+    left behind a tag.
+
+    `known`: gives of a word of the dictionary (is_first, is_surname). `medical`: for each line whether it
     belongs to a medical section, where only titled names and what stands beside tags is replaced.
     """
     first, surname, name = (lambda w: known.get(w, (False, False))[0]), (lambda w: known.get(w, (False, False))[1]), (lambda w: any(known.get(w, ())))
     calm = lambda m: not (medical and medical[m.string.count("\n", 0, m.start())])
     steps = [text]
-    for b, e in reversed(name_spans(text, known, medical)):
-        text = text[:b] + NAME_TAG + text[e:]
-    steps.append(text)
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        m = None if medical and medical[i] else LABEL_VALUE.fullmatch(line)
-        if m and not NO_NAME_LABELS.search(upper_text(m[1])):
-            words = m[2].split()
-            if first(words[0]) and all(w[0].isupper() for w in words) and not any(upper_text(w) in AMBIGUOUS for w in words):
-                lines[i] = line[: m.start(2)] + NAME_TAG + line[m.end(2) :]
-    text = "\n".join(lines)
-    steps.append(text)
-    steps.append(GLUED.sub(lambda m: NAME_TAG if calm(m) and (first(m[1]) or surname(m[2])) else m[0], text))
-    steps.append(SILE.sub(NAME_TAG, steps[-1]))
-    steps.append(TITLED.sub(lambda m: "[DOKTOR_SILINDI]" if name(m[1]) else m[0], steps[-1]))
-    steps.append(LEFT.sub(r"\1", steps[-1]))
-    steps.append(CONTACT.sub(lambda m: f"{m[1]} {NAME_TAG}" if name(m[2]) or name(m[3]) else m[0], steps[-1]))
-    return re.sub(r"\[ISIM_SILINDI\](?:[ \t]*\[ISIM_SILINDI\])+", NAME_TAG, steps[-1]), [n for n, a, b in zip(NAMES_REMOVED, steps, steps[1:], strict=False) if a != b]
-
-
-def mask_all_names(docs: DataFrame, names: DataFrame, key: str, text: str, removed: str, everywhere: bool = False) -> DataFrame:
+
+    def cut(some: list[tuple[int, int]]) -> None:
+        out, done = [], 0
+        for b, e in some:
+            out += [steps[-1][done:b], NAME_TAG]
+            done = e
+        steps.append("".join(out) + steps[-1][done:])
+
+    def sub(pattern: re.Pattern, new) -> None:
+        steps.append(pattern.sub(new, steps[-1]))
+
+    cut(name_spans(text, known, medical))
+    if whole:
+        cut(polite(steps[-1], known, calm))
+        lines = steps[-1].split("\n")
+        for i, line in enumerate(lines):
+            m = None if medical and medical[i] else LABEL_VALUE.fullmatch(line)
+            if m and not NO_NAME_LABELS.search(upper_text(m[1])):
+                words = m[2].split()
+                if first(words[0]) and all(w[0].isupper() for w in words) and not any(upper_text(w) in AMBIGUOUS for w in words):
+                    lines[i] = line[: m.start(2)] + NAME_TAG + line[m.end(2) :]
+        steps.append("\n".join(lines))
+        sub(GLUED, lambda m: NAME_TAG if calm(m) and (first(m[1]) or surname(m[2])) else m[0])
+        sub(SILE, NAME_TAG)
+        sub(TITLED, lambda m: "[DOKTOR_SILINDI]" if name(m[1]) else m[0])
+    sub(LEFT, r"\1")
+    if whole:
+        sub(CONTACT, lambda m: f"{m[1]} {NAME_TAG}" if name(m[2]) or name(m[3]) else m[0])
+    told = NAMES_REMOVED if whole else (NAMES_REMOVED[0], NAMES_REMOVED[6])
+    return REPEATED.sub(NAME_TAG, steps[-1]), [n for n, a, b in zip(told, steps[:-1], steps[1:], strict=True) if a != b]
+
+
+class Lookup:
+    """A dictionary of names that is asked for words as they are written."""
+
+    def __init__(self, rows: list[tuple[str, bool, bool]]):
+        self.words = {w: (f, s) for w, f, s in rows}
+        self.asked: dict[str, tuple[bool, bool]] = {}
+
+    def get(self, w: str, other: tuple = ()) -> tuple:
+        """(is_first, is_surname) of a word, with or without its Turkish marks; `other` if it is no name."""
+        if (k := self.asked.get(w)) is None:
+            if len(self.asked) > 200_000:
+                self.asked.clear()
+            up = upper_text(w)
+            a, b = (self.words.get(x, (False, False)) if 2 <= len(w) <= 20 else (False, False) for x in (up, up.translate(MARKLESS)))
+            k = self.asked[w] = (a[0] or b[0], a[1] or b[1])
+        return k if k != (False, False) else other
+
+
+def mask_all_names(docs: DataFrame, names: DataFrame, key: str, text: str, removed: str, everywhere: bool = False, whole: bool = True) -> DataFrame:
     """`docs` with the names of the dictionary replaced in `text`, by all sub-rules, and reported in the array `removed`.
 
-    The words of each text are looked up by a join, so the dictionary may grow; what was found goes back to its text by
-    the key. A null text stays null.
+    A dictionary of at most SENT_ROWS words goes to the workers, and nothing is exchanged. The words of a larger one, which the
+    forms of a corpus may teach, come to the texts by a join and back by the key. A null text stays null.
     """
-    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{LETTERS}]+)"), F.lit(1)))).alias("w")).filter("length(w) between 2 and 20")
-    words = words.select(key, "w", F.explode(F.array_distinct(F.array(upper(F.col("w")), ascii_fold(upper(F.col("w")))))).alias("word"))
-    found = words.join(dictionary(names), "word").groupBy(F.col(key).alias("__of")).agg(F.collect_set(F.struct("w", "is_first", "is_surname")).alias("__known"))
-    calm = F.lit(None).cast("array<boolean>") if everywhere else in_sections(F.col(text))
-    df = docs.withColumn("__medical", calm).join(found, F.col(key).eqNullSafe(F.col("__of")), "left").drop("__of")
     schema, order = docs.schema, docs.columns
+    d = dictionary(names)
+    calm = F.lit(None).cast("array<boolean>") if everywhere else in_sections(F.col(text))
+    docs = docs.withColumn("__medical", calm)
+    if (small := d.limit(SENT_ROWS + 1).count() <= SENT_ROWS):
+        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in d.select("word", "is_first", "is_surname").collect()])
+        docs = docs.withColumn("__known", F.lit(None).cast("array<struct<w:string,is_first:boolean,is_surname:boolean>>"))
+    else:
+        words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{LETTERS}]+)"), F.lit(1)))).alias("w")).filter("length(w) between 2 and 20")
+        words = words.select(key, "w", F.explode(F.array_distinct(F.array(upper(F.col("w")), ascii_fold(upper(F.col("w")))))).alias("word"))
+        found = words.join(d, "word").groupBy(F.col(key).alias("__of")).agg(F.collect_set(F.struct("w", "is_first", "is_surname")).alias("__known"))
+        docs, sent = docs.join(found, F.col(key).eqNullSafe(F.col("__of")), "left").drop("__of"), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = made(sent, Lookup) if small else None
         for b in batches:
             new, more = [], []
             for t, said, medical, found in zip(*(b.column(c).to_pylist() for c in (text, removed, "__medical", "__known")), strict=True):
-                known: dict[str, tuple[bool, bool]] = {}
-                for r in found or ():
-                    f, s = known.get(r["w"], (False, False))
-                    known[r["w"]] = (f or r["is_first"], s or r["is_surname"])
-                masked, kinds = (None, []) if t is None else without_names(t, known, medical)
+                known = every
+                if known is None:
+                    known = {}
+                    for r in found or ():
+                        f, s = known.get(r["w"], (False, False))
+                        known[r["w"]] = (f or r["is_first"], s or r["is_surname"])
+                masked, kinds = (None, []) if t is None else without_names(t, known, medical, whole)
                 new.append(masked)
                 more.append([*(said or []), *kinds])
             columns = {c: b.column(c) for c in order} | {text: pa.array(new, pa.string()), removed: pa.array(more, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
 
-    return df.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

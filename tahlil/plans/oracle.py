@@ -134,12 +134,39 @@ NAME_PAIRS = f"""
     WHERE ((f1 OR s1) AND (f2 OR s2)) OR ((f1 OR s1) AND list_contains({listed(names.POLITE)}, u2)) OR (length(w1) = 1 AND regexp_matches(w1, '^[{CAPITALS}]$') AND s2) OR (f1 AND ({' OR '.join(f"suffix(u2, {q(s)})" for s in names.SUFFIXES)}) AND NOT list_contains({listed(names.AMBIGUOUS)}, u1) AND NOT list_contains({listed(names.AMBIGUOUS)}, u2))"""
 
 
+# The words that the specification of the gate lists, kept apart from the operators' own (fixed values).
+GATE_STOP = """hasta velisi veli doktor hekim imza kaşe kase adı adi soyadı soyadi isim ismi tarih tarihi onay onaylayan raporlayan patolog uzman
+    uzmanı asistan servis isteyen gönderen gonderen klinik bölüm bolum no tc kimlik numarası numara randevu numune kabul saat saati protokol
+    rapor revizyon revize diploma dipl tescil ve bilgileri bilgi doğum dogum yeri cinsiyet yaş yas barkod istem alım alim alındığı alindigi
+    alınış alinis doku kurum adres adresi web tel telefon faks posta e-posta email sorumlu gönd gond dokt kaydeden hazırlayan hazirlayan
+    form formu sayfa baba anne eş es yakını yakini dr prof uzm""".split()
+GATE_CAPITALS = """adi soyadi hasta doktor tarih tarihi saat tel faks adres kurum web posta mail kimlik tc no sağlik saglik bakanliği bakanligi
+    hastanesi şehir sehir devlet üniversitesi tip fakültesi laboratuvari laboratuvar patoloji tibbi raporu sonuç tetkik formu talep numune
+    bilgileri prof uzm doç asistan dipl tescil onay kabul istem rapor revize protokol dosya tetkikler biyopsi materyal alindiği aliniş alinis""".split()
+GATE_RULES = (  # kind, pattern, which group is the finding
+    ("id", "\\b[1-9][0-9]{10}\\b", 0),
+    ("date", "\\b[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}\\b", 0),
+    ("contact", "[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\\.[0-9A-Za-z_.]+", 0),
+    ("contact", "(?:^|[^0-9])(0?[ \\t]?\\(?5[0-9]{2}\\)?[ \\t-]?[0-9]{3}[ \\t-]?[0-9]{2}[ \\t-]?[0-9]{2})(?:$|[^0-9])", 1),
+    ("contact", "(?:https?://|www\\.)[^ \\t\\n]+", 0),
+    ("person", "\\[(?:DOKTOR|HEKIM|HASTA_ADI|HASTA|ISIM|KISI|BABA_ADI|PII)_SILINDI\\][ \\t]+((?:\\p{Lu}\\p{L}{2,}[ \\t]*){1,3})", 1),
+)
+
+
 def residual_union() -> str:
-    """Rows (ner_id, type) of the residual findings."""
-    out = []
-    for kind, p in gate.RESIDUAL:
-        more = f" AND NOT list_contains({listed(gate.LABELS)}, {dotless('regexp_split_to_array(h, ' + q('[ \\t]+') + ')[1]')})" if kind == "person" else ""
-        out.append(f"SELECT ner_id, {q(kind)} AS type FROM (SELECT ner_id, text, trim(unnest(regexp_extract_all(text, {q(p)}, 1))) AS h FROM ner_result) WHERE {is_real('h', 'text')}{more}")
+    """Rows (ner_id, type) of the residual findings, names of the dictionary included."""
+    out, stop = [], listed(sorted({w.replace("ı", "i") for w in GATE_STOP} | set(GATE_CAPITALS)))
+    for kind, p, group in GATE_RULES:
+        more = f" AND NOT list_contains({stop}, {dotless('regexp_split_to_array(h, ' + q('[ \t]+') + ')[1]')})" if kind == "person" else ""
+        out.append(f"SELECT ner_id, {q(kind)} AS type FROM (SELECT ner_id, text, trim(unnest(regexp_extract_all(text, {q(p)}, {group}))) AS h FROM ner_result) WHERE {is_real('h', 'text')}{more}")
+    lines = "SELECT ner_id, text, unnest(string_split(text, chr(10))) AS line FROM ner_result WHERE text IS NOT NULL"
+    # runs of capitals stand between borders that are no letter, digit or underscore; each word with the next
+    runs = f"SELECT ner_id, text, string_split(regexp_replace(unnest(regexp_extract_all(line, '(?:^|[^\\p{{L}}0-9_])(\\p{{Lu}}{{2,20}}(?:[ \\t]+\\p{{Lu}}{{2,20}})+)', 1)), '[ \\t]+', ' ', 'g'), ' ') AS w FROM ({lines})"
+    two = f"SELECT DISTINCT ner_id, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT ner_id, w, unnest(range(1, len(w))) AS i FROM ({runs}))"
+    label = "^[^:\\n]{1,30}:[ \\t]*(\\p{Lu}\\p{L}{1,19})[ \\t]+(\\p{Lu}\\p{L}{1,19})[ \\t]*$"
+    value = f"SELECT DISTINCT ner_id, regexp_extract(line, {q(label)}, 1) AS w1, regexp_extract(line, {q(label)}, 2) AS w2 FROM ({lines}) WHERE regexp_matches(line, {q(label)})"
+    out.append(f"SELECT ner_id, 'person' AS type FROM ({two}) WHERE {UP('w1')} IN (SELECT word FROM {DICT} WHERE is_first) AND {UP('w2')} IN (SELECT word FROM {DICT} WHERE is_surname)")
+    out.append(f"SELECT ner_id, 'person' AS type FROM ({value}) WHERE {UP('w1')} IN (SELECT word FROM {DICT} WHERE is_first) AND NOT list_contains({stop}, {dotless('w2')})")
     return " UNION ALL ".join(out)
 
 
@@ -211,12 +238,38 @@ def merged_rows() -> str:
             SELECT ner_id, generate_subscripts(spans, 1) AS i, unnest(spans) AS x FROM {RAW})))) GROUP BY ner_id, island"""
 
 
+# Of the specification of names (fixed values): endings of surnames, words that are ordinary ones too, words behind a name.
+NAME_ENDINGS = "OĞLU OGLU GİL GIL KAYA DERE TAŞ ÖZ ALAN KIRAN BAŞ".split()
+ORDINARY = "DENİZ DENIZ UMUT GÜNEŞ GUNES TOPRAK BAHAR YONCA ÇINAR CINAR KARANFİL BARIŞ BARIS YILDIZ KAYA TAŞ SELİM ORAL CAN GÜL ATEŞ".split()
+
+
 def masked_names() -> str:
-    """Texts without the name pairs, and without capitals left behind a tag."""
-    longest = "list_transform(list_sort(list_transform(coalesce(ps, []), lambda p: {'n': -length(p), 'p': p})), lambda x: x.p)"
-    text = f"list_reduce(list_prepend(text, {longest}), lambda a, p: replace(a, p, '[ISIM_SILINDI]'))"
-    after = f"regexp_replace({text}, '(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+[{CAPITALS}]{{2,}}\\.?)+([ \\t]*(?:\\n|$|[:|]))', '\\1\\2', 'g')"
-    return f"SELECT o.ocr_id, regexp_replace({after}, '(?:\\[ISIM_SILINDI\\][ \\t]*){{2,}}', '[ISIM_SILINDI]', 'g') AS masked FROM ocr_result o LEFT JOIN (SELECT ocr_id, list(DISTINCT w1 || CASE WHEN length(w1) = 1 THEN '. ' ELSE ' ' END || w2) AS ps FROM ({NAME_PAIRS}) GROUP BY ocr_id) n ON n.ocr_id = o.ocr_id"
+    """Texts without the names of the dictionary, by place, and without capitals left behind a tag.
+
+    Each line outside the medical sections is cut into runs of letters and what stands between them. A name begins at a run if it and
+    the next one, with only blanks between (or a full stop behind an initial), are a pair of the specification; a known third
+    run belongs to it. Runs that belong to a name, and the blanks between such runs, become one tag.
+    """
+    tag = "'[ISIM_SILINDI]'"
+    return f"""
+    WITH lines AS ({SECTION}),
+    cut AS (SELECT ocr_id, line_no, generate_subscripts(ps, 1) AS k, unnest(ps) AS p, medical FROM (SELECT ocr_id, line_no, medical, regexp_extract_all(line, '[{LETTERS}]+|[^{LETTERS}]+') AS ps FROM lines)),
+    d AS {DICT},
+    f AS (SELECT cut.*, regexp_matches(p, '^[{LETTERS}]') AS is_word, {UP('p')} AS u, coalesce(a.is_first, false) OR coalesce(b.is_first, false) AS f, coalesce(a.is_surname, false) OR coalesce(b.is_surname, false) AS s
+      FROM cut LEFT JOIN d a ON a.word = {UP('p')} AND length(p) BETWEEN 2 AND 20 LEFT JOIN d b ON b.word = translate({UP('p')}, 'ÇĞİÖŞÜ', 'CGIOSU') AND length(p) BETWEEN 2 AND 20),
+    n AS (SELECT *, lead(p) OVER w AS gap, lead(p, 2) OVER w AS p2, lead(u, 2) OVER w AS u2, lead(f, 2) OVER w AS f2, lead(s, 2) OVER w AS s2, lead(p, 3) OVER w AS gap2, coalesce(lead(f, 4) OVER w OR lead(s, 4) OVER w, false) AS known3 FROM f WINDOW w AS (PARTITION BY ocr_id, line_no ORDER BY k)),
+    g AS (SELECT *, length(p) = 1 AND regexp_matches(p, '^[{CAPITALS}]$') AS initial, regexp_full_match(gap, '[ \\t]+') AS blank FROM n),
+    h AS (SELECT *, coalesce(is_word AND NOT medical AND p2 IS NOT NULL AND (blank OR (initial AND regexp_full_match(gap, '\\.[ \\t]*'))) AND length(p) <= 20 AND length(p2) BETWEEN 2 AND 20
+        AND NOT (regexp_matches(p, '^[{CAPITALS}]') AND NOT regexp_matches(p2, '^[{CAPITALS}]'))
+        AND (((f OR s) AND (f2 OR s2)) OR ((f OR s) AND u2 IN ('BEY', 'HANIM')) OR (initial AND s2) OR (f AND ({' OR '.join(f"suffix(u2, {q(x)})" for x in NAME_ENDINGS)}) AND NOT list_contains({listed(ORDINARY)}, u) AND NOT list_contains({listed(ORDINARY)}, u2))), false) AS pair FROM g),
+    t AS (SELECT *, pair AND known3 AND coalesce(regexp_full_match(gap2, '[ \\t]+'), false) AS triple FROM h),
+    c AS (SELECT *, CASE WHEN is_word THEN pair OR coalesce(lag(pair, 2) OVER w, false) OR coalesce(lag(triple, 4) OVER w, false) ELSE coalesce(lag(pair) OVER w, false) OR coalesce(lag(triple, 3) OVER w, false) END AS covered FROM t WINDOW w AS (PARTITION BY ocr_id, line_no ORDER BY k)),
+    e AS (SELECT *, covered OR coalesce(NOT is_word AND regexp_full_match(p, '[ \\t]+') AND lag(covered) OVER w AND lead(covered) OVER w, false) AS gone FROM c WINDOW w AS (PARTITION BY ocr_id, line_no ORDER BY k)),
+    o AS (SELECT *, CASE WHEN NOT gone THEN p WHEN coalesce(lag(gone) OVER (PARTITION BY ocr_id, line_no ORDER BY k), false) THEN '' ELSE {tag} END AS piece FROM e),
+    l AS (SELECT ocr_id, line_no, string_agg(piece, '' ORDER BY k) AS line FROM o GROUP BY ocr_id, line_no),
+    x AS (SELECT lines.ocr_id, string_agg(coalesce(l.line, ''), chr(10) ORDER BY lines.line_no) AS text FROM lines LEFT JOIN l ON l.ocr_id = lines.ocr_id AND l.line_no = lines.line_no GROUP BY lines.ocr_id)
+    SELECT r.ocr_id, regexp_replace(regexp_replace(x.text, '(\\[(?:DOKTOR|HASTA_ADI|ISIM|BABA_ADI)_SILINDI\\])(?:[ \\t]+[{CAPITALS}]{{2,}}(?:[ \\t]*\\.)?)+([ \\t]*(?:\\n|$|[:|]))', '\\1\\2', 'g'), '\\[ISIM_SILINDI\\](?:[ \\t]*\\[ISIM_SILINDI\\])+', {tag}, 'g') AS masked
+    FROM ocr_result r LEFT JOIN x ON x.ocr_id = r.ocr_id"""
 
 
 def redacted() -> str:
@@ -277,7 +330,7 @@ def sql() -> dict[str, str]:
         "f04_status": "SELECT id, filename, ref FROM jobs WHERE status = 'needs_review'",
         "f05_medical_spans": f"SELECT term_id, coalesce(regexp_matches({fold('trim(term)')}, {q(gate.MEDICAL_FORM)}) OR (len({long}) > 0 AND len(list_filter({long}, lambda w: NOT list_contains({listed(gate.MEDICAL_WORDS)}, w))) = 0), false) AS medical FROM canonical_term",
         "f06_finding_real": f"SELECT ner_id, CAST(pos AS INTEGER) AS pos, {is_real('c', 'text')} AS is_real FROM (SELECT ner_id, text, generate_subscripts(spans, 1) - 1 AS pos, unnest({CANDIDATES}) AS c FROM ner_result)",
-        "f07_label_only": f"SELECT ocr_id, CAST(line_no AS INTEGER) AS line_no, line FROM {LINES} WHERE len({words_of('line')}) > 0 AND len(list_filter({words_of('line')}, lambda w: NOT list_contains({listed(x.replace('ı', 'i') for x in gate.LABELS)}, {dotless('w')}))) = 0",
+        "f07_label_only": f"SELECT ocr_id, CAST(line_no AS INTEGER) AS line_no, line FROM {LINES} WHERE len({words_of('line')}) > 0 AND len(list_filter({words_of('line')}, lambda w: NOT list_contains({listed(x.replace('ı', 'i') for x in GATE_STOP)}, {dotless('w')}))) = 0",
         "f08_self_refute": f"SELECT report_id, coalesce(regexp_matches({fold('gerekce')}, {q(gate.REFUTING)}) AND NOT regexp_matches(coalesce(primer_bolge, ''), '[0-9]{{7,}}'), false) AS refuted FROM doctor_report",
         "f09_medical_code": f"SELECT marker_id, coalesce(regexp_matches(trim(ad), '^[A-Z][0-9]{{5,7}}(?:\\.[0-9]+)?(?:$|[^0-9A-Za-z_])') OR regexp_matches(trim(ad), '^[A-Z][0-9]{{2}}(?:\\.[0-9]{{1,2}})?$') OR (regexp_matches({fold('trim(ad)')}, {q(gate.MEDICAL)}) AND NOT regexp_matches(ad, '[0-9]{{7,}}')), false) AS code FROM marker",
         "f10_hide_findings": "SELECT ner_id, CAST(n AS INTEGER) AS n, x.label AS type, CAST(length(x.text) AS INTEGER) AS chars, repeat('*', length(x.text)) AS shown FROM (SELECT ner_id, generate_subscripts(spans, 1) AS n, unnest(spans) AS x FROM ner_result)",

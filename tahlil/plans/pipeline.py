@@ -17,13 +17,13 @@ def masked(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", ou
     return docs.drop(out, "fields_removed").join(engine.masked(docs, lexicon, key, text, out, everywhere=True), key)
 
 
-def decided(docs: DataFrame, masked: str = "masked", other: str | None = None, candidates: str | None = None) -> DataFrame:
-    """`docs` with the `gate` and the `decision`. What masking takes from another reading of the same page (`other`), and
+def decided(docs: DataFrame, masked: str = "masked", other: str | None = None, candidates: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """`docs` with the `gate`, which also looks for the names of the `lexicon`, and the `decision`. What masking takes from another reading of the same page (`other`), and
     the `candidates` of a model, must not stand in the masked text."""
     none = F.array().cast("array<string>")
     known = F.coalesce(F.col(candidates), none) if candidates else none
     if other:
         docs = docs.withColumn("__other", rules.apply(F.col(other), [*rules.A1, *rules.A3, *rules.A4, *rules.A5_FULL, *rules.A8]))
         known = F.array_union(known, F.coalesce(gate.deleted_tokens(F.col(other), F.col("__other")), none))
-    docs = gate.checked(docs.withColumn("__known", known), masked, "__known")
+    docs = gate.checked(docs.withColumn("__known", known), masked, "__known", lexicon=lexicon)
     return docs.withColumn("decision", gate.decision(F.col(masked), F.col("gate.passed"), F.col("__known"))).drop("__known", "__other")

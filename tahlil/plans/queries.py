@@ -491,26 +491,29 @@ def s12_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t00_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through all stages: whether they passed the gate, and why they may not go out."""
     o = spread(table(spark, sf_dir, "ocr_result").select("ocr_id", "text", "alt_text"))
-    d = pipeline.decided(pipeline.masked(o, table(spark, sf_dir, "name_lexicon"), "ocr_id"), other="alt_text")
+    names = table(spark, sf_dir, "name_lexicon")
+    d = pipeline.decided(pipeline.masked(o, names, "ocr_id"), other="alt_text", lexicon=names)
     return d.select("ocr_id", "gate.passed", F.size("gate.findings").alias("n_findings"), "decision.allowed", _joined(F.col("decision.reasons")).alias("reasons"))
 
 
 def g12_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By kind of case: personal entries left and medical terms lost by rules and dictionary, and the gate's answer."""
     c = spread(table(spark, sf_dir, "synth_case").select("id", "kind", "text", "pii", "keep"))
-    d = pipeline.decided(pipeline.masked(c, table(spark, sf_dir, "name_lexicon"), "id"))
+    names = table(spark, sf_dir, "name_lexicon")
+    d = pipeline.decided(pipeline.masked(c, names, "id"), lexicon=names)
     return metrics.leaks(d.withColumn("passed", F.col("gate.passed")), ["kind"], passed="passed")
 
 
 def t01_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over masked forms."""
-    g = gate.checked(spread(_spans(spark, sf_dir)), "text", "candidates")
+    g = gate.checked(spread(_spans(spark, sf_dir)), "text", "candidates", lexicon=table(spark, sf_dir, "name_lexicon"))
     return g.select("ner_id", "gate.passed", F.size("gate.findings").alias("n_findings"))
 
 
 def t02_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules for residues find in masked forms."""
-    r = _spans(spark, sf_dir).select("ner_id", F.explode(gate.residual(F.col("text"))).alias("f"))
+    people = gate.dictionary_names(table(spark, sf_dir, "name_lexicon"))
+    r = _spans(spark, sf_dir).select("ner_id", F.explode(gate.residual(F.col("text"), people)).alias("f"))
     return r.groupBy("ner_id", "f.type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,8 +1,9 @@
 """The whole engine: misread provinces and names of the dictionary among the layers."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tahlil.operators import engine, names
+from tahlil.operators import engine, gate, names
 from tahlil.plans import pipeline, queries
 
 LEXICON = [("AYLA", True, False), ("BOZTEPE", False, True), ("UMUT", True, True)]
@@ -64,7 +65,50 @@ def test_sub_rules(text, want):
     assert names.without_names(text, known, medical)[0] == want
 
 
-def test_names_through_the_join(spark, lexicon):
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_names_through_the_join(spark, lexicon, monkeypatch, most):
+    monkeypatch.setattr(names, "SENT_ROWS", most)
     docs = spark.createDataFrame([(1, "XX YY: AYLA ERDOĞDU\nDR BOZTEPE", []), (None, "ayla boztepe", []), (2, None, []), (2, "TANI:\nayla boztepe", [])], "id int, text string, removed array<string>")
     got = sorted((r.id or 0, r.text or "", r.removed) for r in names.mask_all_names(docs, lexicon, "id", "text", "removed").collect())
     assert got == [(0, "[ISIM_SILINDI]", ["İsim (sözlük)"]), (1, "XX YY: [ISIM_SILINDI]\n[DOKTOR_SILINDI]", ["İsim (bozuk etiket + sözlük)", "Doktor (DR+sözlük)"]), (2, "", []), (2, "TANI:\nayla boztepe", [])]
+
+
+def test_names_are_replaced_by_their_place(spark, lexicon):
+    rows = [
+        (1, "AYLA  BOZTEPE ve AYLA\tBOZTEPE geldi"),
+        (2, "AYLA, BOZTEPE"),
+        (3, "Ayla Boztepe geldi, AYLABOZTEPELI ve SAYLA BOZTEPELI kaldı"),
+        (4, "Ayla Boztepe\nTANI:\nAyla Boztepe bulgusu"),
+        (5, "Rapor Ayla\nHanım tarafından"),
+        (6, None),
+        (7, ""),
+    ]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: r.masked for r in names.mask_names(docs, lexicon, "id", "text").collect()}
+    assert got[1] == "[ISIM_SILINDI] ve [ISIM_SILINDI] geldi" and got[2] == "AYLA, BOZTEPE"
+    assert got[3] == "[ISIM_SILINDI] geldi, AYLABOZTEPELI ve SAYLA BOZTEPELI kaldı"
+    assert got[4] == "[ISIM_SILINDI]\nTANI:\nAyla Boztepe bulgusu" and got[6] is None and got[7] == ""
+    whole = names.mask_all_names(docs.selectExpr("id", "text", "cast(array() as array<string>) as removed"), lexicon, "id", "text", "removed")
+    assert {r.id: r.text for r in whole.collect()}[5] == "Rapor [ISIM_SILINDI]\nHanım tarafından"
+
+
+def test_sections_of_a_long_text(spark):
+    text = "\n".join(["giriş", "TANI:", *["satır"] * 5_000, "Uzm. Dr. X", "son", "BULGULAR", "", "x"])
+    got = spark.createDataFrame([(text,), ("",), (None,)], "text string").select(names.in_sections(F.col("text")).alias("s")).collect()
+    assert got[0].s == [False, *[True] * 5_001, False, False, True, True, True] and got[1].s == [False] and got[2].s is None
+
+
+def test_gate_finds_names_of_the_dictionary(spark, lexicon):
+    rows = [(1, "SAYIN AYLA BOZTEPE geldi"), (2, "AVI SOXAOT: Ayla Tanınmayan"), (3, "AVI SOXAOT: Ayla Servis"), (4, "Ayla geldi"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    g = {r.id: r for r in gate.checked(df, "text", lexicon=lexicon).select("id", "gate.passed", "gate.findings").collect()}
+    assert [[f.text for f in g[i].findings] for i in range(1, 7)] == [["AYLA BOZTEPE"], ["Ayla Tanınmayan"], [], [], [], []]
+    assert [g[i].passed for i in range(1, 7)] == [False, False, True, True, False, True]
+    d = df.select("id", gate.decision(F.col("text"), F.lit(True), F.array().cast("array<string>")).alias("d")).collect()
+    assert {r.id: r.d.allowed for r in d} == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True}
+
+
+def test_gate_asks_an_entity_model(spark):
+    df = spark.createDataFrame([(1, "Ayla geldi", [("Ayla", "person", 0.9), ("Yok", "person", 0.8)]), (2, "temiz", None)], "id int, text string, seen array<struct<text:string,label:string,score:double>>")
+    g = {r.id: r.gate for r in gate.checked(df, "text", entities=F.col("seen")).select("id", "gate").collect()}
+    assert [f.text for f in g[1].findings] == ["Ayla"] and not g[1].passed and g[2].passed and "entity_model" in g[2].layers_run
