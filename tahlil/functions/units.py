@@ -84,6 +84,20 @@ def plain_text(text: str) -> str:
     return lower(text.translate(SIGNS))
 
 
+LONGEST = max(len(s) for u in UNITS for s in u[3].split())
+
+
+def beside(text: str, at: int, step: int) -> tuple[str, list[int]]:
+    """As many characters without blanks as the longest spelling may need, with one more, from a place on (step 1) or before it (step
+    -1), squeezed; however many blanks stand between."""
+    begin = end = at
+    left = LONGEST + 8
+    while left and 0 <= (i := end if step > 0 else begin - 1) < len(text):
+        begin, end = (begin, end + 1) if step > 0 else (begin - 1, end)
+        left -= not text[i].isspace()
+    return squeezed(text[begin:end])
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
     """All spellings; each with the units it may mean."""
@@ -104,7 +118,7 @@ def unit_beside(text: str, begin: int, end: int, dimensions: tuple[str, ...]) ->
 
     `text` is folded. Blanks between do not count; the spelling must not go on in a longer word.
     """
-    tail, at = squeezed(text[end : end + 40])
+    tail, at = beside(text, end, 1)
     best = (0, -1, end)
     for last, (spelling, units) in automaton().iter(tail):
         whole = not (spelling[-1].isalpha() and tail[last + 1 : last + 2].isalpha() and at[last + 1] == at[last] + 1)
@@ -114,7 +128,7 @@ def unit_beside(text: str, begin: int, end: int, dimensions: tuple[str, ...]) ->
                     best = (len(spelling), u, end + at[last] + 1)
     if best[1] >= 0:
         return best[1:]
-    head, _ = squeezed(text[max(0, begin - 12) : begin])
+    head, _ = beside(text, begin, -1)
     head = head.rstrip("<>~≤≥=")
     for last, (spelling, units) in automaton().iter(head):
         if spelling in BEFORE and last == len(head) - 1:

@@ -11,26 +11,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tahlil.functions import units as U
 from tahlil.functions.terms import Terms
+from tahlil.session import made
 
-#: Most rows of a table that is sent to all executors.
-SENT_ROWS = 200_000
+#: Most rows of a table that is sent to all executors; into how many parts a laboratory's readings are split beyond that.
+SENT_ROWS, PARTS = 200_000, 16
+#: Most rows of the reference lists of terms and of quantities.
+LIST_MOST = 20_000
 READ = "marker_id long, lab_code string, quantity_id long, unit int, pos int, written double"
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it is small enough, else left for a shuffled join."""
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+def listed(df: DataFrame, *columns: str) -> list:
+    """The rows of a reference list, which is refused beyond LIST_MOST rows before anything of it is read."""
+    if (n := df.count()) > LIST_MOST:
+        raise ValueError(f"the reference list has {n} rows; at most {LIST_MOST} are sent to the executors")
+    return df.select(*columns).collect()
+
+
+def with_source(got: DataFrame, own: DataFrame) -> DataFrame:
+    """`got` with the `source_unit` of its laboratory and quantity. A table beyond SENT_ROWS is joined by an exchange, in which the
+    readings of a laboratory are split into PARTS, as one may hold a third of all."""
+    keys = ["lab_code", "quantity_id"]
+    if own.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return got.join(F.broadcast(own), keys, "left")
+    parts = own.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    some = got.withColumn("__part", F.pmod(F.xxhash64("marker_id", "pos"), F.lit(PARTS)).cast("int"))
+    return some.join(parts.hint("merge"), [*keys, "__part"], "left").drop("__part")
 
 
 def usable(quantities: DataFrame) -> list:
     """The rows of the list of quantities that have an id, a name and a common unit that is known."""
     known = [u[0] for u in U.UNITS]
-    return [r for r in quantities.collect() if r.quantity_id is not None and r.quantity and r.common_unit in known]
+    return [r for r in listed(quantities, "quantity_id", "quantity", "common_unit", "molar_mass") if r.quantity_id is not None and r.quantity and r.common_unit in known]
 
 
 def dimensions(common: str, molar_mass: float | None) -> tuple[str, ...]:
@@ -40,19 +56,20 @@ def dimensions(common: str, molar_mass: float | None) -> tuple[str, ...]:
     return own.get(U.UNITS[k][1]) or (("mass", "amount") if molar_mass else ("mass",))
 
 
-def read(markers: DataFrame, terms: DataFrame, quantities: DataFrame) -> DataFrame:
+def read(markers: DataFrame, terms: DataFrame, quantities: list) -> DataFrame:
     """The numbers of every reading of a listed quantity: `pos` counts them from 0, `written` is the number as
     written, `unit` the place of its unit in UNITS, or -1 where the reading names none.
 
     The unit is the one in `deger`, else in `ad`, else beside the same number in `kanit`. Readings with null
     `ad` or `deger` and those of no listed quantity give no row, nor do those without a number.
     """
-    entries = [(r.term_id, r.term, list(r.aliases or []), 1) for r in terms.filter("field = 'ad'").select("term_id", "term", "aliases").collect()]
-    by_term = {r.quantity: (r.quantity_id, dimensions(r.common_unit, r.molar_mass)) for r in usable(quantities)}
+    entries = [(r.term_id, r.term, list(r.aliases or []), 1) for r in listed(terms.filter("field = 'ad'"), "term_id", "term", "aliases")]
+    by_term = {r.quantity: (r.quantity_id, dimensions(r.common_unit, r.molar_mass)) for r in quantities}
     names = {i: t for i, t, _, _ in entries}
+    sent = markers.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Terms(entries)
+        index = made(sent, Terms)
         for b in batches:
             rows = []
             for marker, lab, ad, deger, kanit in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -86,16 +103,17 @@ def reading(ad: str, deger: str, kanit: str | None, allowed: tuple[str, ...]) ->
     return unit, [n[2] for n in found]
 
 
-def conversion(quantities: DataFrame) -> DataFrame:
-    """(quantity_id, unit, unit_name, common_unit, factor) for every unit a quantity may be written in."""
+def conversion(spark: SparkSession, quantities: list) -> DataFrame:
+    """(quantity_id, unit, unit_name, common_unit, factor) for every unit a quantity may be written in: at most LIST_MOST times the
+    number of units, a few MB."""
     rows = []
-    for q in usable(quantities):
+    for q in quantities:
         common = next(i for i, u in enumerate(U.UNITS) if u[0] == q.common_unit)
         for k, u in enumerate(U.UNITS):
             f = U.factor(k, common, q.molar_mass)
             if f is not None:
                 rows.append((q.quantity_id, k, u[0], q.common_unit, float(f)))
-    return quantities.sparkSession.createDataFrame(rows, "quantity_id long, unit int, unit_name string, common_unit string, factor double")
+    return spark.createDataFrame(rows, "quantity_id long, unit int, unit_name string, common_unit string, factor double")
 
 
 def converted(markers: DataFrame, terms: DataFrame, quantities: DataFrame, sources: DataFrame) -> DataFrame:
@@ -112,9 +130,10 @@ def converted(markers: DataFrame, terms: DataFrame, quantities: DataFrame, sourc
     names = [(u[0], k) for k, u in enumerate(U.UNITS)]
     named = spark.createDataFrame(names, "unit_text string, source_unit int")
     own = own.join(F.broadcast(named), "unit_text").select("lab_code", "quantity_id", "source_unit")
-    got = read(markers, terms, quantities).join(sent(own), ["lab_code", "quantity_id"], "left")
+    some = usable(quantities)
+    got = with_source(read(markers, terms, some), own)
     got = got.withColumn("unit", F.when(F.col("unit") >= 0, F.col("unit")).otherwise(F.col("source_unit")))
-    out = got.join(F.broadcast(conversion(quantities)), ["quantity_id", "unit"], "left")
+    out = got.join(F.broadcast(conversion(spark, some)), ["quantity_id", "unit"], "left")
     return out.select("marker_id", "pos", "quantity_id", "written", "unit_name", (F.col("written") * F.col("factor")).alias("value"), "common_unit")
 
 

@@ -148,3 +148,20 @@ def test_written_and_cleared(spark):
     session.clear(spark)
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         df.count()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcdeçş 1", max_size=40), st.text("abcdeçş 1", min_size=1, max_size=12))
+def test_alike_is_what_every_window_says(hay, needle):
+    every = any(SequenceMatcher(None, hay[i : i + w], needle, False).ratio() >= 0.85 for w in (len(needle) - 2, len(needle), len(needle) + 2) if 0 < w <= len(hay) for i in range(len(hay) - w + 1))
+    assert metrics.alike(hay, needle, 0.85) == every
+
+
+def test_upper_median_of_any_values(spark):
+    rng = random.Random(1)
+    rows = [("a", rng.random() ** 9 * 1e6) for _ in range(2_001)] + [("b", float(rng.randrange(3))) for _ in range(500)] + [("c", 5.0)] * 7 + [(None, float(x)) for x in (3, 1, 2, 9)] + [("d", None)]
+    got = {r.g: r.x_median for r in metrics.upper_median(spark.createDataFrame(rows, "g string, x double"), ["g"], "x").collect()}
+    for g in ("a", "b", "c", None):
+        x = sorted(v for k, v in rows if k == g)
+        assert got[g] == x[len(x) // 2]
+    assert "d" not in got

@@ -1,6 +1,7 @@
 """Units and terms on fresh examples."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tahlil.functions import units as U
 from tahlil.functions.terms import Terms, distance
@@ -29,6 +30,8 @@ MARKERS = "marker_id long, ad string, deger string, kanit string, lab_code strin
         ("yirmi üç mm", ("length",), 23.0, "mm"),
         ("7 mM", ("mass", "amount"), 7.0, "mmol/L"),
         ("3 ug/L", ("mass",), 3.0, "µg/L"),
+        ("3" + " " * 90 + "u" + " " * 50 + "g/L", ("mass",), 3.0, "µg/L"),
+        ("yüzde" + " " * 60 + "12", ("part",), 12.0, "%"),
     ],
 )
 def test_numbers_and_units(deger, dims, value, unit):
@@ -98,3 +101,14 @@ def test_terms():
 def test_list_too_long_is_refused():
     with pytest.raises(ValueError, match="forms"):
         Terms([(i, f"t{i}", [], 0) for i in range(30_000)])
+
+
+def test_a_large_table_of_laboratories(spark, tables, monkeypatch):
+    markers = spark.createDataFrame([(i, "Kreatinin" if i % 2 else "LDH", str(50 + i), None, "L1" if i % 5 else None) for i in range(200)], MARKERS)
+    rows = lambda: sorted((r.marker_id, r.value, r.unit_name) for r in quantities.converted(markers, *tables).select("marker_id", F.coalesce("value", F.lit(-1.0)).alias("value"), F.coalesce("unit_name", F.lit("")).alias("unit_name")).collect())
+    want = rows()
+    monkeypatch.setattr(quantities, "SENT_ROWS", 1)
+    assert rows() == want and len(want) == 200
+    monkeypatch.setattr(quantities, "LIST_MOST", 1)
+    with pytest.raises(ValueError):
+        rows()
