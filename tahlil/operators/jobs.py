@@ -16,6 +16,11 @@ def suffix(name: Column) -> Column:
     return F.regexp_extract(F.lower(name), "(\\.[^.]+)$", 1)
 
 
+def to_seconds(at: Column) -> Column:
+    """A time without its fractions of a second."""
+    return F.date_trunc("second", at)
+
+
 def latest(events: DataFrame, key: str, at: str, tie: list[str]) -> DataFrame:
     """The last event of each key. Grouped with a maximum, not sorted: each task keeps one row for a key before the
     exchange, so a key with most of the rows is no burden. Rows without a key are left out."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -65,22 +66,28 @@ def title_case(text: str) -> str:
     return re.sub(r"[^\W\d_]+", lambda m: m.group()[0] + "".join(map(small, m.group()[1:])), text)
 
 
+CORRECTION = 'Yanıt {"findings": [...]} biçiminde geçerli JSON değildi; yalnızca kısa ve geçerli JSON ver. Önceki yanıtın başı: '  # asked again with
+
+
 def judged(df: DataFrame, text: str, make: Callable[[], Callable[[str], str]], attempts: int = 2, out: str = "judge") -> DataFrame:
     """`df` with what a judge finds in each text: (findings, error). The answer must be JSON with a list `findings`; else
-    it is asked again, and then the row has an error. Findings that don't stand in the text, are labels only, refute
+    it is asked again, told what was wrong and how its answer began, and then the row has an error. Findings that don't stand in the text, are labels only, refute
     themselves, or are medical codes are dropped."""
 
     def ask(chat: Callable[[str], str], t: str | None) -> tuple[list[dict], str | None]:
-        error = None
+        error, prompt = None, t
         for _ in range(attempts if t else 0):
+            said = ""
             try:
-                found = json.loads(re.search(r"\{.*\}", chat(t), re.DOTALL).group())["findings"]
+                said = chat(prompt)
+                found = json.loads(re.search(r"\{.*\}", said, re.DOTALL).group())["findings"]
                 if isinstance(found, list):
                     keys = ("text", "type", "reason")
                     return [{k: str(x.get(k, "")) for k in keys} | {"source": "llm_judge"} for x in found if isinstance(x, dict)], None
                 error = "NotAList"
             except Exception as e:  # noqa: BLE001
                 error = type(e).__name__
+            prompt = f"{t}\n\n{CORRECTION}{str(said)[:500]}"
         return [], error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,14 +101,21 @@ def judged(df: DataFrame, text: str, make: Callable[[], Callable[[str], str]], a
     return asked.withColumn(out, F.struct(F.filter(F.col(out)["findings"], keep).alias("findings"), F.col(out)["error"].alias("error")))
 
 
-def answered(df: DataFrame, text: str, make: Callable[[], Callable[[str], dict]], attempts: int = 3) -> DataFrame:
+def answered(df: DataFrame, text: str, make: Callable[[], Callable[[str], dict]], attempts: int = 3, wait: float = 0.5, allow: Callable[[str], bool] | None = None) -> DataFrame:
     """`df` with a model's answer to each text that may go out (`allowed`): `answer`, its `json`, the `outcome` (done,
     refused, cut, failed, blocked) and all `attempts`, so that each can be audited. Only passing errors are tried again.
+    Between attempts it waits, twice as long each time (`wait` seconds at first). Before each attempt `allow`, if there is one, is
+    asked anew whether this text may go out; if not, the attempt is logged as blocked and nothing is sent.
     The text goes out only if `allowed` is true; the model returns {"stop_reason": ..., "text": ...}."""
 
     def ask(complete: Callable[[str], dict], t: str) -> tuple[str | None, str, list[dict]]:
         log: list[dict] = []
         for n in range(1, attempts + 1):
+            if n > 1:
+                time.sleep(wait * 2 ** (n - 2))
+            if allow is not None and not allow(t):
+                log.append({"attempt": n, "outcome": "blocked"})
+                return None, "blocked", log
             try:
                 r = complete(t)
                 outcome = {"refusal": "refused", "max_tokens": "cut"}.get(r.get("stop_reason"), "done")

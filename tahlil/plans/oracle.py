@@ -109,10 +109,12 @@ def contradictions(t: str, cat: str, site: str) -> str:
 
 BODY = "concat_ws('. ', gerekce, histolojik_tip, primer_bolge, ozet)"
 CANDIDATES = "list_transform(spans, lambda s: s.text)"
-RAW = (
-    "(SELECT ner_id, repeat('abcdefghij', 30) AS raw, list_transform(spans, lambda s, i: {'start': CAST((i - 1) * 7 AS INTEGER), 'end': CAST((i - 1) * 7 + s.\"end\" - s.start AS INTEGER), 'label': s.label, 'score': s.score}) AS spans"
-    " FROM ner_result WHERE len(spans) > 0)"
-)
+# Mask tags of the forms as spans, each with a wider one around it.
+TAGGED = """(SELECT ner_id, text, 1 + CAST(coalesce(list_sum(list_transform(ps[1:k], lambda p: length(p) + 1)), 0) AS INTEGER) - 2 AS s, ps[k + 1] AS p
+    FROM (SELECT ner_id, text, ps, unnest(range(1, len(ps))) AS k FROM (SELECT ner_id, text, string_split(text, '[') AS ps FROM ner_result WHERE text IS NOT NULL)) WHERE contains(ps[k + 1], '_SILINDI]'))"""
+RAW = f"""(SELECT ner_id, any_value(text) AS raw, list({{'start': a, 'end': b, 'label': l, 'score': sc}} ORDER BY s, sc DESC) AS spans FROM (
+    SELECT ner_id, text, s, s AS a, CAST(least(length(text), s + instr(p, ']') + 1) AS INTEGER) AS b, 'person' AS l, CAST(0.9 AS DOUBLE) AS sc FROM {TAGGED}
+    UNION ALL SELECT ner_id, text, s, greatest(0, s - 3), CAST(least(length(text), s + instr(p, ']') + 3) AS INTEGER), 'address', CAST(0.5 AS DOUBLE) FROM {TAGGED}) GROUP BY ner_id)"""
 BARE_TEXT = "regexp_replace(text, '^[ \\t\\n\\f]+|[ \\t\\n\\f]+$', '', 'g')"
 LINES = "(SELECT ocr_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT ocr_id, string_split(text, chr(10)) AS l FROM ocr_result WHERE text IS NOT NULL))"
 SECTION = f"""
@@ -217,12 +219,12 @@ def validated() -> str:
 
 
 def overlay() -> str:
-    """Spans, merged and replaced by tags; all spans here begin in order, so runs of overlaps follow each other."""
+    """Spans, merged and replaced by tags."""
     tag = "CASE label " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in spans.TAGS.items()) + f" ELSE {q(spans.OTHER_TAG)} END"
     return f"""
     WITH RECURSIVE m AS ({merged_rows()}),
     n AS (SELECT *, row_number() OVER (PARTITION BY ner_id ORDER BY s DESC) AS k, count(*) OVER (PARTITION BY ner_id) AS last FROM m),
-    r AS (SELECT ner_id, CAST(0 AS BIGINT) AS k, repeat('abcdefghij', 30) AS t FROM (SELECT DISTINCT ner_id FROM m)
+    r AS (SELECT ner_id, CAST(0 AS BIGINT) AS k, text AS t FROM ner_result WHERE ner_id IN (SELECT ner_id FROM m)
       UNION ALL SELECT r.ner_id, r.k + 1, substr(r.t, 1, n.s) || {tag} || substr(r.t, n.e + 1) FROM r JOIN n ON n.ner_id = r.ner_id AND n.k = r.k + 1)
     SELECT r.ner_id, r.t AS masked FROM r JOIN (SELECT ner_id, max(k) AS k FROM n GROUP BY ner_id) x ON x.ner_id = r.ner_id AND x.k = r.k"""
 
@@ -234,11 +236,13 @@ def merged_rows() -> str:
     SELECT ner_id, min(s) AS s, max(e) AS e, arg_max(label, (e - s) * 1000000 + score * 1000 - i * 0.0001) AS label FROM (
       SELECT *, sum(CASE WHEN s < before THEN 0 ELSE 1 END) OVER (PARTITION BY ner_id ORDER BY i) AS island FROM (
         SELECT *, max(e) OVER (PARTITION BY ner_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
-          SELECT ner_id, i, x.start AS s, x."end" AS e, x.label AS label, x.score AS score FROM (
-            SELECT ner_id, generate_subscripts(spans, 1) AS i, unnest(spans) AS x FROM {RAW})))) GROUP BY ner_id, island"""
+          SELECT ner_id, row_number() OVER (PARTITION BY ner_id ORDER BY x.start, x."end" DESC, x.score DESC) AS i, x.start AS s, x."end" AS e, x.label AS label, x.score AS score FROM (
+            SELECT ner_id, unnest(spans) AS x FROM {RAW})))) GROUP BY ner_id, island"""
 
 
 # Of the specification of names (fixed values): endings of surnames, words that are ordinary ones too, words behind a name.
+MEDICAL_VOCABULARY = "adenokarsinom karsinom lenfoma melanom sarkom adenom tümör meningiom seminom meme mide deri over akciğer karaciğer böbrek prostat mesane tiroid beyin pankreas testis plevra larinks rektum hücreli bazal berrak küçük büyük patoloji onkoloji biyopsi tanı sonuç".split()
+MARKER_FORM = "^(?:ck|cd|bcl|sox|gata|cdx|her|ki|ttf|pt?[0-3]|pn|pm|grade|derece|evre)[ -]?[0-9a-z]*$"
 NAME_ENDINGS = "OĞLU OGLU GİL GIL KAYA DERE TAŞ ÖZ ALAN KIRAN BAŞ".split()
 ORDINARY = "DENİZ DENIZ UMUT GÜNEŞ GUNES TOPRAK BAHAR YONCA ÇINAR CINAR KARANFİL BARIŞ BARIS YILDIZ KAYA TAŞ SELİM ORAL CAN GÜL ATEŞ".split()
 
@@ -303,7 +307,7 @@ def sql() -> dict[str, str]:
     # each character as one byte, since the distance counts bytes
     byte = lambda x: f"translate({x}, 'ÇĞİÖŞÜ', 'cgiosu')"
     near = near.replace("@d1", f"levenshtein({byte('token')}, {byte('form')})").replace("@d2", f"levenshtein({byte('token')}, {byte('whole')})")
-    long = f"list_filter(list_transform({words_of('term')}, lambda w: {fold('w')}), lambda w: length(w) >= 3)"
+    long = f"list_filter(list_transform({words_of('ad')}, lambda w: {fold('w')}), lambda w: length(w) >= 3)"
     place = f"(?:^|[^{LETTERS}])({'|'.join(rules.place_form(p) for p in sorted(rules.PLACES, key=lambda p: (-len(p), p)))}){rules.CASES}(?:$|[^{LETTERS}])"
     label = f"^[^:\\n]{{1,30}}:[ \\t]*([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]+([{CAPITALS}][{LETTERS}]{{1,19}})[ \\t]*$"
     return layers | {
@@ -328,11 +332,11 @@ def sql() -> dict[str, str]:
         "f01_min_chars": f"SELECT ocr_id, CAST(length({BARE_TEXT}) AS INTEGER) AS chars FROM ocr_result WHERE length({BARE_TEXT}) >= 20",
         "f02_extension": "SELECT id, filename FROM jobs WHERE lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.png' OR lower(filename) LIKE '%.jpg'",
         "f04_status": "SELECT id, filename, ref FROM jobs WHERE status = 'needs_review'",
-        "f05_medical_spans": f"SELECT term_id, coalesce(regexp_matches({fold('trim(term)')}, {q(gate.MEDICAL_FORM)}) OR (len({long}) > 0 AND len(list_filter({long}, lambda w: NOT list_contains({listed(gate.MEDICAL_WORDS)}, w))) = 0), false) AS medical FROM canonical_term",
+        "f05_medical_spans": f"SELECT marker_id, coalesce(regexp_matches({fold('trim(ad)')}, {q(MARKER_FORM)}) OR (len({long}) > 0 AND len(list_filter({long}, lambda w: NOT list_contains({listed(MEDICAL_VOCABULARY)}, w))) = 0), false) AS medical FROM marker",
         "f06_finding_real": f"SELECT ner_id, CAST(pos AS INTEGER) AS pos, {is_real('c', 'text')} AS is_real FROM (SELECT ner_id, text, generate_subscripts(spans, 1) - 1 AS pos, unnest({CANDIDATES}) AS c FROM ner_result)",
         "f07_label_only": f"SELECT ocr_id, CAST(line_no AS INTEGER) AS line_no, line FROM {LINES} WHERE len({words_of('line')}) > 0 AND len(list_filter({words_of('line')}, lambda w: NOT list_contains({listed(x.replace('ı', 'i') for x in GATE_STOP)}, {dotless('w')}))) = 0",
-        "f08_self_refute": f"SELECT report_id, coalesce(regexp_matches({fold('gerekce')}, {q(gate.REFUTING)}) AND NOT regexp_matches(coalesce(primer_bolge, ''), '[0-9]{{7,}}'), false) AS refuted FROM doctor_report",
-        "f09_medical_code": f"SELECT marker_id, coalesce(regexp_matches(trim(ad), '^[A-Z][0-9]{{5,7}}(?:\\.[0-9]+)?(?:$|[^0-9A-Za-z_])') OR regexp_matches(trim(ad), '^[A-Z][0-9]{{2}}(?:\\.[0-9]{{1,2}})?$') OR (regexp_matches({fold('trim(ad)')}, {q(gate.MEDICAL)}) AND NOT regexp_matches(ad, '[0-9]{{7,}}')), false) AS code FROM marker",
+        "f08_self_refute": f"SELECT report_id, CAST(pos AS INTEGER) AS pos, coalesce(regexp_matches({fold('b.madde')}, 'tıbbi|tibbi|medikal|pii değil|kişisel veri değil|değildir|not pii|ilaç|tanı|tetkik|ölçüm|yüzde|oran') AND NOT regexp_matches(b.kanit, '[0-9]{{7,}}'), false) AS refuted FROM (SELECT report_id, generate_subscripts(onemli_bulgular, 1) - 1 AS pos, unnest(onemli_bulgular) AS b FROM doctor_report)",
+        "f09_medical_code": f"SELECT marker_id, coalesce(regexp_matches(trim(ad), '^[A-Z][0-9]{{5,7}}(?:\\.[0-9]+)?(?:$|[^0-9A-Za-z_])') OR regexp_matches(trim(ad), '^[A-Z][0-9]{{2}}(?:\\.[0-9]{{1,2}})?$') OR (regexp_matches({fold('trim(ad)')}, '(?:^|[^a-zçğıöşü])(?:analiz|panel|dizileme|test|tetkik|mutasyon|gen(?:i|ler)?|sekans|pcr|fish|ihc|immün)') AND NOT regexp_matches(ad, '[0-9]{{7,}}')), false) AS code FROM marker",
         "f10_hide_findings": "SELECT ner_id, CAST(n AS INTEGER) AS n, x.label AS type, CAST(length(x.text) AS INTEGER) AS chars, repeat('*', length(x.text)) AS shown FROM (SELECT ner_id, generate_subscripts(spans, 1) AS n, unnest(spans) AS x FROM ner_result)",
         "f12_provider_hosts": f"SELECT DISTINCT host, list_contains({listed(gate.PROVIDERS.values())}, host) AS allowed FROM egress_audit",
         "f13_final_rules": f"SELECT ocr_id, {final_rule('text')} AS rule FROM ocr_result",
@@ -361,7 +365,21 @@ def sql() -> dict[str, str]:
         "j08_keywords": f"SELECT ocr_id, e.category AS category, {joined('e.keywords')} AS keywords, CAST(len(e.keywords) AS INTEGER) AS score FROM (SELECT ocr_id, unnest({evidence('text')}) AS e FROM ocr_result)",
         "j09_cross": "SELECT DISTINCT engine, host FROM ocr_result, egress_audit",
         "j10_longest_key": f"SELECT report_id, {category('raw')} AS category FROM (SELECT report_id, coalesce(primer_bolge, '') AS raw FROM doctor_report)",
-        "j12_page_zip": "SELECT ocr_id, CAST(generate_subscripts(page_engines, 1) - 1 AS INTEGER) AS page_no, unnest(page_engines) AS engine FROM ocr_result",
+        "j12_page_zip": """
+            WITH a AS (SELECT ocr_id, generate_subscripts(p, 1) - 1 AS page_no, unnest(p) AS text FROM (SELECT ocr_id, string_split(text, chr(12)) AS p FROM ocr_result)),
+            b AS (SELECT ocr_id, generate_subscripts(p, 1) - 1 AS page_no, unnest(p) AS text FROM (SELECT ocr_id, string_split(alt_text, chr(12)) AS p FROM ocr_result))
+            SELECT coalesce(a.ocr_id, b.ocr_id) AS ocr_id, CAST(coalesce(a.page_no, b.page_no) AS INTEGER) AS page_no, CASE WHEN coalesce(length(trim(a.text)) > 50, false) OR b.ocr_id IS NULL THEN 'katman' ELSE 'ikincil' END AS engine,
+              CAST(length(CASE WHEN coalesce(length(trim(a.text)) > 50, false) OR b.ocr_id IS NULL THEN a.text ELSE b.text END) AS INTEGER) AS chars FROM a FULL OUTER JOIN b ON a.ocr_id = b.ocr_id AND a.page_no = b.page_no""",
+        "c18_seconds": "SELECT id, epoch_us(date_trunc('second', created_at)) AS created_us FROM jobs",
+        "s06_warnings": "SELECT ocr_id, CASE WHEN coalesce(alt_text, '') <> '' AND round_even(length(text) / length(alt_text), 2) < 0.6 THEN 'ikincil okumaya göre eksik' ELSE '' END AS warnings FROM ocr_result",
+        "k01_text_files": "SELECT ner_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes, text FROM ner_result WHERE text <> ''",
+        "s08_landing": "SELECT ner_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes FROM ner_result WHERE text <> '' AND octet_length(encode(text)) + 1 <= 1500",
+        "s14_manifest": "SELECT id, kind, id || '.png' AS file, text FROM synth_case",
+        "k03_log": "SELECT job_id, CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * sum(len(fields_removed)) AS BIGINT) AS n_fields, CAST(2 * sum(length(text)) AS BIGINT) AS chars FROM ner_result GROUP BY job_id",
+        "k04_category_stats": "SELECT kategori, count(*) AS total_count, CAST(round_even(avg(guven), 6) AS DOUBLE) AS avg_confidence FROM doctor_report GROUP BY kategori",
+        "k05_egress": f"""SELECT CAST(ner_id AS VARCHAR) AS job_id, len(r) = 0 AS allowed, {joined('r')} AS reasons, sha256(text) AS text_sha256, CAST(length(text) AS INTEGER) AS chars, 'api.anthropic.com' AS host, 'm' AS model FROM (SELECT ner_id, text, list_filter([CASE WHEN text IS NULL OR NOT coalesce(len(spans) < 4, false) THEN 'kapi_gecilmedi' END,
+            CASE WHEN len({remaining(CANDIDATES, 'text')}) > 0 THEN 'aday_kaldi' END, 'kural: ' || {final_rule('text')}], lambda x: x IS NOT NULL) AS r FROM ner_result)""",
+        "k06_csv": "SELECT epoch_us(created_at) AS created_us, id, status, filename, ref, size_bytes FROM jobs",
         "k05_audit": "SELECT host, reason, count(*) AS n FROM (SELECT host, unnest(CASE WHEN len(reasons) = 0 OR reasons IS NULL THEN [NULL] ELSE reasons END) AS reason FROM (SELECT DISTINCT * FROM egress_audit)) GROUP BY host, reason",
         "k07_json": "SELECT report_id, CAST(to_json(list_transform(belirtecler, lambda b: b.ad)) AS VARCHAR) AS json FROM doctor_report",
         "k08_markdown": f"SELECT report_id, {markdown()} AS markdown FROM doctor_report",

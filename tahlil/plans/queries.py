@@ -11,7 +11,8 @@ from tahlil.functions import turkish
 from tahlil.operators import classify, engine, gate, hybrid, jobs, metrics, models, names, quantities, report, rules, spans
 from tahlil.plans import pipeline
 from tahlil.session import scratch, spread, table
-from tahlil.sources import files
+from tahlil.sources import files, sinks
+from tahlil.streaming import jobs as stream
 
 LAYERS = {"a01": "a01_national_id", "a02": "a02_reference_no", "a03": "a03_labelled", "a04": "a04_titles", "a05": "a05_dates", "a06": "a06_age_bucket", "a07": "a07_institution", "a08": "a08_contact", "a09": "a09_diploma", "a10": "a10_boilerplate", "a12": "a12_numeric_ids", "a13": "a13_cleanup", "a20": "a20_strict"}
 
@@ -34,9 +35,16 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of 40 words that hold the spans of a form at known places, some overlapping: (ner_id, raw, spans)."""
-    n = _spans(spark, sf_dir).filter(F.size("spans") > 0)
-    return n.select("ner_id", F.repeat(F.lit("abcdefghij"), 30).alias("raw"), F.transform("spans", lambda s, i: F.struct((i * 7).alias("start"), (i * 7 + s["end"] - s["start"]).alias("end"), s["label"].alias("label"), s["score"].alias("score"))).alias("spans"))
+    """Masked forms with the places where a mask tag stands in them as spans, and around each a wider one that overlaps it: (ner_id,
+    raw, spans). The spans of the table point into the text before masking, which is not stored."""
+    n = table(spark, sf_dir, "ner_result").filter("text is not null")
+    pieces = F.split("text", "\\[", -1)
+    at = F.transform(pieces, lambda p, i: F.length(p) + 1)  # a piece with the bracket before the next
+    starts = F.filter(F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.struct((F.aggregate(F.slice("at", F.lit(1), i), F.lit(0), lambda x, y: x + y) - 1).cast("int").alias("s"), F.get("pieces", i).alias("p"))), lambda x: F.coalesce(x["p"].contains("_SILINDI]"), F.lit(False)))
+    span = lambda x, lead, tail, label, score: F.struct(F.greatest(F.lit(0), x["s"] - lead).cast("int").alias("start"), F.least(F.length("text"), x["s"] + F.instr(x["p"], "]") + 1 + tail).cast("int").alias("end"), F.lit(label).alias("label"), F.lit(score).alias("score"))
+    both = F.flatten(F.transform("starts", lambda x: F.array(span(x, 0, 0, "person", 0.9), span(x, 3, 2, "address", 0.5))))
+    n = n.withColumns({"pieces": pieces, "at": at}).withColumn("starts", starts)
+    return n.select("ner_id", F.col("text").alias("raw"), both.alias("spans")).filter(F.size("spans") > 0)
 
 
 def _span_text(s: Column) -> Column:
@@ -219,7 +227,8 @@ def f04_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f05_medical_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that are medical words or forms only."""
-    return table(spark, sf_dir, "canonical_term").select("term_id", gate.looks_medical(F.col("term")).alias("medical"))
+    m = table(spark, sf_dir, "marker").select("marker_id", F.col("ad").alias("span"))
+    return m.select("marker_id", gate.looks_medical(F.col("span")).alias("medical"))
 
 
 def f06_finding_real(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +244,8 @@ def f07_label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f08_self_refute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings whose reason says that they are none."""
-    return table(spark, sf_dir, "doctor_report").select("report_id", gate.is_self_refuting(F.coalesce("primer_bolge", F.lit("")), F.col("gerekce")).alias("refuted"))
+    f = table(spark, sf_dir, "doctor_report").select("report_id", F.posexplode("onemli_bulgular").alias("pos", "b"))
+    return f.select("report_id", "pos", gate.is_self_refuting(F.col("b.kanit"), F.col("b.madde")).alias("refuted"))
 
 
 def f09_medical_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,8 +419,86 @@ def j11_labelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j12_page_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The engine of each page."""
-    return table(spark, sf_dir, "ocr_result").select("ocr_id", F.posexplode("page_engines").alias("page_no", "engine"))
+    """The pages of both readings put side by side: of each page the first reading where it has more than 50 characters, else the
+    second, and which it was."""
+    o = table(spark, sf_dir, "ocr_result")
+    pages = lambda c: o.select(F.col("ocr_id").cast("string").alias("path"), F.posexplode(F.split(c, "\f", -1)).alias("page_no", "text"))
+    p = files.paged(pages("text"), pages("alt_text").withColumn("engine", F.lit("ikincil")))
+    return p.select(F.col("path").cast("long").alias("ocr_id"), "page_no", "engine", F.length("text").alias("chars"))
+
+
+# -- k, s: written and read back ----------------------------------------------------------------------------------
+def k01_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked texts written as a file each, and read as files: the key, the bytes and the text of each."""
+    path = scratch(spark, "texts")
+    n = table(spark, sf_dir, "ner_result").filter("text is not null and text <> ''").select("ner_id", "text")
+    sinks.text_files(n, "ner_id", "text", path)
+    got = files.files(spark, path)
+    read = files.texts(got).select("path", F.regexp_replace("text", "\\n$", "").alias("text"))
+    key = F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long")
+    return got.select("path", "length").join(read, "path").select(key.alias("ner_id"), F.col("length").alias("bytes"), "text")
+
+
+def k03_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of maskings, appended twice, and its statistics."""
+    path = scratch(spark, "log")
+    n = table(spark, sf_dir, "ner_result").select("ner_id", "job_id", F.size("fields_removed").alias("n_fields"), F.length("text").alias("chars"))
+    for _ in range(2):
+        sinks.append(n, path)
+    return spark.read.parquet(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_fields").alias("n_fields"), F.sum("chars").alias("chars"))
+
+
+def k04_category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of categories appended, and the statistics that follow from it."""
+    path = scratch(spark, "categories")
+    sinks.append(table(spark, sf_dir, "doctor_report").select("report_id", "kategori", "guven"), path)
+    m = jobs.means(spark.read.parquet(path), "kategori", "guven")
+    return m.select("kategori", "total_count", F.bround("avg_confidence", 6).alias("avg_confidence"))
+
+
+def k05_egress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on masked forms, allowed and denied, as rows of the audit log, written and read back."""
+    path = scratch(spark, "audit")
+    d = _spans(spark, sf_dir).withColumn("job_id", F.col("ner_id").cast("string")).withColumn("decision", gate.decision(F.col("text"), F.size("spans") < 4, F.col("candidates")))
+    sinks.append(gate.audited(d, F.lit("api.anthropic.com"), F.lit("m")), path)
+    return spark.read.parquet(path).select("job_id", "allowed", _joined(F.col("reasons")).alias("reasons"), "text_sha256", "chars", "host", "model")
+
+
+def k06_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs as one CSV file with a header, in order of time, and read back."""
+    path = scratch(spark, "csv")
+    j = table(spark, sf_dir, "jobs").select(F.unix_micros("created_at").alias("created_us"), "id", "status", "filename", "ref", "size_bytes")
+    sinks.csv_export(j, "created_us", path)
+    got = spark.read.csv(path, header=True)
+    return got.select(F.col(got.columns[0]).cast("long").alias("created_us"), "id", "status", "filename", "ref", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
+def s06_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that have too little of the second one."""
+    return table(spark, sf_dir, "ocr_result").select("ocr_id", _joined(files.warnings(F.col("text"), F.col("alt_text"))).alias("warnings"))
+
+
+def s08_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that land in a folder, taken in batches by a stream that leaves out those above a size."""
+    path = scratch(spark, "landing")
+    n = table(spark, sf_dir, "ner_result").filter("text is not null and text <> ''").select("ner_id", "text")
+    sinks.text_files(n, "ner_id", "text", f"{path}/in")
+    landed = stream.landing(spark, f"{path}/in/*", most_files=1_000, most_bytes=1_500)
+    stream.write_batches(landed, f"{path}/out", f"{path}/checkpoint", lambda df: df.select("path", "length")).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long").alias("ner_id"), F.col("length").alias("bytes"))
+
+
+def s14_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with their truth: a list of files written as JSON, and beside it a text for each."""
+    path = scratch(spark, "manifest")
+    c = table(spark, sf_dir, "synth_case").select("id", "kind", F.concat("id", F.lit(".png")).alias("file"), "text")
+    files.write_manifest(c, path)
+    return files.manifest(spark, path).select("id", "kind", "file", F.col("truth").alias("text"))
+
+
+def c18_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of jobs to the second."""
+    return table(spark, sf_dir, "jobs").select("id", F.unix_micros(jobs.to_seconds(F.col("created_at"))).alias("created_us"))
 
 
 # -- k, o, s ------------------------------------------------------------------------------------------------------
@@ -591,8 +679,6 @@ def x04_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x09_stream_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by category, kept by a stream over the reports."""
-    from tahlil.streaming import jobs as stream
-
     path = scratch(spark, "stream")
     src = f"{sf_dir}/doctor_report.parquet"
     schema = spark.read.parquet(src).select("kategori", "guven").schema

@@ -13,10 +13,11 @@ from tahlil.operators.jobs import ALLOWED, suffix
 
 
 def files(spark: SparkSession, path: str, endings: tuple[str, ...] = ALLOWED, most_bytes: int | None = None) -> DataFrame:
-    """(path, length, content) of the files below a folder with one of the endings, in order of path; larger ones than
-    `most_bytes` are left out before they are read. Files of no bytes have no row, as Spark's scan leaves them out."""
+    """(path, length, content) of the files below a folder with one of the endings, in no order (sorting would move all contents; sort
+    paths where the order matters); larger ones than `most_bytes` are left out before they are read. Files of no bytes have no
+    row, as Spark's scan leaves them out."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(suffix(F.col("path")).isin(*endings))
-    return (df.filter(F.col("length") <= most_bytes) if most_bytes is not None else df).select("path", "length", "content").orderBy("path")
+    return (df.filter(F.col("length") <= most_bytes) if most_bytes is not None else df).select("path", "length", "content")
 
 
 def texts(df: DataFrame) -> DataFrame:
@@ -57,6 +58,25 @@ def completeness(primary: Column, other: Column) -> Column:
     return F.when(other.isNull() | (F.length(other) == 0), F.lit(1.0)).otherwise(F.bround(F.length(primary) / F.length(other), 2))
 
 
+INCOMPLETE = "ikincil okumaya göre eksik"  # the warning of a reading that has too little of the other
+
+
+def warnings(primary: Column, other: Column, least: float = 0.6) -> Column:
+    """The warnings of a reading: one if it has less than a share `least` of the other."""
+    return F.array_compact(F.array(F.when(completeness(primary, other) < least, F.lit(INCOMPLETE))))
+
+
+def paged(layer: DataFrame, read: DataFrame, least_chars: int = 50, engine: str = "katman") -> DataFrame:
+    """(path, page_no, text, engine): of each page the text layer of the document (path, page_no, text) where it has more than
+    `least_chars` characters, else what was read from its image (path, page_no, text, engine), else what there is. Pages
+    of either side alone stay."""
+    a = layer.select("path", "page_no", F.col("text").alias("__a"))
+    b = read.select("path", "page_no", F.col("text").alias("__b"), F.col("engine").alias("__e"))
+    both = a.join(b, ["path", "page_no"], "full_outer")
+    own = F.coalesce(F.length(F.trim("__a")) > least_chars, F.lit(False)) | F.col("__b").isNull()
+    return both.select("path", "page_no", F.when(own, F.col("__a")).otherwise(F.col("__b")).alias("text"), F.when(own, F.lit(engine)).otherwise(F.col("__e")).alias("engine"))
+
+
 def resolution(width: Column, height: Column, wanted: int = 300, budget: int = 25_000_000) -> Column:
     """Dots per inch for a page of so many inches that keep it within a budget of pixels, 72 at least."""
     return F.least(F.lit(wanted), F.greatest(F.lit(72), F.floor(F.sqrt(F.lit(float(budget)) / (width * height))))).cast("int")
@@ -69,11 +89,30 @@ def documents(read: DataFrame) -> DataFrame:
     return got.select("path", F.array_join(F.col("p.text"), "\n\n").alias("text"), F.size("p").alias("pages"), F.col("p.engine").alias("page_engines"))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The images of a benchmark with their truth: a JSON list, and beside each image a text of the same stem."""
-    items = spark.read.json(f"{path}/meta.json", multiLine=True)
-    truth = spark.read.text(f"{path}/*.gt.txt", wholetext=True).withColumn("stem", F.regexp_extract(F.input_file_name(), "([^/]+)\\.gt\\.txt$", 1))
-    return items.withColumn("stem", F.regexp_replace("file", "\\.[^.]+$", "")).join(truth.withColumnRenamed("value", "truth"), "stem", "left").drop("stem")
+    """The images of a benchmark with their truth: a JSON list in `meta.json`, and beside each image a text of the same stem; or
+    what `write_manifest` has written."""
+    here = is_folder(spark, f"{path}/meta.json")
+    items = spark.read.json(f"{path}/meta.json", multiLine=not here)
+    truth = spark.read.option("recursiveFileLookup", "true").text(f"{path}/truth" if here else f"{path}/*.gt.txt", wholetext=True)
+    value = F.regexp_replace("value", "\n$", "") if here else F.col("value")
+    truth = truth.select(F.regexp_extract(F.input_file_name(), "([^/=]+)\\.gt\\.txt", 1).alias("stem"), value.alias("truth"))
+    return items.withColumn("stem", F.regexp_replace("file", "\\.[^.]+$", "")).join(truth, "stem", "left").drop("stem")
+
+
+def write_manifest(cases: DataFrame, path: str) -> None:
+    """The manifest of cases (file, text, and what else is known of them): one JSON object a case, and each text in a file under the
+    stem of its case's file. Both are written by the tasks, so there may be any number."""
+    cases.drop("text").write.mode("overwrite").json(f"{path}/meta.json")
+    named = cases.filter("text is not null").select(F.regexp_replace("file", "\\.[^.]+$", ".gt.txt").alias("name"), "text")
+    named.write.mode("overwrite").partitionBy("name").text(f"{path}/truth")
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:

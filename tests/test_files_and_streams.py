@@ -12,7 +12,7 @@ def test_files(spark, tmp_path):
     for name, content in (("a.txt", "bir\niki".encode()), ("b.TXT", b"\xffx"), ("c.exe", b"no"), ("d.txt", b""), ("e.txt", b"y" * 100)):
         (tmp_path / name).write_bytes(content)
     got = files.files(spark, str(tmp_path), most_bytes=50)
-    assert [r.path.rsplit("/", 1)[1] for r in got.collect()] == ["a.txt", "b.TXT"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got.collect()) == ["a.txt", "b.TXT"]
     texts = {r.path.rsplit("/", 1)[1]: r.text for r in files.texts(got).collect()}
     assert texts == {"a.txt": "bir\niki", "b.TXT": "�x"}
 
@@ -85,3 +85,17 @@ def test_landing(spark, tmp_path):
 def test_states(spark, tmp_path):
     spark.createDataFrame([("j", 1, "queued"), ("j", 2, "done")], "job_id string, ts int, status string").write.parquet(str(tmp_path / "log"))
     assert stream.states(spark, str(tmp_path / "log")).first().status == "done"
+
+
+def test_pages_of_layer_and_image(spark):
+    layer = spark.createDataFrame([("a", 0, "uzun " * 20), ("a", 1, "kısa"), ("a", 2, None), ("b", 0, "kısa")], "path string, page_no int, text string")
+    read = spark.createDataFrame([("a", 0, "okunan", "x"), ("a", 1, "okunan", "x"), ("a", 2, "okunan", "x"), ("c", 0, "okunan", "x")], "path string, page_no int, text string, engine string")
+    got = {(r.path, r.page_no): (r.engine, (r.text or "")[:4]) for r in files.paged(layer, read).collect()}
+    assert got == {("a", 0): ("katman", "uzun"), ("a", 1): ("x", "okun"), ("a", 2): ("x", "okun"), ("b", 0): ("katman", "kısa"), ("c", 0): ("x", "okun")}
+    assert files.paged(layer.limit(0), read.limit(0)).count() == 0
+
+
+def test_written_manifest(spark, tmp_path):
+    cases = spark.createDataFrame([("x_1", "x_1.png", "bir\niki"), ("y", "y.png", None), ("z", "z.png", "")], "id string, file string, text string")
+    files.write_manifest(cases, str(tmp_path / "m"))
+    assert {r.id: r.truth for r in files.manifest(spark, str(tmp_path / "m")).collect()} == {"x_1": "bir\niki", "y": None, "z": ""}

@@ -68,3 +68,26 @@ def test_hybrid(spark):
     got = {r.id: r.masked for r in hybrid.masked(df, "text", models.offline_entities).collect()}
     assert "Boztepe" not in got[1] and "12345678901" not in got[1] and "2024" not in got[1] and "meme karsinom" in got[1]
     assert got[2] is None and got[3] == "temiz"
+
+
+def learns():
+    def chat(text):
+        return '{"findings": [{"text": "Ayla", "type": "person", "reason": ""}]}' if "Önceki yanıtın başı: olmadı" in text else "olmadı"
+
+    return chat
+
+
+def test_judge_is_told_what_was_wrong(spark):
+    df = spark.createDataFrame([(1, "Ayla geldi")], "id int, text string")
+    assert [f.text for f in models.judged(df, "text", learns).first().judge.findings] == ["Ayla"]
+    assert models.judged(df, "text", learns, attempts=1).first().judge.error == "AttributeError"
+
+
+def test_every_attempt_is_allowed_anew(spark):
+    df = spark.createDataFrame([("slow", True), ("never", True)], "text string, allowed boolean").coalesce(1)
+
+    def allow(text):
+        return text != "never"
+
+    got = {r.text: r for r in models.answered(df, "text", flaky, wait=0.01, allow=allow).collect()}
+    assert got["slow"].outcome == "done" and got["never"].outcome == "blocked" and [a.outcome for a in got["never"].attempts] == ["blocked"]

@@ -1,5 +1,8 @@
 """Spans, gate, names, categories, metrics and jobs on fresh examples."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
