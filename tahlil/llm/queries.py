@@ -26,6 +26,11 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.misses(p2_mapped(spark, sf_dir))
 
 
+def p2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the values that are letter for letter a term."""
+    return p2_mapped(spark, sf_dir).filter("cost = 0").join(F.broadcast(table(spark, sf_dir, "canonical_term").select("field", F.col("term").alias("value")).distinct()), ["field", "value"]).select("field", "rec_id", "term_id")
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts in pieces of at most 2,000 characters."""
     return split.split(split.texts(table(spark, sf_dir, "ocr_result"), table(spark, sf_dir, "ner_result")))
@@ -36,6 +41,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.oversized(p3_pieces(spark, sf_dir))
 
 
+def p3_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their pieces."""
+    return split.joined(p3_pieces(spark, sf_dir))
+
+
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every text and every entry of personal data."""
     return skeleton.formed(skeleton.entries(table(spark, sf_dir, "ocr_result"), table(spark, sf_dir, "synth_case")), "text")
@@ -100,6 +110,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
+def p8_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached, to three places."""
+    return p8_shares(spark, sf_dir).select("source", F.bround("share", 3).alias("share"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.mixed(*(table(spark, sf_dir, t) for t in ("documents", "subject_label", "subject_area")))
 

@@ -112,6 +112,13 @@ def oversized(cut: DataFrame) -> DataFrame:
     return cut.filter("piece_no = 1").select("tbl", "rec_key")
 
 
+def joined(cut: DataFrame) -> DataFrame:
+    """(tbl, rec_key, text): the texts put together again from their pieces, without the overlaps. (tbl, rec_key) must be unique."""
+    parts = cut.groupBy("tbl", "rec_key").agg(F.sort_array(F.collect_list(F.struct("piece_no", "begin_at", "end_at", "piece"))).alias("p"))
+    own = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substr(x["piece"], F.get("p", i - 1)["end_at"] - x["begin_at"] + 1)))
+    return parts.select("tbl", "rec_key", F.array_join(own, "").alias("text"))
+
+
 def texts(ocr: DataFrame, ner: DataFrame) -> DataFrame:
     """(tbl, rec_key, text) of both tables."""
     a = ocr.select(F.lit("ocr_result").alias("tbl"), F.col("ocr_id").cast("string").alias("rec_key"), "text")
