@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tahlil.functions.let import let
+
 LETTERS = "\\p{L}"
 CAPITALS = "\\p{Lu}"
 #: What may not stand beside a match, by name.
@@ -54,6 +56,7 @@ class Rule:
     tag: str
     left: str = ""
     right: str = ""
+    needs: str = ""  # a pattern that is cheap to look for and without which nothing can match
 
     def java(self) -> str:
         """The pattern for Spark."""
@@ -79,15 +82,16 @@ def java_quoted(tag: str) -> str:
 
 
 def apply(c: Column, rules: list[Rule]) -> Column:
-    """The text after all rules, in order."""
+    """The text after all rules, in order. A rule that needs something is only tried on texts that have it."""
     for r in rules:
-        c = F.regexp_replace(c, F.lit(r.java()), F.lit(java_quoted(r.tag)))
+        put = lambda x, r=r: F.regexp_replace(x, F.lit(r.java()), F.lit(java_quoted(r.tag)))
+        c = let(c, lambda x, r=r, put=put: F.when(x.rlike(r.needs), put(x)).otherwise(x)) if r.needs else put(c)
     return c
 
 
 def reported(c: Column, rules: list[Rule]) -> Column:
     """The names of the rules that match in the text, in order; an empty array for a null text."""
-    return F.array_compact(F.array(*(F.when(F.coalesce(c.rlike(r.java()), F.lit(False)), F.lit(r.name)) for r in rules)))
+    return F.array_compact(F.array(*(F.when(F.coalesce(c.rlike(r.needs) & c.rlike(r.java()) if r.needs else c.rlike(r.java()), F.lit(False)), F.lit(r.name)) for r in rules)))
 
 
 def sql(text: str, rules: list[Rule]) -> str:

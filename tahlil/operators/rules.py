@@ -133,7 +133,7 @@ A8 = [
     Rule("a08", "Telefon/Faks", "\\+90[ \\t]?\\(?[0-9]{3}\\)?[ \\t]?[0-9]{3}[ \\t]?[0-9]{2}[ \\t]?[0-9]{2}", TEL, "", "word"),
     Rule("a08", "Telefon/Faks", "0[ \\t]?\\(?[2-4][0-9]{2}\\)?[ \\t][0-9]{3}[ \\t]?[0-9]{2}[ \\t]?[0-9]{2}", TEL, "word", "word"),
     Rule("a08", "E-posta", f"{anyof('e-posta', 'eposta', 'e-mail', 'email', 'posta')}{SEP}[^ \\t\\n@]+@[^ \\t\\n]+", "[EMAIL_SILINDI]", "letter"),
-    Rule("a08", "E-posta", "[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+(?:\\.[0-9A-Za-z_-]+)*\\.[A-Za-z]{2,}", "[EMAIL_SILINDI]", "word", "word"),
+    Rule("a08", "E-posta", "[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+(?:\\.[0-9A-Za-z_-]+)*\\.[A-Za-z]{2,}", "[EMAIL_SILINDI]", "word", "word", "@"),
     Rule("a08", "Web", "(?:https?://|www\\.)[^ \\t\\n]+", "[WEB_SILINDI]"),
     Rule("a08", "Web", "[0-9A-Za-z_]+\\.(?:edu|gov|org|com)\\.tr", "[WEB_SILINDI]", "word", "word"),
     Rule("a08", "Adres", f"{anycase('adres')}[iİ]?[ \\t:.=]+[^\\n]{{10,100}}", "[ADRES_SILINDI]", "letter"),
@@ -145,7 +145,7 @@ A20 = [
     Rule("a20", "Kimlik No (ayrık)", "[1-9](?:[ .\n-]?[0-9]){10}", "[KIMLIK_SILINDI]", "word", "word"),
     Rule("a20", "Telefon (ayrık)", "(?:\\+90|0090|90|0)[ ./-]?\\(?0?[2-5][0-9]{2}\\)?[ \n./-]{0,2}[0-9]{3}[ \n./-]?[0-9]{2}[ \n./-]?[0-9]{2}", TEL, "word", "word"),
     Rule("a20", "Telefon (ayrık)", "\\(?0?[2-5][0-9]{2}\\)?[ \n-][0-9]{3}[ \n-][0-9]{2}[ \n-]?[0-9]{2}", TEL, "word", "word"),
-    Rule("a20", "E-posta (ayrık)", f"[{LETTERS}0-9_.+-]+[ \\t]?(?:@|\\[[aA][tT]\\]|\\([aA][tT]\\))[ \\t\n]?[{LETTERS}0-9_-]+[ \\t\n]?(?:\\.|\\[[nN][oO][kK][tT][aA]\\]|\\([nN][oO][kK][tT][aA]\\))[ \\t\n]?[{LETTERS}]{{2,}}", "[EMAIL_SILINDI]", "word", "letter"),
+    Rule("a20", "E-posta (ayrık)", f"[{LETTERS}0-9_.+-]+[ \\t]?(?:@|\\[[aA][tT]\\]|\\([aA][tT]\\))[ \\t\n]?[{LETTERS}0-9_-]+[ \\t\n]?(?:\\.|\\[[nN][oO][kK][tT][aA]\\]|\\([nN][oO][kK][tT][aA]\\))[ \\t\n]?[{LETTERS}]{{2,}}", "[EMAIL_SILINDI]", "word", "letter", "@|[aA][tT][\\])]"),
     Rule("a20", "Adres (mahalle)", f"[{CAPITALS}][{LETTERS}]+[ \\t\n]+{anyof('mahallesi', 'mah.')}[ \\t\n]+(?:[{LETTERS}]+|[0-9]+\\.)[ \\t\n]+{STREET}{HOUSE}*(?:,?[ \\t][{CAPITALS}][{LETTERS}]+)?", "[ADRES_SILINDI]", "letter"),
     Rule("a20", "Adres (sokak)", f"(?:[{CAPITALS}][{LETTERS}]+|[0-9]{{1,4}}\\.)[ \\t\n]+{STREET}{HOUSE}+(?:,?[ \\t][{CAPITALS}][{LETTERS}]+)?", "[ADRES_SILINDI]", "word"),
 ]
