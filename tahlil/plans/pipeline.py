@@ -11,10 +11,11 @@ from tahlil.session import written
 
 def masked(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", out: str = "masked") -> DataFrame:
     """`docs` with the text masked by the whole engine with the dictionary of names, to which the names of the labelled fields of
-    all documents are added; names are then masked in medical sections too. `key` must be unique."""
+    all documents are added; names are then masked in medical sections too. Columns `out` and `fields_removed` of `docs` are replaced."""
     taught = written(names.learned(docs, text), "names")
     lexicon = lexicon.select("token", "is_first", "is_surname").unionByName(taught)
-    return docs.drop(out, "fields_removed").join(engine.masked(docs, lexicon, key, text, out, everywhere=True), key)
+    keep = tuple(c for c in docs.columns if c not in (key, out, "fields_removed"))
+    return engine.masked(docs, lexicon, key, text, out, everywhere=True, keep=keep)
 
 
 def decided(docs: DataFrame, masked: str = "masked", other: str | None = None, candidates: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
