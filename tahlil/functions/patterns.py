@@ -7,6 +7,7 @@ match is kept apart from the pattern: Spark checks it by looking around, other e
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -46,6 +47,11 @@ def anyof(*texts: str) -> str:
     return "(?:" + "|".join(anycase(t) for t in sorted(texts, key=len, reverse=True)) + ")"
 
 
+#: A class of characters or an ordinary one that stands once; and an alternative outside of all brackets.
+FIRST = re.compile(r"(?:\[[^\]^][^\]]*\]|[0-9A-Za-z])(?![?*+{])")
+TOP_CHOICE = re.compile(r"^[^()]*(?:\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)[^()]*)*\|")
+
+
 @dataclass(frozen=True)
 class Rule:
     """What `body` matches becomes `tag`; `name` is what is reported."""
@@ -59,9 +65,13 @@ class Rule:
     needs: str = ""  # a pattern that is cheap to look for and without which nothing can match
 
     def java(self) -> str:
-        """The pattern for Spark."""
+        """The pattern for Spark. Where the body begins with one character, that is asked first and the look back starts behind it, so
+        that most places of a text fail at once."""
         a, b = BESIDE[self.left], BESIDE[self.right]
-        return (f"(?<![{a}])" if a else "") + f"(?:{self.body})" + (f"(?![{b}])" if b else "")
+        behind = f"(?![{b}])" if b else ""
+        if a and (m := FIRST.match(self.body)) and not TOP_CHOICE.search(re.sub(r"\\.|\[[^\]]*\]", "", self.body)):
+            return f"{m.group()}(?<![{a}].)(?:{self.body[m.end() :]}){behind}"
+        return (f"(?<![{a}])" if a else "") + f"(?:{self.body}){behind}"
 
     def sql(self, text: str) -> str:
         """A DuckDB expression that applies the rule to the expression `text`."""

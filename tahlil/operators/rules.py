@@ -79,11 +79,11 @@ A4 = [
 MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
 D = "[TARIH_SILINDI]"
 A5_FULL = [
-    Rule("a05", "gün.ay.yıl", "[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?:[ \\t]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?", D, "word", "word"),
+    Rule("a05", "gün.ay.yıl", "[0-9][0-9]?[./][0-9]{1,2}[./][0-9]{4}(?:[ \\t]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?", D, "word", "word"),
     Rule("a05", "yıl-ay-gün", "(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", D, "word", "word"),
-    Rule("a05", "gün-ay-yıl", "[0-9]{1,2}[ \\t]*-[ \\t]*[0-9]{1,2}[ \\t]*-[ \\t]*[0-9]{4}", D, "word", "word"),
-    Rule("a05", "gün,ay,yıl", "[0-9]{1,2},[0-9]{1,2},[0-9]{4}", D, "word", "word"),
-    Rule("a05", "kısa yıl", "[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2}", D, "word", "word"),
+    Rule("a05", "gün-ay-yıl", "[0-9][0-9]?[ \\t]*-[ \\t]*[0-9]{1,2}[ \\t]*-[ \\t]*[0-9]{4}", D, "word", "word"),
+    Rule("a05", "gün,ay,yıl", "[0-9][0-9]?,[0-9]{1,2},[0-9]{4}", D, "word", "word"),
+    Rule("a05", "kısa yıl", "[0-9][0-9]?[./][0-9]{1,2}[./][0-9]{2}", D, "word", "word"),
 ]
 A5_MONTH_YEAR = Rule("a05", "ay/yıl", "(?:0[1-9]|1[0-2])/[0-9]{2}", D, "word", "word")
 #: A line on which month/year is a date, and one on which it is a ratio of lymph nodes.
@@ -118,9 +118,12 @@ def place_form(name: str) -> str:
 
 A7_WORDS = f"(?:(?:[{CAPITALS}][{LETTERS}.]*|ve|ile)[ \\t]+){{0,5}}"
 A7 = [
+    Rule("a07", "Kurum/hastane adı", f"[{LETTERS}]+[ \\t]+{anycase('il sağlık müdürlüğü')}", "[KURUM_SILINDI]", "letter"),
+] + [
     Rule("a07", "Kurum/hastane adı", f"{A7_WORDS}{kind}(?:[ \\t]+[{CAPITALS}][{LETTERS}.]*){{0,3}}", "[KURUM_SILINDI]", "letter", "letter")
     for kind in (anyof("üniversitesi", "üniversite"), anyof("hastanesi", "hastane"), anycase("fakültesi"), "(?:Laborat[uü]var[ıi]|LABORATUVARI?)", anyof("sağlık merkezi", "sağlık müdürlüğü", "sağlık bakanlığı", "tıp merkezi"))
 ] + [
+    Rule("a07", "T.C. satırı", "(?m:^)T[ \\t]*\\.?[ \\t]*C[. \\t][^\n]*", "[KURUM_SILINDI]"),
     Rule("a07", "Şehir", f"(?:{'|'.join(place_form(p) for p in sorted(PLACES, key=lambda p: (-len(p), p)))}){CASES}", "[SEHIR_SILINDI]", "letter", "letter"),
     Rule("a07", "Kurum adresi", f"{anycase('kurum')}-?{B}{anycase('adresi')}{SEP}[^\\n]{{5,80}}", "[KURUM_ADRES_SILINDI]", "letter"),
     Rule("a07", "Kurum web", f"{anycase('kurum web adres')}{SEP}[^\\n]{{5,80}}", "[KURUM_WEB_SILINDI]", "letter"),
@@ -188,7 +191,7 @@ def ages(c: Column) -> Column:
     """Ages as ranges of ten years: after a label only the first, in the text all. 0, and 120 or more, stay."""
     for digits, low in AGE_OF:
         tag = f"[YAS_ARALIGI: {low}-{low + 9}]"
-        c = F.regexp_replace(c, F.lit(f"(?<![{LETTERS}0-9_]){digits}[ \\t]*{YEARS}(?![{LETTERS}0-9_])"), F.lit(f"{tag} $1"))
+        c = F.regexp_replace(c, F.lit(f"{digits[0] if digits[0] != '[' else digits}(?<![{LETTERS}0-9_].){digits[1:] if digits[0] != '[' else ''}[ \\t]*{YEARS}(?![{LETTERS}0-9_])"), F.lit(f"{tag} $1"))
     part = lambda k: F.regexp_extract(c, LABELLED_AGE, k)
     n = F.when(part(4) != "", part(4).cast("int"))
     low = F.greatest(F.lit(0), F.floor(n / 10) * 10 - 5).cast("int")

@@ -80,3 +80,9 @@ def test_null_empty_flags_and_clashes(spark):
 def test_very_long_text(spark):
     out = run(spark, "kelime " * 50_000 + "12.05.2024").masked
     assert out.endswith("[TARIH_SILINDI]")
+
+
+def test_institutions_by_line_and_directorate(spark):
+    rows = ["T.C.\nÖrnek metin", "T. C. SAĞLIK BAKANLIĞI Örnek\nTANI: x", "örnekli il sağlık müdürlüğü yazısı", "TCKN yazılı\nATC kodu", "sonu T.C. değil"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(rules.layer("a07", F.col("t"))).collect()]
+    assert got == ["[KURUM_SILINDI]\nÖrnek metin", "[KURUM_SILINDI]\nTANI: x", "[KURUM_SILINDI] yazısı", "TCKN yazılı\nATC kodu", "sonu T.C. değil"]
