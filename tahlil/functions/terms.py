@@ -19,14 +19,12 @@ from tahlil.functions.turkish import plain
 FORMS_MOST = 20_000
 #: Pairs of characters that are read or typed for one another (fixed values); replacing one costs less.
 ALIKE = {frozenset(p) for p in ("1l", "1i", "il", "0o", "5s", "8b", "2z", "6g", "9g", "mn", "uv", "ck")}
-#: Words added to a term that do not change which entry is meant, folded (fixed values).
-SIDES = "sag sol bilateral iki tarafli taraf sagda solda"
-PARTS = "alt ust orta arka on ic dis kesim bolum bolumu parca kismi yari kutup lob lobu bolgesi"
-SPECIMEN = "serum plazma kan idrar boyasi boyama duzeyi seviyesi degeri testi olcumu immun ihk"
-STATE = "olasi muhtemel suphesi uyumlu iyi orta az kotu diferansiye grade derece evre"
-ADDED = frozenset(f"{SIDES} {PARTS} {SPECIMEN} {STATE}".split())
+#: Words of specimen and method added to a term that do not change which entry is meant, folded (fixed values); a caller may give
+#: others.
+ADDED = frozenset("serum plazma kan idrar boyasi boyama duzeyi seviyesi degeri testi olcumu immun ihk".split())
 #: Endings that a term may carry in a sentence, folded (fixed values).
 ENDINGS = ("nda", "nde", "da", "de", "ta", "te", "dan", "den", "nin", "nun", "in", "un", "yu", "yi", "i", "u")
+GRADES = frozenset(("grade", "derece", "evre"))
 ROMAN_OR_DIGIT = re.compile(r"(?:i{1,3}|iv|\d+)")
 
 
@@ -83,13 +81,14 @@ def digits(key: str) -> str:
     return key.translate(str.maketrans("lio", "110"))
 
 
-def stripped(words: list[str]) -> list[list[str]]:
-    """The words without some of the added words at their beginning and end, the longest first."""
+def stripped(words: list[str], added: frozenset[str] = ADDED) -> list[list[str]]:
+    """The words without some of the added words at their beginning and end, the longest first. Behind an added word for a grade a
+    number goes with it."""
     lead = 0
-    while lead < len(words) - 1 and words[lead] in ADDED:
+    while lead < len(words) - 1 and words[lead] in added:
         lead += 1
-    tail, graded = len(words), any(w in ("grade", "derece", "evre") for w in words)
-    while tail - 1 > lead and (words[tail - 1] in ADDED or graded and ROMAN_OR_DIGIT.fullmatch(words[tail - 1])):
+    tail, graded = len(words), any(w in GRADES & added for w in words)
+    while tail - 1 > lead and (words[tail - 1] in added or graded and ROMAN_OR_DIGIT.fullmatch(words[tail - 1])):
         tail -= 1
     return [words[i:j] for i in range(lead + 1) for j in range(len(words), tail - 1, -1)]
 
@@ -97,7 +96,8 @@ def stripped(words: list[str]) -> list[list[str]]:
 class Terms:
     """A reference list of (id, term, aliases, frequency); entries without id or term, and empty aliases, are left out."""
 
-    def __init__(self, entries: list[tuple[int, str, list[str], int]]):
+    def __init__(self, entries: list[tuple[int, str, list[str], int]], added: frozenset[str] = ADDED):
+        self.added = added
         entries = [e for e in entries if e[0] is not None and e[1]]
         self.terms = {t: i for i, t, _, _ in entries}
         self.frequency = {i: n for i, _, _, n in entries}
@@ -125,7 +125,7 @@ class Terms:
 
         bare = re.sub(r"[(\[][^)\]]*[)\]]", " ", value)
         for text, base in ((value, 0.0), (bare, 0.0), (re.split(r"[,;]|\s[-–]\s", bare)[0], 0.05)):
-            for n, some in enumerate(stripped(tokens(text))):
+            for n, some in enumerate(stripped(tokens(text), self.added)):
                 cost = base + (0.05 if n else 0.0)
                 add(some, cost)
                 if len(some) > 1:
