@@ -13,9 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tahlil.functions.terms import ADDED as SPECIMEN
 from tahlil.functions.terms import FORMS_MOST, Terms
 from tahlil.session import made
 
+# Words added to a term that do not change which entry is meant, folded (fixed values).
+SIDES = "sag sol bilateral iki tarafli taraf sagda solda"
+PARTS = "alt ust orta arka on ic dis kesim bolum bolumu parca kismi yari kutup lob lobu bolgesi"
+STATE = "olasi muhtemel suphesi uyumlu iyi orta az kotu diferansiye grade derece evre"
+ADDED = SPECIMEN | frozenset(f"{SIDES} {PARTS} {STATE}".split())
 MAPPED = "field string, rec_id long, value string, term_id long, cost double"
 
 
@@ -49,7 +55,7 @@ def mapped(typed: DataFrame, terms: DataFrame) -> DataFrame:
     sent = typed.sparkSession.sparkContext.broadcast(by_field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = made(sent, lambda x: {f: Terms(e) for f, e in x.items()})
+        index = made(sent, lambda x: {f: Terms(e, ADDED) for f, e in x.items()})
         for b in batches:
             got = [index[f].match(v) if f in index else (0, -1.0) for f, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             ids, cost = zip(*got, strict=True) if got else ((), ())
