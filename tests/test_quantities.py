@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tahlil.functions import units as U
-from tahlil.functions.terms import Terms, distance
+from tahlil.functions.terms import ADDED, Terms, distance
 from tahlil.operators import quantities
 
 TERMS = "term_id long, field string, term string, aliases array<string>"
@@ -92,7 +92,7 @@ def test_nulls_in_reference_tables(spark):
 
 
 def test_terms():
-    t = Terms([(1, "Lenf düğümü", ["Lenf nodu"], 5), (2, "CD3", [], 1), (3, "CD30", [], 1), (4, "Skuamöz hücreli karsinom", ["SCC"], 1)])
+    t = Terms([(1, "Lenf düğümü", ["Lenf nodu"], 5), (2, "CD3", [], 1), (3, "CD30", [], 1), (4, "Skuamöz hücreli karsinom", ["SCC"], 1)], ADDED | {"sag", "grade"})
     for typed, want in (("LENF NODU", 1), ("sağ Lenf düğümünda", 1), ("lenf dügmü", 1), ("C-D3", 2), ("CD3O", 3), ("karsinom Skuamöz hücreli, grade 2", 4), ("S.CC", 4), ("CD4", 0), ("", 0), ("???", 0)):
         assert t.match(typed)[0] == want, typed
     assert distance("kitap", "kiatp", 2) == 1 and distance("cd3", "cd4", 2) == float("inf") and distance("kitaap", "kitap", 1) == 0.8
