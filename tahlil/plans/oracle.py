@@ -300,7 +300,7 @@ def redacted() -> str:
         end = f"].{f}" if f else "]"
         paths.append(f"coalesce(list_filter(list_transform({c}, lambda v, i: CASE WHEN {bad(leaf)} THEN '{c}[' || (i - 1) || '{end}' END), lambda x: x IS NOT NULL), [])")
     every = f"flatten([{', '.join(paths)}])"
-    return f"SELECT report_id, {new('ozet')}, {new('gerekce')}, {new('primer_bolge')}, array_to_string({every}, '|') AS paths FROM (SELECT *, CASE WHEN primer_bolge IS NULL THEN [] ELSE [primer_bolge] END AS cands FROM doctor_report)"
+    return f"SELECT report_id, {', '.join(map(new, report.TEXTS))}, array_to_string({every}, '|') AS paths FROM (SELECT *, CASE WHEN primer_bolge IS NULL THEN [] ELSE [primer_bolge] END AS cands FROM doctor_report)"
 
 
 def sql() -> dict[str, str]:
@@ -416,6 +416,7 @@ def sql() -> dict[str, str]:
         "u04_bag": f"SELECT ocr_id, {joined('list_concat(warnings, page_engines)')} AS bag FROM ocr_result",
         "w01_bigrams": f"SELECT w1, w2, count(*) AS n FROM (SELECT word AS w1, lead(word) OVER (PARTITION BY ocr_id, line_no ORDER BY pos) AS w2 FROM {WORDS.replace('@lines', LINES)}) WHERE w2 IS NOT NULL GROUP BY w1, w2",
         "w02_header": "SELECT ocr_id, array_to_string(string_split(text, chr(10))[1:14], chr(10)) AS header FROM ocr_result",
+        "w03_joined": "SELECT ocr_id, text, true AS in_place FROM ocr_result WHERE text <> ''",
         "w04_merge_spans": f"SELECT ner_id, string_agg(s || ':' || e, '|' ORDER BY s) AS merged FROM ({merged_rows()}) GROUP BY ner_id",
         "w05_ordinals": f"SELECT ner_id, CAST(generate_subscripts(spans, 1) AS INTEGER) AS n, unnest({CANDIDATES}) AS candidate FROM ner_result",
         "w06_capitals": "SELECT ocr_id, len(regexp_extract_all(text, '[A-ZÇĞİÖŞÜ]')) > len(regexp_extract_all(text, '[a-zçğıöşü]')) AS capitals FROM ocr_result WHERE text IS NOT NULL",

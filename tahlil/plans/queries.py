@@ -123,7 +123,7 @@ def a19_report_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with what still names a candidate replaced; here the candidates are the report's own site and a date."""
     d = _report(spark, sf_dir).withColumn("candidates", F.array_compact(F.array("primer_bolge")))
     done = report.redacted(F.col("candidates"))
-    return d.select("report_id", done["ozet"].alias("ozet"), done["gerekce"].alias("gerekce"), done["primer_bolge"].alias("primer_bolge"), F.array_join(done["redacted_paths"], "|").alias("paths"))
+    return d.select("report_id", *(done[c].alias(c) for c in report.TEXTS), F.array_join(done["redacted_paths"], "|").alias("paths"))
 
 
 # -- c: functions -------------------------------------------------------------------------------------------------
@@ -650,6 +650,13 @@ def w03_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.chunks(_texts(spark, sf_dir), "ocr_id", "text", 60)
 
 
+def w03_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their chunks, each at its place."""
+    c = w03_chunks(spark, sf_dir).groupBy("ocr_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "offset", "chunk"))).alias("c"))
+    ends = F.aggregate("c", F.lit(0), lambda a, x: F.when(x["offset"] == a, a + F.length(x["chunk"])).otherwise(F.lit(-1_000_000_000)))
+    return c.select("ocr_id", F.array_join("c.chunk", "").alias("text"), (ends >= 0).alias("in_place"))
+
+
 def w04_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping spans as one."""
     return _raw(spark, sf_dir).select("ner_id", _joined(F.transform(spans.merged(F.col("spans")), lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))).alias("merged"))
