@@ -43,15 +43,20 @@ def words_of(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[^{LETTERS}0-9_]+'), lambda w: w <> '')"
 
 
+# Mask tags of the specification (fixed values).
+MASK_TAG = "\\[[A-Z_]+_SILINDI\\]|\\[YAS_ARALIGI:[^\\]]*\\]|\\[COKLU_ALAN_SILINDI\\]|\\[KAPI_BULGUSU_[0-9]+:[a-z]+\\]"
+BARE_TAG = "[A-Z_]*_SILINDI|YAS_ARALIGI|KAPI_BULGUSU_[0-9]+"
+
+
 def stripped(x: str) -> str:
     """A finding without tags and punctuation."""
-    return f"regexp_replace(regexp_replace(regexp_replace({x}, {q(gate.TAG)}, ' ', 'g'), {q(gate.BARE)}, ' ', 'g'), '^[ \\t\\n.:;,\\-\\[\\]]+|[ \\t\\n.:;,\\-\\[\\]]+$', '', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({x}, {q(MASK_TAG)}, ' ', 'g'), {q(BARE_TAG)}, ' ', 'g'), '^[ \\t\\n.:;,\\-\\[\\]]+|[ \\t\\n.:;,\\-\\[\\]]+$', '', 'g')"
 
 
 def is_real(f: str, t: str) -> str:
     """Whether a finding stands in a text."""
     a, b = fold(stripped(f)), fold(t)
-    w = f"list_filter({words_of(a)}, lambda w: length(w) >= 3 AND NOT list_contains({listed(gate.TITLES)}, w))"
+    w = f"list_filter({words_of(a)}, lambda w: length(w) >= 3 AND NOT list_contains(['dr', 'prof', 'uzm', 'doç'], w))"
     return f"coalesce(length({a}) >= 2 AND (contains({b}, {a}) OR (len({w}) > 0 AND len(list_filter({w}, lambda w: NOT contains({b}, w))) = 0)), false)"
 
 
@@ -329,7 +334,7 @@ def sql() -> dict[str, str]:
         "a19_report_redact": redacted(),
         "a15_span_masking": overlay(),
 "a17_review_mask": f"SELECT ner_id, list_reduce(list_prepend(text, list_transform({CANDIDATES}, lambda c: c)), lambda a, c, i: replace(a, c, '[KAPI_BULGUSU_' || (i - 1) || ':person]')) AS review FROM ner_result",
-        "a18_judge_view": f"SELECT ner_id, regexp_replace(text, {q(gate.TAG)}, '█', 'g') AS neutral FROM ner_result",
+        "a18_judge_view": f"SELECT ner_id, regexp_replace(text, {q(MASK_TAG)}, '█', 'g') AS neutral FROM ner_result",
         "c01_fold": f"SELECT marker_id, {fold('ad')} AS low, {dotless('ad')} AS dotless, {UP('ad')} AS up FROM marker",
         "c05_ascii_fold": "SELECT marker_id, translate(ad, 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU') AS plain FROM marker",
         "c07_edit_distance": f"SELECT marker_id, CAST(levenshtein({plain7('ad')}, 'kreatinin') AS INTEGER) AS distance FROM marker WHERE levenshtein({plain7('ad')}, 'kreatinin') <= 2",
