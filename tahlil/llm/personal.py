@@ -201,54 +201,68 @@ def cased(word: str) -> bool:
     return word[0].isupper()
 
 
+# What stands before and behind a span, and between the words of a name.
+PERSON_TITLE = re.compile(r"(?:dr|prof|doc|uzm|asist|patolog)\W*$")
+NAME_GAP, INITIAL_GAP, AFTER_INITIAL = re.compile(r"[ \t]+|[ \t]*\n[ \t]*"), re.compile(r"\.\s{0,2}\n?"), re.compile(r"\.[ \t]*\n?[ \t]*")
+BEHIND = re.compile(rf"\s*(?:{AFTER})(?![^\W_])|'[iu]n\s+ikamet|\s*[,]\s*(?:ev\s+adresi|olguyu)|\s*/\s*[{{\d+(]|\s*\(\W*\d")
+PLACE_BEHIND = re.compile(r"\s+(?:" + "|".join(sorted(PLACE_WORDS)) + r")(?![^\W_])")
+CODE_BEFORE = re.compile(rf"{CODES}$")
+IDENTITY_BEFORE, IDENTITY_BEHIND = re.compile(r"(?:kimlik(?:\s+belgesi)?|tckn|t\.?\s?c\.?|kaydinda|\bno)\W*(?:no\W*)?$"), re.compile(r"\s*(?:\)|gorunen)")
+PHONE_BEFORE = re.compile(r"(?:tel|telefon|gsm|cep|iletisim|posta|hat|faks|ya\s+da|randevuyu|ile|aranabilir|aranacak)\W*$|/\s*$")
+PHONE_BEHIND = re.compile(r"\)|\s*(?:uzerinden|numarasi|dogum|/|\.)")
+EMAIL_BEFORE, EMAIL_BEHIND = re.compile(r"(?:posta|yazisma|iletisim|sonuclarin|/)\W*$"), re.compile(r"\s*(?:adresine|,|\.|ya\s+da|$)")
+ADDRESS_BEFORE, ADDRESS_BEHIND = re.compile(r"(?:adres\w*|ev|ekibi|fatura)\W*$"), re.compile(r"\W*(?:adres\w*|olarak|$)")
+PLACE_PART = re.compile(rf"{QUARTER}|{STREET}")
+
+
 def name_candidates(form: str, folded: str, lex: Lexicon) -> Iterator[tuple[int, int, tuple[int, ...]]]:
     """Runs of words that may be one person's name: (begin, end, votes)."""
     words = [m.span() for m in WORD.finditer(folded)]
     labels = {m.end() for m in LABELLED.finditer(folded)}
-    titles = {m.end() for m in TITLED.finditer(folded) if re.search(r"(?:dr|prof|doc|uzm|asist|patolog)\W*$", m.group())}
+    titles = {m.end() for m in TITLED.finditer(folded) if PERSON_TITLE.search(m.group())}
     roles = {m.end() for m in ROLED.finditer(folded)}
-    marks, names = labels | titles | roles, lex.names
+    # where a name may begin: at a known word, one put together, an initial, or behind a label, title or role
+    names, starts = lex.names, [a for a, _ in words]
+    some = {k for k, (a, b) in enumerate(words) if (w := folded[a:b]) in names or len(w) == 1 or not w.isalpha()}
+    some |= {k for x in labels | titles | roles if (k := bisect_left(starts, x)) < len(starts) and starts[k] == x}
     i = 0
-    while i < len(words):
+    for at in sorted(some):
+        if at < i:
+            continue
+        i = at
         begin, end = words[i]
-        if begin not in marks and end - begin > 1 and (whole := folded[begin:end]) not in names:
-            own = "" if whole.isalpha() else whole.split("'")[0]
-            if len(own) != 1 and not lex.known(own):
-                i += 1
-                continue
         raw = form[begin:end].split("'")[0]
         end = begin + len(raw)
         key = folded[begin:end]
         left = begin in labels or begin in titles
         role = begin in roles
         initial = len(raw) == 1 and raw.isupper() and form[end : end + 1] == "."
-        if initial and i + 1 < len(words) and re.fullmatch(r"\.\s{0,2}\n?", form[end : words[i + 1][0]]):
+        if initial and i + 1 < len(words) and INITIAL_GAP.fullmatch(form[end : words[i + 1][0]]):
             follow = folded[words[i + 1][0] : words[i + 1][1]].split("'")[0]
             fits = lex.known(follow) or ((left or role) and follow not in lex.common and follow not in STOP)
         else:
             initial, fits = False, lex.known(key) or ((left or role) and len(raw) > 1 and cased(raw) and key not in lex.common and key not in STOP and key not in PLACE_WORDS)
         if not fits:
-            i += 1
             continue
         run, j, closed = [key], i + 1, "'" in form[begin : words[i][1]]
         stop_at = 5
         while j < len(words) and len(run) < stop_at and not closed:
             gap = form[end : words[j][0]]
-            if not re.fullmatch(r"[ \t]+|[ \t]*\n[ \t]*" if not (initial and len(run) == 1) else r"\.[ \t]*\n?[ \t]*", gap) or (gap.count("\n") and left and begin in labels and lex_line(form, begin)):
+            if not (NAME_GAP if not (initial and len(run) == 1) else AFTER_INITIAL).fullmatch(gap) or (gap.count("\n") and left and begin in labels and lex_line(form, begin)):
                 break
             nxt = form[words[j][0] : words[j][1]]
             bare = nxt.split("'")[0]
             k = folded[words[j][0] : words[j][0] + len(bare)]
             if k in STOP or not (lex.known(k) or ((left or role) and cased(bare) and k not in lex.common and k not in PLACE_WORDS)):
                 break
-            if re.search(r"\n", gap) and (words[j][0] in labels or form[words[j][1] : words[j][1] + 1] in ":="):
+            if "\n" in gap and (words[j][0] in labels or form[words[j][1] : words[j][1] + 1] in ":="):
                 break
             run.append(k)
             end, closed = words[j][0] + len(bare), "'" in nxt
             j += 1
         tail = folded[end : end + 24]
-        right = bool(re.match(rf"\s*(?:{AFTER})(?![^\W_])|'[iu]n\s+ikamet|\s*[,]\s*(?:ev\s+adresi|olguyu)|\s*/\s*[{{\d+(]|\s*\(\W*\d", tail))
-        place = bool(re.match(r"\s+(?:" + "|".join(PLACE_WORDS) + r")(?![^\W_])", tail))
+        right = bool(BEHIND.match(tail))
+        place = bool(PLACE_BEHIND.match(tail))
         title_case = all(cased(form[a:b]) for a, b in words[i:j])
         if initial:
             run = run[1:]
@@ -280,25 +294,25 @@ def candidates(form: str, folded: str, lex: Lexicon) -> Iterator[tuple[str, int,
     for m in IDENTITY.finditer(form):
         n = re.sub(r"\D", "", m.group())
         before = folded[max(0, m.start() - 26) : m.start()]
-        code = re.search(rf"{CODES}$", before)
-        label = re.search(r"(?:kimlik(?:\s+belgesi)?|tckn|t\.?\s?c\.?|kaydinda|\bno)\W*(?:no\W*)?$", before)
-        paren = before.endswith("(") or re.match(r"\s*(?:\)|gorunen)", folded[m.end() : m.end() + 10])
+        code = CODE_BEFORE.search(before)
+        label = IDENTITY_BEFORE.search(before)
+        paren = before.endswith("(") or IDENTITY_BEHIND.match(folded[m.end() : m.end() + 10])
         solid = len(re.findall(r"[^\d]+", m.group())) <= 4
         yield "identity", m.start(), m.end(), (1 if solid else 0, 1 if label else 0, 1 if paren else 0, -1 if code else 0, 1 if n[0] != "0" and len(n) == 11 else -1, -1 if re.search(r"\n.*\n", m.group()) or re.search(r"\d{2}\.\d{2}\.\d{4}", m.group()) else 0)
     for m in PHONE.finditer(form):
         before, after = folded[max(0, m.start() - 26) : m.start()], folded[m.end() : m.end() + 18]
-        code = re.search(rf"{CODES}$", before)
-        label = re.search(r"(?:tel|telefon|gsm|cep|iletisim|posta|hat|faks|ya\s+da|randevuyu|ile|aranabilir|aranacak)\W*$|/\s*$", before)
-        cue = re.match(r"\)|\s*(?:uzerinden|numarasi|dogum|/|\.)", after)
+        code = CODE_BEFORE.search(before)
+        label = PHONE_BEFORE.search(before)
+        cue = PHONE_BEHIND.match(after)
         grouped = len(re.findall(r"[^\d]+", m.group().strip("+("))) >= 1
         yield "phone", m.start(), m.end(), (1 if label else 0, 1 if cue else 0, -1 if code else 0, 1 if grouped else 0)
     for m in EMAIL.finditer(form) if "@" in form or AT.search(form) else ():
         before, after = folded[max(0, m.start() - 16) : m.start()], folded[m.end() : m.end() + 14]
-        yield "email", m.start(), m.end(), (1, 1 if re.search(r"(?:posta|yazisma|iletisim|sonuclarin|/)\W*$", before) else 0, 1 if re.match(r"\s*(?:adresine|,|\.|ya\s+da|$)", after) else 0, 1 if re.search(r"\.|nokta", m.group().split("@")[-1], re.IGNORECASE) else -1)
+        yield "email", m.start(), m.end(), (1, 1 if EMAIL_BEFORE.search(before) else 0, 1 if EMAIL_BEHIND.match(after) else 0, 1 if re.search(r"\.|nokta", m.group().split("@")[-1], re.IGNORECASE) else -1)
     for m in addresses(folded):
         before, after = folded[max(0, m.start() - 18) : m.start()], folded[m.end() : m.end() + 14]
         text = m.group()
-        yield "address", m.start(), m.end(), (1 if re.search(r"\d", text) else -1, 1 if re.search(r"(?:adres\w*|ev|ekibi|fatura)\W*$", before) else 0, 1 if re.match(r"\W*(?:adres\w*|olarak|$)", after) else 0, 1 if re.search(rf"{QUARTER}|{STREET}", text) else -1)
+        yield "address", m.start(), m.end(), (1 if re.search(r"\d", text) else -1, 1 if ADDRESS_BEFORE.search(before) else 0, 1 if ADDRESS_BEHIND.match(after) else 0, 1 if PLACE_PART.search(text) else -1)
 
 
 #: How much a labeler is trusted before its reliability is estimated (the chance that it is right when it votes), and the share of true spans.
